@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .html import op4_html_text
 from .mixing import op7_mixing
 from .orc import op10_token_ids
 from .quality import op8_quality_rules
 from .urls import OP3_SQL, op3_url_filters
 
-QUERIES = {f.__name__: f for f in (op3_url_filters, op7_mixing, op8_quality_rules, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op3_url_filters, op4_html_text, op7_mixing, op8_quality_rules, op10_token_ids)}
 ORACLE: dict[str, str] = {"op3_url_filters": OP3_SQL}

@@ -27,7 +27,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, as a table in the shared folder: its lineage ends there."""
     spark, at = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
