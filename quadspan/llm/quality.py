@@ -12,6 +12,7 @@ verdict each; an empty table gives an empty result; other columns of the input s
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -140,21 +141,17 @@ RULES = (Rule("base", base), Rule("symbols", symbols), Rule("shouting", shouting
 
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = 400, text: str = "text") -> tuple[Rule, ...]:
-    """The rules by rejections per second, most first, as measured on at most ``sample`` documents (a few rows of
-    figures come to the driver)."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, t in chunks(b.column(0)):
-                live = np.arange(t.n)
-                for k, r in enumerate(rules):
-                    began = time.perf_counter()
-                    bad = int(r.rejects(t, live).sum())
-                    yield pa.RecordBatch.from_pydict({"rule": pa.array([k], pa.int32()), "s": [time.perf_counter() - began], "bad": pa.array([bad], pa.int64())})
-
-    found = docs.select(text).limit(sample).mapInArrow(measure, "rule int, s double, bad long").groupBy("rule").agg(F.sum("s").alias("s"), F.sum("bad").alias("bad")).collect()
-    worth = {r["rule"]: r["bad"] / max(r["s"], 1e-9) for r in found}
-    return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-worth.get(k, 0), k)))
+    """The rules by rejections per second, most first, as measured by the driver on the first ``sample`` documents of
+    moderate length that Spark comes by (it reads a few partitions, not all)."""
+
+    texts = docs.select(text).filter(F.length(text) <= 20_000).take(sample)
+    spent, bad = Counter(), Counter()
+    for _, t in chunks(pa.array([r[0] for r in texts], pa.string())):
+        for k, r in enumerate(rules):
+            began = time.perf_counter()
+            bad[k] += int(r.rejects(t, np.arange(t.n)).sum())
+            spent[k] += time.perf_counter() - began
+    return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-bad[k] / max(spent[k], 1e-9), k)))
 
 
 def cascade(t: Texts, rules: tuple[Rule, ...]) -> np.ndarray:
