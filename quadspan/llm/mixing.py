@@ -69,6 +69,8 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most:
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = named(plan).join(named(spread), "_s").withColumn("_whole", F.floor(ratio)).withColumn("_need", F.round(F.col("target") - F.floor(ratio) * F.col("source_size")).cast("long"))
     plan = plan.withColumn("_p", F.when(F.col("_e") > 0, F.col("_need") / F.col("_e")).otherwise(F.lit(0.0)))
+    # one row for each source; written, so that Spark knows the size and broadcasts it only where it is small
+    plan = written(plan, "mix_plan")
     rows = rows.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))).join(plan, "_s")
     p = F.least(F.greatest(F.col("_p") * F.col("e"), F.lit(1e-9)), F.lit(1 - 1e-9))
     odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
@@ -76,15 +78,17 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most:
     rows = rows.withColumn("rank", F.floor(odds / (1 + odds) * F.lit(float(1 << 48))).cast("long"))
     live = rows.filter((F.col("_need") > 0) & (F.col("size") > 0)).select("_s", "id", "size", "rank", "_need")
     first, at1 = _cut(live, ["_s"], F.shiftright("rank", 36), "_need")
+    at1 = written(at1, "mix_cut1")
     mid = first.join(at1, "_s").filter(F.col("_bin") == F.col("_at")).drop("_bin", "_at", "_need")
     second, at2 = _cut(mid, ["_s"], F.shiftright("rank", 24) % (1 << BITS), "_still")
+    at2 = written(at2, "mix_cut2")
     last = second.drop("_still").join(at2, "_s").filter(F.col("_bin") == F.col("_at"))
     # within the last range: whichever end of the document at the cut lies nearer
     upto = F.sum("size").over(Window.partitionBy("_s").orderBy("rank", F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     exact = last.withColumn("_upto", upto).filter(F.col("_upto") - F.col("size") / 2 <= F.col("_still"))
     exact = exact.groupBy("_s").agg(F.max(F.struct("rank", F.coalesce("id", F.lit(-(1 << 62))).alias("id"))).alias("_last"))
     cuts = plan.select("_s").join(at1.select("_s", F.col("_at").alias("_bin1")), "_s", "left").join(at2.select("_s", F.col("_at").alias("_bin2")), "_s", "left").join(exact, "_s", "left")
-    rows = rows.join(cuts, "_s")
+    rows = rows.join(written(cuts, "mix_cuts"), "_s")
     bin1, bin2, at = F.shiftright("rank", 36), F.shiftright("rank", 24) % (1 << BITS), F.struct("rank", F.coalesce("id", F.lit(-(1 << 62))).alias("id"))
     below = F.col("_bin1").isNull() | (bin1 < F.col("_bin1")) | ((bin1 == F.col("_bin1")) & (F.col("_bin2").isNull() | (bin2 < F.col("_bin2")) | ((bin2 == F.col("_bin2")) & F.col("_last").isNotNull() & (at <= F.col("_last")))))
     extra = F.when((F.col("_need") > 0) & (F.col("size") > 0) & below, 1).otherwise(0)
