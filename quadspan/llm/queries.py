@@ -8,7 +8,8 @@ from .mixing import op7_mixing
 from .near_dedup import op1_near_dedup
 from .orc import op10_token_ids
 from .quality import op8_quality_rules
+from .suffix import op6_suffix_dedup
 from .urls import OP3_SQL, op3_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_url_filters, op4_html_text, op7_mixing, op8_quality_rules, op9_decontamination, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_url_filters, op4_html_text, op6_suffix_dedup, op7_mixing, op8_quality_rules, op9_decontamination, op10_token_ids)}
 ORACLE: dict[str, str] = {"op3_url_filters": OP3_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,9 @@ def running(df: DataFrame, part: str, order: list[str], size: str, out: str) ->
     within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumn("_within", F.coalesce(F.sum(size).over(within), F.lit(0)))
     return rows.join(before, part).withColumn(out, F.col("_before") + F.col("_within")).drop("_before", "_within")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that no live plan refers to, before the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
