@@ -98,3 +98,10 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs, words_of()).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The documents, each as often as the mix takes it, with the columns that they had."""
+    copies = mix(docs, words_of(text), weights, most, seed, None, key, source).filter("copies > 0").groupBy(F.col(key).alias("_key"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
+    rows = docs.join(copies, docs[key].eqNullSafe(copies["_key"]) & docs[source].eqNullSafe(copies["_source"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(docs[c] for c in docs.columns))
