@@ -1,12 +1,298 @@
-"""The named queries of the graph engine, and the SQL of each."""
+"""The named queries of the graph engine, and the SQL of each.
+
+Queries run over the tables as a graph (``sources.rdfview``); their SQL runs over the same triples as a view T."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import vocab as v
+from .functions import terms as fn
+from .model import TRIPLE, Graph
+from .operators import closure as paths
+from .operators import construct as build
+from .plans import checks as k
+from .plans import oracle, passes, reasoner, repairs, shapes, triplify
+from .sources import rdfview
+from .sources.rdfview import EX, TableGraph, sql_view
 
-QUERIES: dict = {}
+c, lit = F.col, F.lit
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+TY = oracle.TY
+
+
+def add(name: str, run: Callable[[TableGraph], DataFrame], sql: str | None = None, ctes: str = "") -> None:
+    """A query over the graph; its SQL may use T and further CTEs."""
+    QUERIES[name] = lambda spark, sf_dir: run(TableGraph(spark, sf_dir))
+    if sql:
+        ORACLE[name] = f"WITH RECURSIVE {sql_view()}{', ' + ctes if ctes else ''} {sql}"
+
+
+def _named(run, id: str):
+    return lambda g: run(g).withColumns({"check_id": lit(id), "severity": lit(k.CHECKS[id].severity)})
+
+
+def _wrapped(id: str, body: str) -> str:
+    return f"SELECT DISTINCT focus_node, CAST(path AS VARCHAR) AS path, coalesce(CAST(value AS VARCHAR), focus_node) AS value, '{id}' AS check_id, '{k.CHECKS[id].severity}' AS severity FROM ({body})"
+
+
+# --- checks and shapes -------------------------------------------------------------------------------------------
+
+oracle.BODIES |= {
+    "MDL-001": ("", f"SELECT s AS focus_node, NULL AS path, o AS value FROM T WHERE p = '{v.INVERSE}' AND sk = 0 AND ok = 0 AND s IN {oracle.ANY_TYPED}"),
+    "MDL-002": ("", f"SELECT s AS focus_node, NULL AS path, o AS value FROM T WHERE p = '{v.EQUIV_CLASS}' AND sk = 0 AND ok = 0 AND s IN {oracle.typed(v.CLASS)}"),
+    "MDL-003": ("", f"SELECT s AS focus_node, NULL AS path, NULL AS value FROM {oracle.typed(v.CLASS)} WHERE NOT starts_with(s, '_:') AND s NOT IN (SELECT s FROM T WHERE p NOT IN ({', '.join(map(repr, (v.TYPE, v.LABEL, v.PREF_LABEL, v.COMMENT, v.DEFINITION, v.SEE_ALSO, v.DEFINED_BY, v.VERSION_INFO)))}) AND NOT (p = '{v.EQUIV_CLASS}' AND ok = 0))"),
+    "VOC-001": (
+        f"u AS (SELECT s, p, p AS t FROM T WHERE p <> {TY} UNION SELECT s, p, o FROM T WHERE ok = 0 AND p IN ({', '.join(map(repr, passes.TERM_PREDICATES))})), voc AS (SELECT DISTINCT regexp_replace(s, '[^#/]*$', '') AS ns FROM {oracle.typed(v.CLASS, v.RDFS_CLASS, v.OBJ_PROP, v.DATA_PROP, v.ANN_PROP, v.RDF_PROP)} WHERE NOT starts_with(s, '_:'))",
+        f"SELECT s AS focus_node, p AS path, t AS value FROM u WHERE regexp_replace(t, '[^#/]*$', '') IN (SELECT ns FROM voc) AND t NOT IN {oracle.typed()}",
+    ),
+}
+for _id, _check in list(k.CHECKS.items()):
+    add("check_" + _id.lower().replace("-", "_"), _named(_check.run, _id), _wrapped(_id, oracle.BODIES[_id][1]), oracle.BODIES[_id][0])
+_targets = {"EFF-001": (v.CLASS,), "QUA-002": (v.ONTOLOGY,), "STY-001": (v.CLASS,), "LOG-001": (v.CLASS,), "LOG-003": (v.CLASS,), "STY-002-obj": (v.OBJ_PROP,), "STY-002-data": (v.DATA_PROP,)}
+for _shape in shapes.SHAPES.values():
+    _more, _body = oracle.BODIES[_shape.check_id]
+    if _shape.id in _targets:
+        _body = f"SELECT * FROM ({_body}) WHERE focus_node IN {oracle.typed(*_targets[_shape.id])}"
+    add("shacl_" + _shape.id.lower().replace("-", "_"), _named(_shape.run, _shape.check_id), _wrapped(_shape.check_id, _body), _more)
+
+
+def _headless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QUA-005 where no ontology is declared: over the tables alone."""
+    return _named(k.qua_005, "QUA-005")(TableGraph(spark, sf_dir, [t for t in rdfview.ontology() if t[2] != v.ONTOLOGY]))
+
+
+QUERIES["check_qua_005_headless"] = _headless
+ORACLE["check_qua_005_headless"] = f"WITH {sql_view()} SELECT '{v.GRAPH}' AS focus_node, CAST(NULL AS VARCHAR) AS path, '{v.GRAPH}' AS value, 'QUA-005' AS check_id, 'Warning' AS severity FROM T WHERE p = {TY} AND o = '{v.ONTOLOGY}' AND NOT starts_with(s, 'http') HAVING count(*) = 0"
+
+_LITERAL = f"SELECT s AS focus_node, p AS path, o AS value FROM T WHERE ok = 2 AND dt IN ('{v.XSD}date', '{v.XSD}dateTime') AND regexp_matches(o, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(substr(o, 1, 10) AS DATE) IS NULL"
+add("literal_typing", lambda g: passes.literal_typing(g).select("s", "p", "o"), f"SELECT DISTINCT focus_node AS s, path AS p, value AS o FROM ({_LITERAL})")
+RULES = [(EX + "Order", [v.LABEL, EX + "placedBy"]), (EX + "Customer", [EX + "hasOrder"])]
+_PRJ = " UNION ALL ".join(f"SELECT s AS focus_node, '{p}' AS path, '{cls}' AS value FROM {oracle.typed(cls)} WHERE s NOT IN {oracle.having(p)}" for cls, ps in RULES for p in ps)
+add("prj_required", lambda g: passes.required(g, RULES), f"SELECT DISTINCT focus_node, path, value FROM ({_PRJ})")
+
+
+def _merged(g: Graph) -> DataFrame:
+    return passes.run_checks(g, rules=RULES).select("check_id", "severity", "focus_node", "path", "value", F.array_join("sources", "|").alias("sources"))
+
+
+def _one(id: str, sev: str, source: str, more: str, body: str) -> str:
+    inner = f"WITH RECURSIVE {more} {body}" if more else body
+    return f"SELECT DISTINCT '{id}' AS check_id, '{sev}' AS severity, focus_node, CAST(path AS VARCHAR) AS path, coalesce(CAST(value AS VARCHAR), focus_node) AS value, '{source}' AS source FROM ({inner})"
+
+
+_all = [_one(i, k.CHECKS[i].severity, {"MDL": "guidance", "VOC": "vocabulary"}.get(i[:3], "sparql"), *oracle.BODIES[i]) for i in k.CHECKS]
+_all += [_one("DAT-001", "Violation", "literal", "", _LITERAL), _one("PRJ-REQUIRED", "Violation", "rules", "", _PRJ)]
+_merge_sql = "SELECT check_id, max(severity) AS severity, focus_node, path, value, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM F GROUP BY check_id, focus_node, path, value"
+add("findings_merged", _merged, _merge_sql, f"F AS ({' UNION ALL '.join(_all)})")
+add("findings_by_severity", lambda g: _merged(g).groupBy("check_id", "severity").agg(F.count("*").alias("n")), f"SELECT check_id, severity, count(*) AS n FROM ({_merge_sql}) GROUP BY check_id, severity", f"F AS ({' UNION ALL '.join(_all)})")
+
+# --- algebra -------------------------------------------------------------------------------------------------------
+
+so = lambda t, s="s", o="o": t.select(c("s").alias(s), c("o").alias(o))
+add("algebra_pattern_scan", lambda g: so(g.scan(EX + "inRegion")), f"SELECT s, o FROM T WHERE p = '{EX}inRegion'")
+add("algebra_bgp_join", lambda g: so(g.scan(EX + "placedBy"), "order", "customer").join(so(g.scan(EX + "inNation"), "customer", "nation"), "customer"), f"SELECT a.s AS \"order\", a.o AS customer, b.o AS nation FROM T a JOIN T b ON a.o = b.s AND b.p = '{EX}inNation' WHERE a.p = '{EX}placedBy'")
+add("algebra_self_join", lambda g: so(g.scan(EX + "inRegion"), "a", "r").join(so(g.scan(EX + "inRegion"), "b", "r"), "r").filter("a < b"), f"SELECT a.s AS a, b.s AS b, a.o AS r FROM T a JOIN T b ON a.o = b.o AND b.p = a.p AND a.s < b.s WHERE a.p = '{EX}inRegion'")
+add("algebra_variable_predicate", lambda g: g.scan_of(g.scan(v.RANGE).filter(c("o") == v.XSD + "decimal").select(c("s").alias("p"))).groupBy("p").agg(F.count("*").alias("n")), f"SELECT p, count(*) AS n FROM T WHERE p IN (SELECT s FROM T WHERE p = '{v.RANGE}' AND o = '{v.XSD}decimal') GROUP BY p")
+add("algebra_repeated_variable", lambda g: g.scan().filter("s = o and ok <> 2").select("s", "p"), "SELECT s, p FROM T WHERE s = o AND ok <> 2")
+add("algebra_theta_join", lambda g: so(g.scan(v.LABEL).filter("lang = 'en'"), "s", "a").join(so(g.scan(v.LABEL).filter("lang is null"), "s", "b"), "s").filter("a >= b"), f"SELECT a.s, a.o AS a, b.o AS b FROM T a JOIN T b ON a.s = b.s AND b.p = a.p AND a.o >= b.o WHERE a.p = '{v.LABEL}' AND a.lang = 'en' AND b.lang IS NULL")
+add("algebra_semi_join", lambda g: k.within(g.typed(EX + "Customer"), g.having(EX + "hasOrder"), "s"), f"SELECT s FROM {oracle.typed(EX + 'Customer')} WHERE s IN {oracle.having(EX + 'hasOrder')}")
+add("algebra_anti_join", lambda g: k.without(g.typed(EX + "Customer"), g.having(EX + "hasOrder"), "s"), f"SELECT s FROM {oracle.typed(EX + 'Customer')} WHERE s NOT IN {oracle.having(EX + 'hasOrder')}")
+
+
+def _exists_or(g: Graph) -> DataFrame:
+    marks = lambda d, name: d.withColumn(name, lit(True))
+    t = g.typed(EX + "Part").join(marks(g.having(EX + "relatedPart"), "a"), "s", "left").join(marks(g.having(EX + "selfRef"), "b"), "s", "left")
+    return t.filter("(a is not null and b is null) or (a is null and b is not null)").select("s")
+
+
+_r, _f = oracle.having(EX + "relatedPart"), oracle.having(EX + "selfRef")
+add("algebra_exists_or", _exists_or, f"SELECT s FROM {oracle.typed(EX + 'Part')} WHERE (s IN {_r} AND s NOT IN {_f}) OR (s NOT IN {_r} AND s IN {_f})")
+add("algebra_optional", lambda g: g.typed(EX + "Part").join(so(g.scan(EX + "relatedPart"), "s", "other"), "s", "left"), f"SELECT a.s, b.o AS other FROM {oracle.typed(EX + 'Part')} a LEFT JOIN T b ON a.s = b.s AND b.p = '{EX}relatedPart'")
+add("algebra_minus", lambda g: build.minus(g.typed(EX + "Nation"), g.having(EX + "regionPeer")), f"SELECT s FROM {oracle.typed(EX + 'Nation')} WHERE s NOT IN {oracle.having(EX + 'regionPeer')}")
+
+
+def _values(g: Graph) -> DataFrame:
+    inline = g.spark.createDataFrame([(EX + "nation-1", "one"), (None, "any"), (EX + "nation-x", "none")], "s string, tag string")
+    return build.compatible_join(so(g.scan(EX + "inRegion"), "s", "region"), inline, ["s"])
+
+
+add("algebra_values_undef", _values, f"SELECT t.s, t.o AS region, x.tag FROM T t JOIN (VALUES ('{EX}nation-1', 'one'), (NULL, 'any'), ('{EX}nation-x', 'none')) x(s, tag) ON x.s IS NULL OR x.s = t.s WHERE t.p = '{EX}inRegion'")
+add("algebra_union", lambda g: g.scan(v.TYPE).filter(c("o").isin(v.OBJ_PROP)).select("s").unionByName(g.scan(v.TYPE).filter(c("o").isin(v.DATA_PROP)).select("s")), f"SELECT s FROM T WHERE p = {TY} AND o = '{v.OBJ_PROP}' UNION ALL SELECT s FROM T WHERE p = {TY} AND o = '{v.DATA_PROP}'")
+add("algebra_except", lambda g: g.typed(EX + "Event_error").exceptAll(g.typed(EX + "Event_click")), f"SELECT s FROM {oracle.typed(EX + 'Event_error')} EXCEPT SELECT s FROM {oracle.typed(EX + 'Event_click')}")
+add("algebra_intersect", lambda g: g.typed(EX + "Event_error").intersect(g.typed(EX + "Event_click")), f"SELECT s FROM {oracle.typed(EX + 'Event_error')} INTERSECT SELECT s FROM {oracle.typed(EX + 'Event_click')}")
+add("algebra_distinct", lambda g: g.scan().select("p").distinct(), "SELECT DISTINCT p FROM T")
+add("algebra_subselect", lambda g: g.scan(EX + "placedBy").groupBy(c("o").alias("s")).agg(F.count("*").alias("n")).join(so(g.scan(EX + "segment"), "s", "segment"), "s").groupBy("segment").agg(F.max("n").alias("most")), f"SELECT b.o AS segment, max(n) AS most FROM (SELECT o AS s, count(*) AS n FROM T WHERE p = '{EX}placedBy' GROUP BY o) a JOIN T b ON a.s = b.s AND b.p = '{EX}segment' GROUP BY b.o")
+add("algebra_group_having", lambda g: g.scan(EX + "soldBy").groupBy("o").agg(F.count("*").alias("n")).filter("n > 50"), f"SELECT o, count(*) AS n FROM T WHERE p = '{EX}soldBy' GROUP BY o HAVING count(*) > 50")
+add("algebra_global_agg", lambda g: g.scan().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(c("ok") == 1, 1).otherwise(0)), lit(0)).alias("blank")), "SELECT count(*) AS n, CAST(coalesce(sum(CASE WHEN ok = 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS blank FROM T")
+add("algebra_count_distinct", lambda g: g.scan(EX + "segment").agg(F.count_distinct("o").alias("n")), f"SELECT count(DISTINCT o) AS n FROM T WHERE p = '{EX}segment'")
+add("algebra_group_concat", lambda g: so(g.scan(EX + "inRegion"), "nation", "region").groupBy("region").agg(F.array_join(F.array_sort(F.collect_set("nation")), "|").alias("nations")), f"SELECT o AS region, string_agg(DISTINCT s, '|' ORDER BY s) AS nations FROM T WHERE p = '{EX}inRegion' GROUP BY o")
+add("algebra_min_max_sample", lambda g: g.scan(EX + "orderDay").agg(F.min("o").alias("lo"), F.max("o").alias("hi"), F.count("*").alias("n")), f"SELECT min(o) AS lo, max(o) AS hi, count(*) AS n FROM T WHERE p = '{EX}orderDay'")
+add("algebra_order_limit", lambda g: so(g.scan(EX + "brand")).orderBy("o", "s").offset(5).limit(20), f"SELECT s, o FROM T WHERE p = '{EX}brand' ORDER BY o, s LIMIT 20 OFFSET 5")
+
+
+def _contains(g: Graph) -> DataFrame:
+    """Containment edges: customer, nation, region, with the schema's planted cycle."""
+    return paths.edges(g.scan(EX + "inNation", EX + "inRegion", v.SUBCLASS))
+
+
+_edge = f"e AS (SELECT DISTINCT s AS x, o AS y FROM T WHERE p IN ('{EX}inNation', '{EX}inRegion', '{v.SUBCLASS}') AND ok <> 2), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)"
+add("algebra_path_plus", lambda g: paths.closure(_contains(g)).select("x", "y"), "SELECT x, y FROM r", _edge)
+add("algebra_path_star", lambda g: paths.reflexive(paths.closure(_contains(g)), _contains(g).select("x").union(_contains(g).select("y")).distinct()), "SELECT x, y FROM r UNION SELECT x, x FROM e UNION SELECT y, y FROM e", _edge)
+add("algebra_path_alternative", lambda g: paths.alternative(paths.edges(g.scan(EX + "inNation")), paths.edges(g.scan(EX + "inRegion"))), f"SELECT s AS x, o AS y FROM T WHERE p IN ('{EX}inNation', '{EX}inRegion')")
+add("algebra_path_inverse", lambda g: paths.inverse(paths.edges(g.scan(EX + "placedBy"))), f"SELECT o AS x, s AS y FROM T WHERE p = '{EX}placedBy'")
+add("algebra_path_sequence", lambda g: paths.sequence(paths.edges(g.scan(EX + "inNation")), paths.edges(g.scan(EX + "inRegion"))), f"SELECT a.s AS x, b.o AS y FROM T a JOIN T b ON a.o = b.s AND b.p = '{EX}inRegion' WHERE a.p = '{EX}inNation'")
+add("algebra_path_optional", lambda g: paths.optional(paths.edges(g.scan(EX + "regionPeer")), g.typed(EX + "Nation").select(c("s").alias("x"))), f"SELECT s AS x, o AS y FROM T WHERE p = '{EX}regionPeer' UNION SELECT s, s FROM {oracle.typed(EX + 'Nation')}")
+add("algebra_path_negated", lambda g: paths.negated(g.scan(EX + "inNation", EX + "inRegion", EX + "regionPeer"), [EX + "inNation"]), f"SELECT s AS x, o AS y FROM T WHERE p IN ('{EX}inRegion', '{EX}regionPeer')")
+add("algebra_describe", lambda g: build.describe(g.scan(), g.spark.createDataFrame([(EX + "nation-3",)], "s string")), f"SELECT * FROM T WHERE s = '{EX}nation-3'")
+add("algebra_ask", lambda g: build.ask(k.without(g.typed(EX + "Order"), g.having(EX + "placedBy"), "s")), f"SELECT count(*) > 0 AS answer FROM {oracle.typed(EX + 'Order')} WHERE s NOT IN {oracle.having(EX + 'placedBy')}")
+add("competency_ask", lambda g: build.competency(k.without(g.typed(EX + "Order"), g.having(v.LABEL), "s"), expect=False), f"SELECT (count(*) > 0) = false AS passed FROM {oracle.typed(EX + 'Order')} WHERE s NOT IN {oracle.having(v.LABEL)}")
+add("competency_min_rows", lambda g: build.competency(g.typed(EX + "Nation"), min_rows=20), f"SELECT count(*) >= 20 AS passed FROM {oracle.typed(EX + 'Nation')}")
+
+
+def _construct(g: Graph) -> DataFrame:
+    s = so(g.scan(EX + "placedBy"), "order", "customer").join(so(g.scan(EX + "orderDay"), "order", "day"), "order", "left")
+    return build.construct(s, [(c("customer"), EX + "ordered", fn.iri(c("order"))), (c("order"), EX + "on", fn.strdt(c("day"), v.XSD + "date"))])
+
+
+add("algebra_construct", _construct, f"SELECT o AS s, 0 AS sk, '{EX}ordered' AS p, s AS o, 0 AS ok, CAST(NULL AS VARCHAR) AS dt, CAST(NULL AS VARCHAR) AS lang FROM T WHERE p = '{EX}placedBy' UNION SELECT b.s, 0, '{EX}on', b.o, 2, '{v.XSD}date', NULL FROM T a JOIN T b ON a.s = b.s AND b.p = '{EX}orderDay' WHERE a.p = '{EX}placedBy'")
+
+
+def _update(g: Graph) -> DataFrame:
+    part = Graph(g.scan(EX + "inRegion", v.LABEL), distinct=True)
+    gone = part.scan(v.LABEL).filter("lang is null")
+    return repairs.update(part, gone, gone.withColumns({"dt": lit(v.RDF + "langString"), "lang": lit("en")}))
+
+
+add("algebra_update", _update, f"SELECT s, sk, p, o, ok, CASE WHEN p = '{v.LABEL}' THEN '{v.RDF}langString' ELSE dt END AS dt, CASE WHEN p = '{v.LABEL}' AND lang IS NULL THEN 'en' ELSE lang END AS lang FROM T WHERE p IN ('{EX}inRegion', '{v.LABEL}') GROUP BY ALL")
+
+# --- functions -----------------------------------------------------------------------------------------------------
+
+_L, _lab = v.LABEL, lambda g: g.scan(v.LABEL)
+for _name, _col, _sql in (
+    ("str", fn.str_(), "o"),
+    ("concat", F.concat(c("o"), lit("@"), c("lang")), "CASE WHEN lang IS NULL THEN NULL ELSE o || '@' || lang END"),
+    ("strstarts", c("o").startswith("C"), "starts_with(o, 'C')"),
+    ("strends", c("o").endswith("1"), "ends_with(o, '1')"),
+    ("regex", c("o").rlike("^[A-Z]+$"), "regexp_matches(o, '^[A-Z]+$')"),
+    ("replace", F.regexp_replace("s", "^(.*[/#])[^/#]*$", "$1"), "regexp_replace(s, '^(.*[/#])[^/#]*$', '\\1')"),
+    ("lcase", F.lower("o"), "lower(o)"),
+    ("lang", fn.lang(), "coalesce(lang, '')"),
+    ("datatype", fn.datatype(), "dt"),
+    ("iskind", F.concat_ws("", fn.is_iri().cast("int"), fn.is_blank().cast("int"), fn.is_literal().cast("int")), "'001'"),
+    ("bound", c("lang").isNotNull(), "lang IS NOT NULL"),
+    ("if", F.when(c("lang") == "en", "yes").otherwise("no"), "CASE WHEN lang = 'en' THEN 'yes' ELSE 'no' END"),
+    ("in", c("lang").isin("en", "de"), "lang IN ('en', 'de')"),
+    ("round", F.round(F.length("o").cast("decimal(18,3)") / 7, 1).cast("decimal(18,1)").cast("string"), "CAST(CAST(round(CAST(length(o) AS DECIMAL(18,3)) / 7, 1) AS DECIMAL(18,1)) AS VARCHAR)"),
+    ("iri", fn.iri(c("o"))["ok"], "0"),
+    ("strdt", fn.strdt(c("o"), v.XSD + "token")["dt"], f"'{v.XSD}token'"),
+    ("strlang", fn.strlang(c("o"), "fr")["lang"], "'fr'"),
+    ("encode_for_uri", fn.encode_for_uri(F.concat(c("o"), lit(" *~é/"))), "url_encode(o || ' *~é/')"),
+    ("shrink", fn.shrink(c("s"), {"ex": EX, "e": "http://example.org/"}), f"CASE WHEN starts_with(s, '{EX}') AND length(s) > {len(EX)} THEN 'ex:' || substr(s, {len(EX) + 1}) WHEN starts_with(s, 'http://example.org/') THEN 'e:' || substr(s, 20) ELSE s END"),
+    ("local_name", fn.local_name(c("s")), "regexp_replace(s, '^.*[#/]', '')"),
+):
+    add(f"fn_{_name}", lambda g, col=_col: _lab(g).select("s", c("o").alias("said"), col.alias("result")), f"SELECT s, o AS said, {_sql} AS result FROM T WHERE p = '{_L}'")
+
+# --- passes --------------------------------------------------------------------------------------------------------
+
+
+def _quads(g: TableGraph) -> DataFrame:
+    """The schema with positions, for the order-dependent term model."""
+    rows = [(k_, *r) for k_, r in enumerate(g.schema.collect())]  # inline triples: a fixed few hundred
+    return g.spark.createDataFrame(rows, "seq long, s string, sk int, p string, o string, ok int, dt string, lang string")
+
+
+def _terms(g: TableGraph) -> DataFrame:
+    m = passes.term_model(_quads(g), strict_order=False)
+    return m.select("iri", "label", *(F.array_join(x, "|").alias(x) for x in ("kinds", "domain", "range", "sub_class_of", "inverse_of")), "has_own_structure")
+
+
+add("term_model", _terms)
+add("metrics", passes.metrics)
+add("metrics_counts", lambda g: passes.metrics(g).select("classes", "object_properties", "datatype_properties", "missing_label", "edges", "axioms"), f"""SELECT (SELECT count(DISTINCT s) FROM {oracle.typed(v.CLASS)}) AS classes, (SELECT count(DISTINCT s) FROM {oracle.typed(v.OBJ_PROP)}) AS object_properties, (SELECT count(DISTINCT s) FROM {oracle.typed(v.DATA_PROP)}) AS datatype_properties,
+(SELECT count(DISTINCT s) FROM {oracle.typed(v.CLASS, v.OBJ_PROP, v.DATA_PROP)} WHERE s NOT IN {oracle.having(v.LABEL, v.PREF_LABEL)}) AS missing_label, (SELECT count(*) FROM T WHERE p = '{v.SUBCLASS}') AS edges, (SELECT count(*) FROM T) AS axioms""")
+add("expressivity", passes.expressivity)
+add("profiles", lambda g: passes.expressivity(g).select("logic", "el", "ql", "rl"), "SELECT 'AL+HIF(D)' AS logic, false AS el, false AS ql, true AS rl")
+add("max_depth", passes.max_depth, "SELECT max(n) AS max_depth FROM d", f"e AS (SELECT DISTINCT s AS x, o AS y FROM T WHERE p = '{v.SUBCLASS}' AND s NOT LIKE '%Cycle%'), d AS (SELECT x, y, CAST(1 AS BIGINT) AS n FROM e UNION SELECT d.x, e.y, d.n + 1 FROM d JOIN e ON d.y = e.x)")
+_tree = f"k AS (SELECT DISTINCT s FROM {oracle.typed(v.CLASS)}), up AS (SELECT DISTINCT s AS x, o AS y FROM T WHERE p = '{v.SUBCLASS}' AND s <> o AND s IN (SELECT s FROM k) AND o IN (SELECT s FROM k))"
+add("hierarchy_children", lambda g: passes.hierarchy(g).filter("parent is not null"), "SELECT y AS parent, string_agg(x, '|' ORDER BY x) AS children FROM up GROUP BY y", _tree)
+add("hierarchy_roots", lambda g: passes.hierarchy(g).filter("parent is null").select("children"), "SELECT string_agg(s, '|' ORDER BY s) AS children FROM k WHERE s NOT IN (SELECT x FROM up)", _tree)
+add("neighbourhood", lambda g: passes.neighbourhood(Graph(g.scan(EX + "inRegion", EX + "inNation", EX + "regionPeer"), distinct=True), g.spark.createDataFrame([(EX + "region-1",)], "node string"), 2), "SELECT node, min(hops) AS hops FROM b GROUP BY node", f"l AS (SELECT s AS x, o AS y FROM T WHERE p IN ('{EX}inRegion', '{EX}inNation', '{EX}regionPeer') UNION SELECT o, s FROM T WHERE p IN ('{EX}inRegion', '{EX}inNation', '{EX}regionPeer')), b AS (SELECT '{EX}region-1' AS node, 0 AS hops UNION SELECT y, hops + 1 FROM b JOIN l ON node = x WHERE hops < 2)")
+add("undeclared_terms", lambda g: passes.undeclared_terms(g.scan().select("p", "o", "ok"), g), f"SELECT DISTINCT term, use FROM (SELECT o AS term, 'class' AS use FROM T WHERE p = {TY} AND ok = 0 UNION SELECT p, 'property' FROM T WHERE p <> {TY}) WHERE NOT starts_with(term, '{v.W3C}') AND term NOT IN {oracle.typed()}")
+
+
+def _prefixes(g: Graph) -> DataFrame:
+    a = g.spark.createDataFrame([("ex", EX), ("e", "http://example.org/"), ("x", "http://x/"), ("y", "http://y/")], "prefix string, ns string")
+    b = g.spark.createDataFrame([("ex", EX), ("e", "http://example.org/other/"), ("z", "http://x/")], "prefix string, ns string")
+    return passes.prefix_alignment(a, b)
+
+
+add("prefix_alignment", _prefixes, "SELECT * FROM (VALUES ('e', 'http://example.org/', 'namespace_mismatch'), ('x', 'http://x/', 'prefix_name_mismatch'), ('y', 'http://y/', 'undeclared_namespace')) x(prefix, ns, problem)")
+
+
+def _imports(g: Graph) -> DataFrame:
+    """Nations as documents that import their successor, by customers' nations."""
+    pairs = paths.sequence(paths.inverse(paths.edges(g.scan(EX + "inRegion"))), paths.edges(g.scan(EX + "regionPeer")))
+    imports = pairs.select(c("x").alias("doc"), c("y").alias("iri"))
+    return passes.import_closure(g.spark.createDataFrame([(EX + "region-0",)], "doc string"), imports.union(so(g.scan(EX + "regionPeer"), "doc", "iri")), g.scan(v.TYPE).select(c("s").alias("iri"), c("s").alias("doc")).distinct())
+
+
+add("import_closure", _imports, "SELECT doc, min(hops) AS hops FROM b GROUP BY doc", f"i AS (SELECT a.o AS x, b.o AS y FROM T a JOIN T b ON a.s = b.s AND b.p = '{EX}regionPeer' WHERE a.p = '{EX}inRegion' UNION SELECT s, o FROM T WHERE p = '{EX}regionPeer'), b AS (SELECT '{EX}region-0' AS doc, 0 AS hops UNION SELECT y, hops + 1 FROM b JOIN i ON doc = x WHERE hops < 30)")
+
+# --- reasoner, repairs, triplify -------------------------------------------------------------------------------------
+
+
+def _slim(g: TableGraph) -> Graph:
+    """Facts that the rules act on, of all events, customers and nations."""
+    return Graph(g.scan(v.TYPE, v.SUBCLASS, v.SUBPROP, v.EQUIV_CLASS, v.EQUIV_PROP, v.SAME, v.DIFFERENT, v.DOMAIN, v.RANGE, v.DISJOINT, EX + "inNation", EX + "regionPeer"), distinct=True)
+
+
+add("rdfs_closure", lambda g: reasoner.reason(_slim(g)).scan().groupBy("p").agg(F.count("*").alias("n")))
+add("inferred_only", lambda g: reasoner.inferred(s := _slim(g), reasoner.reason(s)).groupBy("p").agg(F.count("*").alias("n")))
+add("rea_disjoint", lambda g: reasoner.disjoint_members(reasoner.reason(Graph(g.scan(v.TYPE, v.SUBCLASS, v.DISJOINT), distinct=True))), f"SELECT DISTINCT a.i AS focus_node, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS value FROM m a JOIN m b ON a.i = b.i JOIN T d ON d.p = '{v.DISJOINT}' AND d.s = a.t AND d.o = b.t", f"m AS (SELECT s AS i, o AS t FROM T WHERE p = {TY} UNION SELECT m.i, T.o FROM m JOIN T ON T.p = '{v.SUBCLASS}' AND T.s = m.t)")
+add("rea_samediff", lambda g: reasoner.same_and_different(reasoner.reason(Graph(g.scan(v.SAME, v.DIFFERENT), distinct=True))), f"SELECT DISTINCT a.s AS focus_node, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS value FROM T a JOIN T b ON b.p = '{v.SAME}' AND ((a.s = b.s AND a.o = b.o) OR (a.s = b.o AND a.o = b.s)) WHERE a.p = '{v.DIFFERENT}'")
+
+
+def _repair(id: str):
+    def run(g: TableGraph) -> DataFrame:
+        small = Graph(g.schema, distinct=True)
+        check = {"PRJ-REQUIRED": lambda x: passes.required(x, [(v.CLASS, [v.LABEL])])}.get(id) or k.CHECKS[id].run
+        added, removed, _ = repairs.repair(small, id, check(small))
+        return added.withColumn("change", lit("added")).unionByName(removed.withColumn("change", lit("removed")))
+
+    return run
+
+
+_val = ", ".join(f"({', '.join('NULL' if x is None else repr(x) if isinstance(x, str) else str(x) for x in r)})" for r in [(*t, None, None) if len(t) == 3 else t for t in rdfview.ontology()])
+for _id in repairs.templates():
+    add("repair_" + _id.lower().replace("-", "_"), _repair(_id))
+
+
+def _triplify(g: TableGraph) -> DataFrame:
+    orders = g.spark.read.parquet(f"{g.dir}/orders.parquet")
+    row = F.concat(lit(EX + "o-"), fn.encode_for_uri(c("o_orderkey").cast("string")))
+    day = fn.strdt(F.date_format("o_orderdate", "yyyy-MM-dd"), v.XSD + "date")
+    return build.construct(orders, [(row, v.TYPE, fn.iri(lit(EX + "Order"))), (row, EX + "day", day), (row, EX + "priority", fn.iri(F.concat(lit(EX + "priority-"), fn.encode_for_uri(c("o_orderpriority"))))), (row, v.LABEL, fn.strlang(c("o_orderstatus"), "en"))])
+
+
+_nul = "CAST(NULL AS VARCHAR)"
+add("triplify_orders", _triplify, f"""SELECT '{EX}o-' || o_orderkey AS s, 0 AS sk, {TY} AS p, '{EX}Order' AS o, 0 AS ok, {_nul} AS dt, {_nul} AS lang FROM orders UNION SELECT '{EX}o-' || o_orderkey, 0, '{EX}day', strftime(o_orderdate, '%Y-%m-%d'), 2, '{v.XSD}date', NULL FROM orders
+UNION SELECT '{EX}o-' || o_orderkey, 0, '{EX}priority', '{EX}priority-' || url_encode(o_orderpriority), 0, NULL, NULL FROM orders UNION SELECT '{EX}o-' || o_orderkey, 0, '{v.LABEL}', o_orderstatus, 2, '{v.RDF}langString', 'en' FROM orders""")
+
+
+def _profile(g: TableGraph) -> DataFrame:
+    return triplify.profile(g.spark.read.parquet(f"{g.dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", c("p_size").cast("string").alias("p_size")))
+
+
+_cells = " UNION ALL ".join(f"SELECT '{x}' AS \"column\", CAST({x} AS VARCHAR) AS cell FROM part" for x in ("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+_is = " ".join(f"WHEN bool_and(regexp_matches(cell, '{p}')) THEN '{n}'" for n, p in triplify._KINDS)
+add("csv_profile", _profile, f"""SELECT "column", CASE WHEN count(DISTINCT cell) <= 12 AND count(DISTINCT cell) < count(*) AND count(*) > 1 THEN 'enum' {_is} ELSE 'string' END AS kind, count(*) AS filled, count(DISTINCT cell) AS different, regexp_matches("column", '(?i)(^|_)(id|key|code|uuid)$') OR (count(DISTINCT cell) = count(*) AND count(*) > 1) AS may_be_key,
+CASE WHEN count(DISTINCT cell) <= 12 THEN string_agg(DISTINCT cell, '|' ORDER BY cell) ELSE '' END AS samples FROM cells WHERE cell <> '' GROUP BY "column\"""", f"cells AS ({_cells})")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return passes.run_checks(TableGraph(spark, sf_dir), rules=RULES)
