@@ -6,7 +6,8 @@ multi-index of the items' fingerprints has eight blocks of eight bits; two finge
 block to two bits, so looking up each block's neighbours finds all items within that radius.  Candidates are verified by
 the exact weighted Jaccard similarity of the multisets, sum of minima over sum of maxima, 80 % or more.
 
-A window without a shingle of any item has similarity 0 and is never hashed; that is exact, and spares most of the text.
+A window with too few shingles of any item can't reach the similarity and is never hashed; that is exact, and spares
+most of the text.
 Documents are read once, where they lie, for each slice of the benchmark; a slice has a bounded number of items, so what
 a task holds doesn't grow with the benchmark.
 
@@ -34,7 +35,7 @@ BLOCKS, NEAR = 8, 2
 RADIUS = BLOCKS * (NEAR + 1) - 1
 #: Items of one slice of the benchmark.
 SLICE = 20_000
-_U1 = np.uint64(1)
+_U1, U8 = np.uint64(1), np.uint64(255)
 _SHIFTS = np.arange(64, dtype=np.uint64)
 _BALL = [[v for v in range(256) if (v ^ u).bit_count() <= NEAR] for u in range(256)]
 
@@ -70,13 +71,14 @@ class Index:
         self.shingles = np.unique(np.array([k for c in self.counts for k in c], np.uint64))
         self.coarse = np.zeros(1 << 20, bool)
         self.coarse[(self.shingles >> np.uint64(44)).astype(np.int64)] = True
-        #: For each block and its value, the items whose value lies within NEAR bits.
-        self.blocks: list[list[list[int]]] = [[[] for _ in range(256)] for _ in range(BLOCKS)]
-        for i, p in enumerate(self.prints.tolist()):
-            for b in range(BLOCKS):
-                for v in _BALL[(p >> (8 * b)) & 255]:
-                    self.blocks[b][v].append(i)
-        self.by_block = [[np.array(x, np.int64) for x in row] for row in self.blocks]
+        #: For each length: its items, and for each block and value of it which of them lie within NEAR bits.
+        self.near: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m, items in self.lengths.items():
+            table = np.zeros((BLOCKS, 256, len(items)), bool)
+            for k, i in enumerate(items):
+                for b in range(BLOCKS):
+                    table[b, _BALL[(int(self.prints[i]) >> (8 * b)) & 255], k] = True
+            self.near[m] = (np.array(items), table)
 
     def hits(self, s: np.ndarray) -> np.ndarray:
         """Which shingles are some item's."""
@@ -87,10 +89,15 @@ class Index:
             out[at] = self.shingles[place] == s[at]
         return out
 
-    def near(self, fingerprint: int, length: set[int]) -> list[int]:
-        """Items of these lengths within RADIUS bits, by the multi-index."""
-        found = np.unique(np.concatenate([self.by_block[b][(fingerprint >> (8 * b)) & 255] for b in range(BLOCKS)]))
-        return [i for i in found.tolist() if i in length and (int(self.prints[i]) ^ fingerprint).bit_count() <= RADIUS]
+    def lookup(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs within RADIUS bits, for windows of an item length, by the multi-index."""
+        items, table = self.near[length]
+        found = table[0][(prints & U8).astype(np.int64)]
+        for b in range(1, BLOCKS):
+            found |= table[b][((prints >> np.uint64(8 * b)) & U8).astype(np.int64)]
+        window, k = np.nonzero(found)
+        close = np.bitwise_count(prints[window] ^ self.prints[items[k]]) <= RADIUS
+        return window[close], items[k[close]]
 
     def match(self, s: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item, first word, words, sum of minima, sum of maxima) of a document's best windows.  s: its shingles."""
@@ -100,18 +107,18 @@ class Index:
         np.cumsum(signs(s), axis=0, out=sums[1:])
         for m, items in self.lengths.items():
             n = min(m - SHINGLE + 1, len(s))
-            starts = np.flatnonzero(total[n:] > total[: len(s) - n + 1])
+            # at most so many shingles are shared; where that can't reach the similarity, nothing is hashed
+            most = total[n:] - total[: len(s) - n + 1]
+            starts = np.flatnonzero((most > 0) & (100 * most >= PERCENT * (n + m - SHINGLE + 1 - most)))
             if not len(starts):
                 continue
-            prints = pack(sums[starts + n] - sums[starts])
-            members = set(items)
-            for at, p in zip(starts.tolist(), prints.tolist()):
-                for i in self.near(p, members):
-                    window = Counter(s[at : at + n].tolist())
-                    low = sum(min(c, self.counts[i][k]) for k, c in window.items() if k in self.counts[i])
-                    high = n + self.sizes[i] - low
-                    if 100 * low >= PERCENT * high and (i not in best or low * best[i][4] > best[i][3] * high):
-                        best[i] = (self.ids[i], at, n + SHINGLE - 1, low, high)
+            for at, i in zip(*(x.tolist() for x in self.lookup(pack(sums[starts + n] - sums[starts]), m))):
+                at = int(starts[at])
+                window = Counter(s[at : at + n].tolist())
+                low = sum(min(c, self.counts[i][k]) for k, c in window.items() if k in self.counts[i])
+                high = n + self.sizes[i] - low
+                if 100 * low >= PERCENT * high and (i not in best or low * best[i][4] > best[i][3] * high):
+                    best[i] = (self.ids[i], at, n + SHINGLE - 1, low, high)
         return list(best.values())
 
     def scan(self, t: Texts) -> Iterator[tuple[int, int, int, int, int, int]]:
