@@ -17,14 +17,17 @@ from ..model import Graph, union
 from ..operators.closure import closure, edges, reflexive
 
 c, lit = F.col, F.lit
-NULL = lit(None).cast("string")
+
+
+def null() -> Column:
+    return lit(None).cast("string")
 
 
 def rows(df: DataFrame, focus: Column | str, path: Column | str | None = None, value: Column | str | None = None) -> DataFrame:
     """Findings: a missing value is the focus node."""
     as_col = lambda x: x if isinstance(x, Column) else c(x)
     focus = as_col(focus)
-    return df.select(focus.alias("focus_node"), (NULL if path is None else as_col(path)).alias("path"), (focus if value is None else as_col(value)).alias("value")).distinct()
+    return df.select(focus.alias("focus_node"), (null() if path is None else as_col(path)).alias("path"), (focus if value is None else as_col(value)).alias("value")).distinct()
 
 
 def joined(*parts: Column) -> Column:

@@ -51,7 +51,7 @@ def _existing(g: Graph, found: DataFrame, p: str, value: bool = True) -> DataFra
 def templates(settings: dict[str, str] | None = None) -> dict[str, Callable[[Graph, DataFrame], tuple[DataFrame | None, DataFrame | None]]]:
     """check id: (graph, findings) -> (deletes, inserts)"""
     d = DEFAULTS | (settings or {})
-    f, val, path = c("focus_node"), c("value"), c("path")
+    f, val, path = (lambda n=n: c(n) for n in ("focus_node", "value", "path"))
     named = lambda x, col: x.filter(~c(col).startswith("_:") & c(col).isNotNull())
 
     def replaced(g, found, old, new):
@@ -63,19 +63,19 @@ def templates(settings: dict[str, str] | None = None) -> dict[str, Callable[[Gra
         return gone, gone.select(*_text(c("s"), lit(v.LABEL), c("o"), d["language"]))
 
     def recategorised(g, found):
-        gone = g.scan(v.TYPE).filter(c("o") == v.CLASS).join(found.select(f.alias("_f")).distinct(), c("s") == c("_f"), "left_semi").select(*TRIPLE)
+        gone = g.scan(v.TYPE).filter(c("o") == v.CLASS).join(found.select(f().alias("_f")).distinct(), c("s") == c("_f"), "left_semi").select(*TRIPLE)
         return gone, gone.select(*_iri(c("s"), lit(v.TYPE), lit(d["category_class"])))
 
-    out = {i: (lambda g, x: (None, named(x, "value").select(*_iri(val, lit(v.TYPE), lit(v.CLASS))))) for i in ("STR-001", "STR-005", "STR-008")}
+    out = {i: (lambda g, x: (None, named(x, "value").select(*_iri(val(), lit(v.TYPE), lit(v.CLASS))))) for i in ("STR-001", "STR-005", "STR-008")}
     out |= {
-        "STR-002": lambda g, x: (None, named(x, "path").select(*_iri(path, lit(v.TYPE), lit(v.RDF_PROP)))),
-        "STR-007": lambda g, x: (None, named(x, "focus_node").select(*_iri(f, lit(v.TYPE), lit(v.RDF_PROP)))),
-        "QUA-001": lambda g, x: (None, named(x, "focus_node").select(*_text(f, lit(v.LABEL), _humanised(f), d["language"]))),
-        "QUA-004": lambda g, x: (None, named(x, "focus_node").select(*_text(f, lit(v.PREF_LABEL), _humanised(f), d["language"]))),
-        "PRJ-REQUIRED": lambda g, x: (None, named(x, "focus_node").filter(path.isin(v.LABEL, v.PREF_LABEL)).select(*_text(f, path, _humanised(f), d["language"]))),
-        "QUA-002": lambda g, x: (None, named(x, "focus_node").select(*_text(f, lit(v.VERSION_INFO), lit(d["version"]), None))),
+        "STR-002": lambda g, x: (None, named(x, "path").select(*_iri(path(), lit(v.TYPE), lit(v.RDF_PROP)))),
+        "STR-007": lambda g, x: (None, named(x, "focus_node").select(*_iri(f(), lit(v.TYPE), lit(v.RDF_PROP)))),
+        "QUA-001": lambda g, x: (None, named(x, "focus_node").select(*_text(f(), lit(v.LABEL), _humanised(f()), d["language"]))),
+        "QUA-004": lambda g, x: (None, named(x, "focus_node").select(*_text(f(), lit(v.PREF_LABEL), _humanised(f()), d["language"]))),
+        "PRJ-REQUIRED": lambda g, x: (None, named(x, "focus_node").filter(path().isin(v.LABEL, v.PREF_LABEL)).select(*_text(f(), path(), _humanised(f()), d["language"]))),
+        "QUA-002": lambda g, x: (None, named(x, "focus_node").select(*_text(f(), lit(v.VERSION_INFO), lit(d["version"]), None))),
         "QUA-005": lambda g, x: (None, x.select(*_iri(lit(d["ontology"]), lit(v.TYPE), lit(v.ONTOLOGY)))),
-        "QUA-007": lambda g, x: (None, named(x, "focus_node").select(*_iri(f, lit(v.VERSION_IRI), F.concat(f, lit("/"), lit(d["version"]))))),
+        "QUA-007": lambda g, x: (None, named(x, "focus_node").select(*_iri(f(), lit(v.VERSION_IRI), F.concat(f(), lit("/"), lit(d["version"]))))),
         "LOG-003": lambda g, x: (_existing(g, x, v.SUBCLASS if d["equivalence"] == "keepEquivalentClass" else v.EQUIV_CLASS), None),
         "MDL-001": lambda g, x: (_existing(g, x, v.INVERSE), None),
         "MDL-002": lambda g, x: replaced(g, x, v.EQUIV_CLASS, v.SUBCLASS if d["mdl_002"] == "subClassOf" else v.CLOSE_MATCH),

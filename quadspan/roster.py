@@ -174,28 +174,28 @@ add("algebra_update", _update, f"SELECT s, sk, p, o, ok, CASE WHEN p = '{v.LABEL
 
 _L, _lab = v.LABEL, lambda g: g.scan(v.LABEL)
 for _name, _col, _sql in (
-    ("str", fn.str_(), "o"),
-    ("concat", F.concat(c("o"), lit("@"), c("lang")), "CASE WHEN lang IS NULL THEN NULL ELSE o || '@' || lang END"),
-    ("strstarts", c("o").startswith("C"), "starts_with(o, 'C')"),
-    ("strends", c("o").endswith("1"), "ends_with(o, '1')"),
-    ("regex", c("o").rlike("^[A-Z]+$"), "regexp_matches(o, '^[A-Z]+$')"),
-    ("replace", F.regexp_replace("s", "^(.*[/#])[^/#]*$", "$1"), "regexp_replace(s, '^(.*[/#])[^/#]*$', '\\1')"),
-    ("lcase", F.lower("o"), "lower(o)"),
-    ("lang", fn.lang(), "coalesce(lang, '')"),
-    ("datatype", fn.datatype(), "dt"),
-    ("iskind", F.concat_ws("", fn.is_iri().cast("int"), fn.is_blank().cast("int"), fn.is_literal().cast("int")), "'001'"),
-    ("bound", c("lang").isNotNull(), "lang IS NOT NULL"),
-    ("if", F.when(c("lang") == "en", "yes").otherwise("no"), "CASE WHEN lang = 'en' THEN 'yes' ELSE 'no' END"),
-    ("in", c("lang").isin("en", "de"), "lang IN ('en', 'de')"),
-    ("round", F.round(F.length("o").cast("decimal(18,3)") / 7, 1).cast("decimal(18,1)").cast("string"), "CAST(CAST(round(CAST(length(o) AS DECIMAL(18,3)) / 7, 1) AS DECIMAL(18,1)) AS VARCHAR)"),
-    ("iri", fn.iri(c("o"))["ok"], "0"),
-    ("strdt", fn.strdt(c("o"), v.XSD + "token")["dt"], f"'{v.XSD}token'"),
-    ("strlang", fn.strlang(c("o"), "fr")["lang"], "'fr'"),
-    ("encode_for_uri", fn.encode_for_uri(F.concat(c("o"), lit(" *~é/"))), "url_encode(o || ' *~é/')"),
-    ("shrink", fn.shrink(c("s"), {"ex": EX, "e": "http://example.org/"}), f"CASE WHEN starts_with(s, '{EX}') AND length(s) > {len(EX)} THEN 'ex:' || substr(s, {len(EX) + 1}) WHEN starts_with(s, 'http://example.org/') THEN 'e:' || substr(s, 20) ELSE s END"),
-    ("local_name", fn.local_name(c("s")), "regexp_replace(s, '^.*[#/]', '')"),
+    ("str", lambda: fn.str_(), "o"),
+    ("concat", lambda: F.concat(c("o"), lit("@"), c("lang")), "CASE WHEN lang IS NULL THEN NULL ELSE o || '@' || lang END"),
+    ("strstarts", lambda: c("o").startswith("C"), "starts_with(o, 'C')"),
+    ("strends", lambda: c("o").endswith("1"), "ends_with(o, '1')"),
+    ("regex", lambda: c("o").rlike("^[A-Z]+$"), "regexp_matches(o, '^[A-Z]+$')"),
+    ("replace", lambda: F.regexp_replace("s", "^(.*[/#])[^/#]*$", "$1"), "regexp_replace(s, '^(.*[/#])[^/#]*$', '\\1')"),
+    ("lcase", lambda: F.lower("o"), "lower(o)"),
+    ("lang", lambda: fn.lang(), "coalesce(lang, '')"),
+    ("datatype", lambda: fn.datatype(), "dt"),
+    ("iskind", lambda: F.concat_ws("", fn.is_iri().cast("int"), fn.is_blank().cast("int"), fn.is_literal().cast("int")), "'001'"),
+    ("bound", lambda: c("lang").isNotNull(), "lang IS NOT NULL"),
+    ("if", lambda: F.when(c("lang") == "en", "yes").otherwise("no"), "CASE WHEN lang = 'en' THEN 'yes' ELSE 'no' END"),
+    ("in", lambda: c("lang").isin("en", "de"), "lang IN ('en', 'de')"),
+    ("round", lambda: F.round(F.length("o").cast("decimal(18,3)") / 7, 1).cast("decimal(18,1)").cast("string"), "CAST(CAST(round(CAST(length(o) AS DECIMAL(18,3)) / 7, 1) AS DECIMAL(18,1)) AS VARCHAR)"),
+    ("iri", lambda: fn.iri(c("o"))["ok"], "0"),
+    ("strdt", lambda: fn.strdt(c("o"), v.XSD + "token")["dt"], f"'{v.XSD}token'"),
+    ("strlang", lambda: fn.strlang(c("o"), "fr")["lang"], "'fr'"),
+    ("encode_for_uri", lambda: fn.encode_for_uri(F.concat(c("o"), lit(" *~é/"))), "url_encode(o || ' *~é/')"),
+    ("shrink", lambda: fn.shrink(c("s"), {"ex": EX, "e": "http://example.org/"}), f"CASE WHEN starts_with(s, '{EX}') AND length(s) > {len(EX)} THEN 'ex:' || substr(s, {len(EX) + 1}) WHEN starts_with(s, 'http://example.org/') THEN 'e:' || substr(s, 20) ELSE s END"),
+    ("local_name", lambda: fn.local_name(c("s")), "regexp_replace(s, '^.*[#/]', '')"),
 ):
-    add(f"fn_{_name}", lambda g, col=_col: _lab(g).select("s", c("o").alias("said"), col.alias("result")), f"SELECT s, o AS said, {_sql} AS result FROM T WHERE p = '{_L}'")
+    add(f"fn_{_name}", lambda g, col=_col: _lab(g).select("s", c("o").alias("said"), col().alias("result")), f"SELECT s, o AS said, {_sql} AS result FROM T WHERE p = '{_L}'")
 
 # --- passes --------------------------------------------------------------------------------------------------------
 
