@@ -18,7 +18,7 @@ def _unescape(x: Column) -> Column:
         x = F.replace(x, F.lit("\\" + name), F.lit(char))
     # \\uXXXX and \\UXXXXXXXX: piece by piece
     pieces = F.split(x, "(?=\\\\u[0-9A-Fa-f]{4}|\\\\U[0-9A-Fa-f]{8})")
-    code = lambda p, n: F.decode(F.unhex(F.lpad(F.substring(p, 3, n), 8, "0")), "UTF-32BE")
+    code = lambda p, n: F.decode(F.unhex(F.lpad(F.substring(p, 3, n), 8, "0")), "UTF-32")
     made = F.transform(pieces, lambda p: F.when(p.rlike("^\\\\u[0-9A-Fa-f]{4}"), F.concat(code(p, 4), F.substring(p, 7, 1 << 30))).when(p.rlike("^\\\\U[0-9A-Fa-f]{8}"), F.concat(code(p, 8), F.substring(p, 11, 1 << 30))).otherwise(p))
     x = F.when(x.contains("\\u") | x.contains("\\U"), F.array_join(made, "")).otherwise(x)
     return F.replace(x, F.lit("\u0001"), F.lit("\\"))
