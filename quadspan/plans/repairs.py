@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as v
-from ..model import TRIPLE, Graph
+from ..model import TRIPLE, TRIPLE_SCHEMA, Graph
 
 c, lit = F.col, F.lit
 DEFAULTS = {"language": "en", "version": "1.0.0", "category_class": v.SKOS + "Concept", "ontology": "http://example.org/ontology", "equivalence": "keepEquivalentClass", "mdl_002": "subClassOf"}
@@ -30,11 +30,20 @@ def _text(s, p, o, lang: str | None) -> list:
     return [s.alias("s"), lit(0).alias("sk"), p.alias("p"), o.alias("o"), lit(2).alias("ok"), lit(v.RDF + "langString" if lang else v.XSD + "string").alias("dt"), lit(lang).cast("string").alias("lang")]
 
 
+def _same():
+    """A triple equals an underscored one."""
+    return (c("s") == c("_s")) & (c("p") == c("_p")) & (c("o") == c("_o")) & (c("ok") == c("_ok")) & c("dt").eqNullSafe(c("_dt")) & c("lang").eqNullSafe(c("_lang"))
+
+
+def _underscored(t: DataFrame) -> DataFrame:
+    return t.select(*(c(x).alias(f"_{x}") for x in TRIPLE)).distinct()
+
+
 def update(g: Graph, deletes: DataFrame | None, inserts: DataFrame | None) -> DataFrame:
     """DELETE and INSERT of triples."""
     out = g.scan().select(*TRIPLE).distinct()
     if deletes is not None:
-        out = out.join(deletes.select(*(c(x).alias(f"_{x}") for x in TRIPLE)).distinct(), (c("s") == c("_s")) & (c("p") == c("_p")) & (c("o") == c("_o")) & (c("ok") == c("_ok")) & c("dt").eqNullSafe(c("_dt")) & c("lang").eqNullSafe(c("_lang")), "left_anti")
+        out = out.join(_underscored(deletes), _same(), "left_anti")
     if inserts is not None:
         out = out.unionByName(inserts.select(*TRIPLE)).distinct()
     return out
@@ -88,6 +97,10 @@ def templates(settings: dict[str, str] | None = None) -> dict[str, Callable[[Gra
 def repair(g: Graph, check_id: str, found: DataFrame, settings: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """added, removed and resulting triples."""
     deletes, inserts = templates(settings)[check_id](g, found)
-    before = g.scan().select(*TRIPLE).distinct()
-    after = update(g, deletes, inserts)
-    return after.exceptAll(before), before.exceptAll(after), after
+    # the changes themselves, against the triples of their predicates: the graph isn't compared with its copy
+    none = g.spark.createDataFrame([], TRIPLE_SCHEMA)
+    gone, new = (none if x is None else x.select(*TRIPLE).distinct() for x in (deletes, inserts))
+    before = lambda x: g.scan_of(x.select("p")).select(*TRIPLE)
+    added = new.join(_underscored(before(new)), _same(), "left_anti")
+    removed = gone.join(_underscored(before(gone)), _same(), "left_semi").join(_underscored(new), _same(), "left_anti")
+    return added, removed, update(g, deletes, inserts)

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vocab as v
@@ -201,9 +201,13 @@ for _name, _col, _sql in (
 
 
 def _quads(g: TableGraph) -> DataFrame:
-    """The schema with positions, for the order-dependent term model."""
+    """The whole graph with positions, for the order-dependent term model: the schema as written, then the tables' triples,
+    which have no order of their own, by subject and term."""
     rows = [(k_, *r) for k_, r in enumerate(g.schema.collect())]  # inline triples: a fixed few hundred
-    return g.spark.createDataFrame(rows, "seq long, s string, sk int, p string, o string, ok int, dt string, lang string")
+    schema = g.spark.createDataFrame(rows, "seq long, s string, sk int, p string, o string, ok int, dt string, lang string")
+    rest = Graph(g.scan()).scan().join(F.broadcast(g.schema.select("s").distinct()), "s", "left_anti")
+    at = F.row_number().over(Window.partitionBy("s").orderBy("p", "o", "ok", "dt", "lang")) + len(rows)
+    return schema.unionByName(rest.withColumn("seq", at.cast("long")).select("seq", *TRIPLE))
 
 
 def _terms(g: TableGraph) -> DataFrame:
@@ -246,22 +250,24 @@ add("import_closure", _imports, "SELECT doc, min(hops) AS hops FROM b GROUP BY d
 # --- reasoner, repairs, triplify -------------------------------------------------------------------------------------
 
 
-def _slim(g: TableGraph) -> Graph:
-    """Facts that the rules act on, of all events, customers and nations."""
-    return Graph(g.scan(v.TYPE, v.SUBCLASS, v.SUBPROP, v.EQUIV_CLASS, v.EQUIV_PROP, v.SAME, v.DIFFERENT, v.DOMAIN, v.RANGE, v.DISJOINT, EX + "inNation", EX + "regionPeer"), distinct=True)
-
-
-add("rdfs_closure", lambda g: reasoner.reason(_slim(g)).scan().groupBy("p").agg(F.count("*").alias("n")))
-add("inferred_only", lambda g: reasoner.inferred(s := _slim(g), reasoner.reason(s)).groupBy("p").agg(F.count("*").alias("n")))
+add("rdfs_closure", lambda g: reasoner.reason(g).scan().groupBy("p").agg(F.count("*").alias("n")))
+add("inferred_only", lambda g: reasoner.inferred(g, reasoner.reason(g)).groupBy("p").agg(F.count("*").alias("n")))
+# all rules over all triples; rea_disjoint is the part of it that asserted types and subclasses give
+_closed = f"""sp AS (SELECT s AS p, o AS q FROM T WHERE p IN ('{v.SUBPROP}', '{v.EQUIV_PROP}') AND ok <> 2 UNION SELECT o, s FROM T WHERE p = '{v.EQUIV_PROP}' AND ok <> 2),
+spc AS (SELECT p, q FROM sp UNION SELECT spc.p, sp.q FROM spc JOIN sp ON spc.q = sp.p), f AS (SELECT s, p, o, ok FROM T UNION SELECT T.s, spc.q, T.o, T.ok FROM T JOIN spc ON T.p = spc.p),
+sc AS (SELECT s AS x, o AS y FROM f WHERE p IN ('{v.SUBCLASS}', '{v.EQUIV_CLASS}') AND ok <> 2 UNION SELECT o, s FROM f WHERE p = '{v.EQUIV_CLASS}' AND ok <> 2),
+sa AS (SELECT s AS x, o AS y FROM f WHERE p = '{v.SAME}' AND ok <> 2 UNION SELECT o, s FROM f WHERE p = '{v.SAME}' AND ok <> 2), up AS (SELECT 'c' AS k, x, y FROM sc UNION ALL SELECT 'i', x, y FROM sa),
+m0 AS (SELECT s AS i, o AS t FROM f WHERE p = {TY} AND ok <> 2 UNION SELECT f.s, d.o FROM f JOIN f d ON d.p = '{v.DOMAIN}' AND d.s = f.p UNION SELECT f.o, d.o FROM f JOIN f d ON d.p = '{v.RANGE}' AND d.s = f.p WHERE f.ok <> 2),
+m AS (SELECT i, t FROM m0 UNION SELECT CASE WHEN k = 'i' THEN y ELSE i END, CASE WHEN k = 'c' THEN y ELSE t END FROM m JOIN up ON x = CASE WHEN k = 'c' THEN t ELSE i END)"""
+add("rea_disjoint_closure", lambda g: reasoner.disjoint_members(reasoner.reason(g)), f"SELECT DISTINCT a.i AS focus_node, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS value FROM m a JOIN m b ON a.i = b.i JOIN f d ON d.p = '{v.DISJOINT}' AND d.s = a.t AND d.o = b.t", _closed)
 add("rea_disjoint", lambda g: reasoner.disjoint_members(reasoner.reason(Graph(g.scan(v.TYPE, v.SUBCLASS, v.DISJOINT), distinct=True))), f"SELECT DISTINCT a.i AS focus_node, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS value FROM m a JOIN m b ON a.i = b.i JOIN T d ON d.p = '{v.DISJOINT}' AND d.s = a.t AND d.o = b.t", f"m AS (SELECT s AS i, o AS t FROM T WHERE p = {TY} UNION SELECT m.i, T.o FROM m JOIN T ON T.p = '{v.SUBCLASS}' AND T.s = m.t)")
 add("rea_samediff", lambda g: reasoner.same_and_different(reasoner.reason(Graph(g.scan(v.SAME, v.DIFFERENT), distinct=True))), f"SELECT DISTINCT a.s AS focus_node, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS value FROM T a JOIN T b ON b.p = '{v.SAME}' AND ((a.s = b.s AND a.o = b.o) OR (a.s = b.o AND a.o = b.s)) WHERE a.p = '{v.DIFFERENT}'")
 
 
 def _repair(id: str):
     def run(g: TableGraph) -> DataFrame:
-        small = Graph(g.schema, distinct=True)
         check = {"PRJ-REQUIRED": lambda x: passes.required(x, [(v.CLASS, [v.LABEL])])}.get(id) or k.CHECKS[id].run
-        added, removed, _ = repairs.repair(small, id, check(small))
+        added, removed, _ = repairs.repair(g, id, check(g))
         return added.withColumn("change", lit("added")).unionByName(removed.withColumn("change", lit("removed")))
 
     return run
