@@ -3,7 +3,7 @@
 A passage of LENGTH bytes that repeats has the same least GRAM-byte hash wherever it stands, so suffixes are only taken
 at such anchors (one position in fourteen): every repeated passage holds an anchor at the same offset in each copy.
 
-1. Anchors that only one document has are dropped.  Map tasks send each anchor's hash once, or that several of their
+1. Anchors that only one row has are dropped.  Map tasks send each anchor's hash once for each row, or that several of their
    documents share it, in packed blocks; so a passage that a third of all documents hold costs a record for each task.
 2. At the other anchors a context is taken: the bytes behind the anchor that a passage can reach (the suffix) and those
    before it (its left extension).  Equal contexts of a task are sent once, with their smallest document.
@@ -166,9 +166,9 @@ def shared_anchors(rows: DataFrame, buckets: int, length: int, gram: int) -> Dat
         many = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
         every = np.repeat(many, sizes)
         bucket = lambda x: ((x >> U(40)) % U(buckets)).astype(np.int64)
-        first = start[~many]  # once for each task, though a row has it twice
+        # once for each row, though it has the anchor twice; rows of one id are told apart, since each needs its own list
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (r[1:] != r[:-1]))) & ~every)
         found = [*_blocks(bucket(a[first]), 0, a[first], r[first]), *_blocks(bucket(a[start[many]]), 1, a[start[many]], None), *_blocks((mix(r[every]) % U(buckets)).astype(np.int64), 2, a[every], r[every])]
-        # an anchor that one document has more than once: its other rows' occurrences are the same document's
         for at in range(0, len(found), 256):
             yield pa.RecordBatch.from_pylist(found[at : at + 256], _PACKED)
 
