@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -64,7 +64,7 @@ def class_of(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """key, n, cls, roots, sketch."""
+    """key, row, n, cls, roots, sketch.  row is the hash of a row, from docs."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +83,9 @@ def signatures(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                         cls.append(None)
                         roots.append(None)
                         sketch.append(None)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, t.n), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], [key, "n", "cls", "roots", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, t.n), b.column(2).slice(at, t.n), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], [key, "row", "n", "cls", "roots", "sketch"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, cls long, roots array<long>, sketch binary")
+    return docs.select(key, text, "row").mapInArrow(run, f"{key} {kind}, row long, n long, cls long, roots array<long>, sketch binary")
 
 
 def full_sets(docs: DataFrame, k: int, text: str) -> DataFrame:
@@ -221,11 +221,18 @@ def best(pool: DataFrame) -> DataFrame:
     return top.select("m.a", "m.b").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id for every row."""
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; nulls count by their place."""
+    columns = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*columns, *(c.isNull() for c in columns))
+
+
+def classes(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures, and cls, component_id, first (the component's first row: smallest key, null last, then row)."""
     least = least_agreement(percent)
-    sig = written(signatures(docs, k, key, text), "signatures")
-    reps = sig.filter("cls is not null").groupBy("cls").agg(F.min(key).alias("rep"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
+    sig = written(signatures(docs.withColumn("row", row_hash(docs)), k, key, text), "signatures")
+    first = F.min(F.struct(F.col(key).isNull().alias("keyless"), F.col(key).alias("key"), "row")).alias("first")
+    reps = sig.filter("cls is not null").groupBy("cls").agg(F.min(key).alias("rep"), first, F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
     reps = written(reps, "classes")
     nodes = reps.select(F.explode("roots").alias("node"), "cls", F.col("cls").alias("label"), "sketch")
     pool, edges, labels, sets, tested = None, None, None, None, None
@@ -278,17 +285,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         rest = written(apart(rest.join(picks, ["a", "b"], "left_anti"), labels), "open_pairs")
         if not rest.isEmpty():
             settle(rest)
-    of = relabel(reps.select("cls", "rep"), labels, "cls", "label")
-    smallest = of.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = written(of.join(smallest, "label").select("cls", "component_id"), "components")
-    out = sig.select(key, F.col("n").alias("n_shingles"), "cls").join(of, "cls", "left")
+    of = relabel(reps.select("cls", "rep", "first"), labels, "cls", "label")
+    smallest = of.groupBy("label").agg(F.min("rep").alias("component_id"), F.min("first").alias("first"))
+    return sig, written(of.select("cls", "label").join(smallest, "label").select("cls", "component_id", "first"), "components")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id for every row."""
+    sig, of = classes(docs, k, percent, key, text)
+    out = sig.select(key, F.col("n").alias("n_shingles"), "cls").join(of.drop("first"), "cls", "left")
     return out.select(key, "n_shingles", F.coalesce("component_id", F.when(F.col("cls").isNull(), F.col(key))).alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the smallest key of their component, with the columns that they had."""
-    kept = near_duplicates(docs, k, percent, key, text).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each component, with the columns that it had: the smallest key, null last, then the smallest row hash.
+    Rows without words are linked with nothing, so each of them stays."""
+    sig, of = classes(docs, k, percent, key, text)
+    first = of.select("first.key", "first.row").distinct()
+    # the first row may be there several times, equal in every column
+    rows = sig.filter("cls is not null").groupBy(F.col(key).alias("_key"), F.col("row").alias("_row")).agg(F.count("*").alias("_n"))
+    chosen = first.join(rows, F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row"))).select("_key", "_row", (F.col("_n") > 1).alias("_many"))
+    wordless = sig.filter("cls is null").select(F.col(key).alias("_key"), F.col("row").alias("_row"), F.lit(False).alias("_many")).distinct()
+    kept = written(chosen.unionByName(wordless), "kept_rows")
+    named = docs.withColumn("_hash", row_hash(docs))
+    here = named[key].eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_row"))
+    out = named.join(kept.filter("not _many"), here, "left_semi")
+    if not (many := kept.filter("_many")).isEmpty():
+        out = out.unionByName(named.join(many, here, "left_semi").dropDuplicates([key, "_hash"]))
+    return out.drop("_hash")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
