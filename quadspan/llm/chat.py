@@ -5,7 +5,9 @@ a speaker marker (of a role, of an unknown speaker, or none) and a few line feat
 each as the first line of a turn or a further one.  The role transitions and the feature frequencies are counted from
 labelled turns (``fit``); Viterbi then recovers the states, and turns are rendered without their markers.
 
-Long transcripts are cut into blocks of FAN fragments.  A block is summed up as a matrix of its best scores between
+Transcripts of more than FAN fragments are cut into blocks of FAN by the fragments' places, whatever their orders are.
+Places come from a prefix sum: long transcripts are dealt to ranges of (id, order, text), each range counts its rows of
+each transcript, and the counts of the ranges before are added.  A block is summed up as a matrix of its best scores between
 each state before it and each state at its end; such matrices multiply (maximum, plus) to those of larger blocks, level
 by level, until one is left for each transcript.  On the way down every block gets its two end states and Viterbi runs
 within it.  So no task gets a whole transcript, and the result is that of one run over all lines.
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -88,8 +90,10 @@ def fit(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str =
     kind = lambda c: F.rtrim(c).endswith("?").cast("int") + 2 * (F.length(c) > 120).cast("int") + 4 * F.ltrim(c).rlike("^(-|\\*|```|1\\.)").cast("int") + 8 * (F.trim(c) == "").cast("int")
     lines = rows.select(role, F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line"))
     seen = {(r[0], r[1]): r[2] for r in lines.groupBy(role, kind(F.col("line")).alias("k")).count().collect()}
-    a = rows.select(F.col(key).alias("id"), (F.col(order) + 1).alias("n"), F.col(role).alias("x"))
-    pairs = {(r[0], r[1]): r[2] for r in a.join(rows.select(F.col(key).alias("id"), F.col(order).alias("n"), F.col(role).alias("y")), ["id", "n"]).groupBy("x", "y").count().collect()}
+    # turns of one number are counted before they meet
+    said = rows.groupBy(F.col(key).alias("id"), F.col(order).alias("n"), F.col(role).alias("x")).agg(F.count("*").alias("c"))
+    after = said.select("id", (F.col("n") - 1).alias("n"), F.col("x").alias("y"), F.col("c").alias("d"))
+    pairs = {(r[0], r[1]): r[2] for r in said.join(after, ["id", "n"]).groupBy("x", "y").agg(F.sum(F.col("c") * F.col("d"))).collect()}
     first = {r[0]: r[1] for r in rows.filter(F.col(order) == 0).groupBy(role).count().collect()}
     norm = lambda m: np.log(m / m.sum(axis=-1, keepdims=True))
     return Model(
@@ -148,12 +152,32 @@ def ends_of(matrices: list[np.ndarray], before: int, last: int) -> list[int]:
     return path[::-1]
 
 
+def placed(rows: DataFrame, fan: int) -> DataFrame:
+    """id, n, text, block: the blocks of fan rows in the order (n, text) of each id.  Equal rows are dealt apart by where
+    they were read, so a range has a bounded share of the rows whatever they hold."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.asc("n"), F.asc_nulls_last("text"), F.asc("_at")]
+    dealt = rows.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(parts, F.asc("id"), *order)
+    dealt = written(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("id", "_part").agg(F.count("*").alias("_n"))
+    # one row for each range that has rows of the id
+    before = counts.select(F.col("id").alias("_id"), F.col("_part").alias("_p"), (F.sum("_n").over(Window.partitionBy("id").orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = dealt.withColumn("_within", F.row_number().over(Window.partitionBy("id", "_part").orderBy(*order)) - 1)
+    out = within.join(before, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_part") == F.col("_p")))
+    return out.select("id", "n", "text", F.expr(f"(_before + _within) div {fan}").alias("block"))
+
+
 def parse(fragments: DataFrame, model: Model, key: str = "conv_id", order: str = "turn", text: str = "text", fan: int = FAN) -> DataFrame:
     """key, order, part, role, text, rendered: the turns of every transcript, in order."""
     kind = fragments.schema[key].dataType.simpleString()
-    rows = fragments.select(F.col(key).alias("id"), F.coalesce(F.col(order).cast("long"), F.lit(0)).alias("n"), F.col(text).alias("text")).withColumn("block", F.expr(f"n div {fan}"))
-    # upwards: matrices of the blocks of transcripts that have more than one
-    spans = rows.groupBy("id").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).filter("lo < hi").select("id")
+    rows = fragments.select(F.col(key).alias("id"), F.coalesce(F.col(order).cast("long"), F.lit(0)).alias("n"), F.col(text).alias("text"))
+    spans = written(rows.groupBy("id").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > fan).select(F.col("id").alias("_id")), "long_transcripts")
+    whole, long_ = spans.isEmpty(), F.col("id").eqNullSafe(F.col("_id"))
+    if whole:
+        rows = rows.withColumn("block", F.lit(0).cast("long"))
+    else:
+        long_rows = placed(rows.join(spans, long_, "left_semi"), fan)
+        rows = rows.join(spans, long_, "left_anti").withColumn("block", F.lit(0).cast("long")).unionByName(long_rows)
 
     def sum_up(table: pa.Table) -> pa.Table:
         got = table.sort_by([("n", "ascending"), ("text", "ascending")])
@@ -170,10 +194,10 @@ def parse(fragments: DataFrame, model: Model, key: str = "conv_id", order: str =
         return pa.table({"id": got.column("id")[:1], "n": got.column("up")[:1], "m": pa.array([out.ravel().tolist()], pa.list_(pa.float64()))})
 
     schema = f"id {kind}, n long, m array<double>"
-    spans = written(spans, "long_transcripts")
     ends = None
-    if not spans.isEmpty():
-        levels = [written(rows.join(spans, "id", "left_semi").groupBy("id", "block").applyInArrow(sum_up, schema), "blocks")]
+    if not whole:
+        # upwards: matrices of the blocks of transcripts that have more than one
+        levels = [written(long_rows.groupBy("id", "block").applyInArrow(sum_up, schema), "blocks")]
         while levels[-1].agg(F.max("n")).first()[0] >= fan:
             up = levels[-1].withColumn("up", F.expr(f"n div {fan}"))
             levels.append(written(up.groupBy("id", "up").applyInArrow(combine, schema), "blocks"))
@@ -191,12 +215,14 @@ def parse(fragments: DataFrame, model: Model, key: str = "conv_id", order: str =
             if ends is None:
                 below = below.withColumn("before", F.lit(START).cast("long")).withColumn("last", F.lit(-1).cast("long"))
             else:
-                below = below.join(ends.select("id", F.col("n").alias("up"), "before", "last"), ["id", "up"])
+                above = ends.select(F.col("id").alias("_id"), F.col("n").alias("_up"), "before", "last")
+                below = below.join(above, long_ & (F.col("up") == F.col("_up"))).drop("_id", "_up")
             ends = written(below.groupBy("id", "up").applyInArrow(choose, f"id {kind}, n long, before long, last long"), "ends")
     if ends is None:
         rows = rows.withColumn("before", F.lit(START).cast("long")).withColumn("last", F.lit(-1).cast("long"))
     else:
-        rows = rows.join(ends.select("id", F.col("n").alias("block"), "before", "last"), ["id", "block"], "left").fillna({"before": START, "last": -1})
+        ends = ends.select(F.col("id").alias("_id"), F.col("n").alias("_block"), "before", "last")
+        rows = rows.join(ends, long_ & (F.col("block") == F.col("_block")), "left").drop("_id", "_block").fillna({"before": START, "last": -1})
 
     def turns(table: pa.Table) -> pa.Table:
         got = table.sort_by([("n", "ascending"), ("text", "ascending")])
