@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a table that may be broadcast; beyond it the same join is a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that isn't set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that isn't set (tests on one
+    machine)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quadspan-")
         spark.conf.set("spark.checkpoint.dir", at)
     if not spark.sparkContext.getCheckpointDir():
@@ -32,6 +39,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+class Tables:
+    """Tables in the shared folder that one computation writes, each of which it drops once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        at = new_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        self.paths[id(out)] = (out, at)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for df in tables:
+            if df is not None and id(df) in self.paths:
+                delete(self.spark, self.paths.pop(id(df))[1])
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    """Deletes a folder that this library has written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it has been counted to be small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def running(df: DataFrame, part: str, order: list[str], size: str, out: str) -> DataFrame:
     """Adds the sum of ``size`` over all rows before each row, in the order (part, *order).
 
