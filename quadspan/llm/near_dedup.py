@@ -36,17 +36,19 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Tables, narrow, release
+from .shared import Tables, narrow, release, row_hash
 from .words import chunks, mix, shingles
 
 TOKENS, ROOTS = 64, 32
 #: Classes of a node that is compared exhaustively; classes and pivots of a random group of a larger node.
-SMALL, GROUP, PIVOTS = 512, 448, 16
+SMALL, GROUP, PIVOTS = 1024, 960, 16
 #: A node with so few classes outside of its largest component compares them with all of that component.
-OUTSIDE = 256
+OUTSIDE = 512
+#: Classes of a group that are compared at once.
+WIDE = 64
 #: Trees of the first round.
 START = 2
 #: Large nodes of the last level are compared block by block, all pairs of blocks.
@@ -196,6 +198,35 @@ def _bounded(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return t, np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
 
 
+def partners(label: np.ndarray, n: np.ndarray, sketch: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """Which classes of some equally large groups may be linked with one of another component in their group."""
+    agree = np.zeros((*n.shape, n.shape[1]), np.uint8)
+    for token in range(TOKENS):
+        agree += sketch[:, :, None, token] == sketch[:, None, :, token]
+    sizes = 100 * np.minimum(n[:, :, None], n[:, None, :]) >= percent * np.maximum(n[:, :, None], n[:, None, :])
+    return ((agree >= least) & (label[:, :, None] != label[:, None, :]) & sizes).any(axis=2)
+
+
+def banded(label: np.ndarray, n: np.ndarray, sketch: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """The same for one large group: sets of similar sizes only are compared, each with those up to 100 / percent times as
+    large, in runs by ascending size."""
+    order, out = np.argsort(n, kind="stable"), np.zeros(len(n), bool)
+    label, n, sketch = label[order], n[order], sketch[order]
+    reach = np.searchsorted(n, n * 100 // percent, "right")
+    at = 0
+    while at < len(n):
+        to = min(at + WIDE, len(n))
+        x, y = slice(at, to), slice(at, int(reach[to - 1]))
+        agree = np.zeros((to - at, y.stop - at), np.uint8)
+        for token in range(TOKENS):
+            agree += sketch[x, None, token] == sketch[None, y, token]
+        good = (agree >= least) & (label[x, None] != label[None, y]) & (100 * n[x, None] >= percent * n[None, y])
+        out[order[x][good.any(axis=1)]] = True
+        out[order[y][good.any(axis=0)]] = True
+        at = to
+    return out
+
+
 def close(groups: DataFrame, least: int, percent: int) -> DataFrame:
     """leaf, cls, label, n, sketch -> leaf, cls, label: the classes that may be linked with one of another component in
     their group."""
@@ -209,15 +240,15 @@ def close(groups: DataFrame, least: int, percent: int) -> DataFrame:
                 if size > 1:
                     by_size[size].append(g)
             for size, found in by_size.items():
+                if size > WIDE:
+                    for g in found:
+                        rows = bounds[g] + np.arange(size)
+                        keep[rows[banded(label[rows], n[rows], sketch[rows], least, percent)]] = True
+                    continue
                 step = max(1, (1 << 20) // (size * size))
                 for at in range(0, len(found), step):
                     rows = bounds[np.array(found[at : at + step])][:, None] + np.arange(size)
-                    s, l, m = sketch[rows], label[rows], n[rows]
-                    agree = np.zeros((len(rows), size, size), np.uint8)
-                    for token in range(TOKENS):
-                        agree += s[:, :, None, token] == s[:, None, :, token]
-                    good = (agree >= least) & (l[:, :, None] != l[:, None, :]) & (100 * np.minimum(m[:, :, None], m[:, None, :]) >= percent * np.maximum(m[:, :, None], m[:, None, :]))
-                    keep[rows[good.any(axis=2)]] = True
+                    keep[rows[partners(label[rows], n[rows], sketch[rows], least, percent)]] = True
             if keep.any():
                 yield t.select(["leaf", "cls", "label"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
 
@@ -290,13 +321,14 @@ def contracted(edges: DataFrame, tables: Tables) -> DataFrame:
         near = ends.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))).alias("m"))
         to = near.select(F.col("a").alias("u"), F.when(F.col("m") < F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("v")), F.col("m.v")).otherwise(F.col("a")).alias("p"))
         to = tables.write(to, "parents")
+        of = narrow(to)
         if at is None:
             new = to.select(F.col("u").alias("old"), F.col("p").alias("new"))
         else:
-            new = at.join(to, F.col("new") == F.col("u"), "left").select("old", F.coalesce("p", "new").alias("new"))
+            new = at.join(of, F.col("new") == F.col("u"), "left").select("old", F.coalesce("p", "new").alias("new"))
         at, old = tables.write(new, "labels"), at
         tables.drop(old)
-        moved = edges.join(to.select(F.col("u").alias("a"), F.col("p").alias("x")), "a").join(to.select(F.col("u").alias("b"), F.col("p").alias("y")), "b")
+        moved = edges.join(of.select(F.col("u").alias("a"), F.col("p").alias("x")), "a").join(of.select(F.col("u").alias("b"), F.col("p").alias("y")), "b")
         left = tables.write(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         tables.drop(edges, to)
         edges = left
@@ -305,17 +337,11 @@ def contracted(edges: DataFrame, tables: Tables) -> DataFrame:
             return at
 
 
-def row_hash(docs: DataFrame) -> Column:
-    """A hash of all columns of a row; nulls count by their place."""
-    columns = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    return F.xxhash64(*columns, *(c.isNull() for c in columns))
-
-
 def relabelled(labels: DataFrame | None, moved: DataFrame, tables: Tables) -> DataFrame:
     """cls, label after labels (or classes without one) have moved from old to new."""
     if labels is None:
         return moved.select(F.col("old").alias("cls"), F.col("new").alias("label"))
-    kept = labels.join(moved, F.col("label") == F.col("old"), "left").select("cls", F.coalesce("new", "label").alias("label"))
+    kept = labels.join(narrow(moved), F.col("label") == F.col("old"), "left").select("cls", F.coalesce("new", "label").alias("label"))
     fresh = moved.join(labels, F.col("old") == F.col("cls"), "left_anti").select(F.col("old").alias("cls"), F.col("new").alias("label"))
     out = tables.write(kept.unionByName(fresh), "labels")
     tables.drop(labels, moved)

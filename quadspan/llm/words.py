@@ -8,6 +8,7 @@ All hashes are 64 bits, from a seeded byte table, and the same on every machine.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -56,20 +57,35 @@ class Texts:
         self.bounds = bounds.astype(np.int64)
         self.n = len(bounds) - 1
         self._prefix: np.ndarray | None = None
-        inside = ~_SPACE[self.data]
-        before, after = np.empty_like(inside), np.empty_like(inside)
-        if len(inside):
-            before[0] = after[-1] = False
-            before[1:], after[:-1] = inside[:-1], inside[1:]
+
+    @cached_property
+    def inside(self) -> np.ndarray:
+        return ~_SPACE[self.data]
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        before = np.empty_like(self.inside)
+        if len(before):
+            before[0] = False
+            before[1:] = self.inside[:-1]
             edges = self.bounds[:-1]
-            before[edges[edges < len(inside)]] = False
+            before[edges[edges < len(before)]] = False
+        return np.flatnonzero(self.inside & ~before)
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        after = np.empty_like(self.inside)
+        if len(after):
+            after[-1] = False
+            after[:-1] = self.inside[1:]
             ends = self.bounds[1:]
             after[ends[ends > 0] - 1] = False
-        self.starts = np.flatnonzero(inside & ~before)
-        self.ends = np.flatnonzero(inside & ~after) + 1
-        #: Word numbers at which each text begins, with the end of the last.
-        self.first = np.searchsorted(self.starts, self.bounds)
-        self.inside = inside
+        return np.flatnonzero(self.inside & ~after) + 1
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """Word numbers at which each text begins, with the end of the last."""
+        return np.searchsorted(self.starts, self.bounds)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit hash of data[start:end] for each pair."""
