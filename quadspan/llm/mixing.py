@@ -4,14 +4,20 @@ Every source gets a target size by its weight, stopped at ``most`` times its siz
 r = target / size times: floor(r) whole copies are certain, and the rest of the target is filled by one further copy
 of some documents.  These are drawn by Pareto order sampling: document i with inclusion odds p / (1 - p) gets the rank
 (U / (1 - U)) / (p / (1 - p)) from a uniform U of its own, and the documents of the smallest ranks are taken up to the
-size that is left.  p may differ between documents (``propensity``).
+size that is left.
+
+Inclusion is unequal: p is in proportion to a document's propensity, by default the binary order of its size, so longer
+documents are likelier to get the further copy.  Where that makes p one or more, the copy is certain, and what is left is
+shared by the others in proportion.  Propensities are rounded to quarters of a power of two, so a source has a few hundred
+different ones at most, and the factor follows from their sums.
 
 Ranks are compared as integers.  The cut is found without sorting a source: sizes are summed over 4096 ranges of the
 rank for each source, then over 4096 ranges within the one that holds the cut; only what remains in that range is
 ordered.  So no task gets a whole source, however large.
 
 Defined cases: null or empty texts have size 0 and are taken 0 words; null sources are a source of their own, the
-last; repeated rows tie and are taken together with their ids in order; an empty table gives an empty result; other
+last; rows are told apart by a hash of all their columns, so rows of one id, or without one, each have a rank of their
+own, and only rows that are equal in every column tie and are taken together; an empty table gives an empty result; other
 columns stay where the operator returns documents.
 """
 
@@ -20,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import narrow, row_hash, written
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -58,41 +64,58 @@ def _cut(rows: DataFrame, keys: list[str], bin: Column, need: str) -> tuple[Data
     return binned, at
 
 
+def inclusion(live: DataFrame) -> DataFrame:
+    """_s, e, p, _need from the rows' _s, e, size, _need: of each propensity of a source its inclusion probability, and what
+    is left of the need behind the certain ones."""
+    sums = live.groupBy("_s", "e").agg(F.sum("size").alias("z"), F.first("_need").alias("_need"))
+    larger = Window.partitionBy("_s").orderBy(F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("_s").orderBy(F.desc("e")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("z").over(larger), F.lit(0))).withColumn("_factor", (F.col("_need") - F.col("_before")) / F.sum(F.col("e") * F.col("z")).over(rest))
+    fits = F.when(F.col("_factor") * F.col("e") < 1, F.struct(F.col("e").alias("top"), "_factor", (F.col("_need") - F.col("_before")).alias("left")))
+    chosen = F.max(fits).over(Window.partitionBy("_s"))
+    sums = sums.withColumn("_chosen", chosen)
+    certain = F.col("_chosen").isNull() | (F.col("e") > F.col("_chosen.top"))
+    return sums.select("_s", "e", F.when(certain, F.lit(1.0)).otherwise(F.col("_chosen._factor") * F.col("e")).alias("p"), F.coalesce("_chosen.left", F.lit(0)).alias("_left"))
+
+
 def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, propensity: Column | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """key, source, size, source_size, target, copies for every row."""
-    rows = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size.alias("size"), (propensity if propensity is not None else F.lit(1.0)).cast("double").alias("e"))
-    u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f"|{seed}"))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
+    """key, source, size, source_size, target, copies for every row, with p, the probability of the last copy, and row, the
+    hash of the row."""
+    wanted = (propensity if propensity is not None else F.log2(size + 1)).cast("double")
+    quarters = F.pow(F.lit(2.0), F.round(4 * F.log2(F.greatest(wanted, F.lit(1e-9)))) / 4)
+    rows = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size.alias("size"), quarters.alias("e"), row_hash(docs).alias("row"))
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("row").cast("string"), F.lit(seed))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     rows = written(rows.withColumn("u", u), "mix_rows")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    spread = rows.groupBy("source").agg(F.sum(F.col("e") * F.col("size")).alias("_e"))
-    named = lambda d: d.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))).drop("source")
+    plan = plan.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))).drop("source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = named(plan).join(named(spread), "_s").withColumn("_whole", F.floor(ratio)).withColumn("_need", F.round(F.col("target") - F.floor(ratio) * F.col("source_size")).cast("long"))
-    plan = plan.withColumn("_p", F.when(F.col("_e") > 0, F.col("_need") / F.col("_e")).otherwise(F.lit(0.0)))
+    plan = plan.withColumn("_whole", F.floor(ratio)).withColumn("_need", F.round(F.col("target") - F.floor(ratio) * F.col("source_size")).cast("long"))
     # one row for each source; written, so that Spark knows the size and broadcasts it only where it is small
     plan = written(plan, "mix_plan")
     rows = rows.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))).join(plan, "_s")
-    p = F.least(F.greatest(F.col("_p") * F.col("e"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
+    # a few rows for each source
+    odds_of = written(inclusion(rows.filter((F.col("_need") > 0) & (F.col("size") > 0)).select("_s", "e", "size", "_need")), "mix_odds")
+    rows = rows.join(odds_of, ["_s", "e"], "left").withColumn("p", F.when((F.col("_need") > 0) & (F.col("size") > 0), F.col("p")).otherwise(F.lit(0.0)))
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest(F.col("p"), F.lit(1e-12)) / (1 - F.col("p")))
     # the rank as an integer of 48 bits, of the odds' own probability scale
-    rows = rows.withColumn("rank", F.floor(odds / (1 + odds) * F.lit(float(1 << 48))).cast("long"))
-    live = rows.filter((F.col("_need") > 0) & (F.col("size") > 0)).select("_s", "id", "size", "rank", "_need")
-    first, at1 = _cut(live, ["_s"], F.shiftright("rank", 36), "_need")
+    rows = rows.withColumn("rank", F.when(F.col("p") < 1, F.floor(odds / (1 + odds) * F.lit(float(1 << 48))).cast("long")))
+    live = rows.filter((F.col("p") > 0) & (F.col("p") < 1)).select("_s", "row", "size", "rank", "_left")
+    first, at1 = _cut(live, ["_s"], F.shiftright("rank", 36), "_left")
     at1 = written(at1, "mix_cut1")
-    mid = first.join(at1, "_s").filter(F.col("_bin") == F.col("_at")).drop("_bin", "_at", "_need")
+    mid = first.join(at1, "_s").filter(F.col("_bin") == F.col("_at")).drop("_bin", "_at", "_left")
     second, at2 = _cut(mid, ["_s"], F.shiftright("rank", 24) % (1 << BITS), "_still")
     at2 = written(at2, "mix_cut2")
     last = second.drop("_still").join(at2, "_s").filter(F.col("_bin") == F.col("_at"))
     # within the last range: whichever end of the document at the cut lies nearer
-    upto = F.sum("size").over(Window.partitionBy("_s").orderBy("rank", F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = F.sum("size").over(Window.partitionBy("_s").orderBy("rank", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     exact = last.withColumn("_upto", upto).filter(F.col("_upto") - F.col("size") / 2 <= F.col("_still"))
-    exact = exact.groupBy("_s").agg(F.max(F.struct("rank", F.coalesce("id", F.lit(-(1 << 62))).alias("id"))).alias("_last"))
+    exact = exact.groupBy("_s").agg(F.max(F.struct("rank", "row")).alias("_last"))
     cuts = plan.select("_s").join(at1.select("_s", F.col("_at").alias("_bin1")), "_s", "left").join(at2.select("_s", F.col("_at").alias("_bin2")), "_s", "left").join(exact, "_s", "left")
     rows = rows.join(written(cuts, "mix_cuts"), "_s")
-    bin1, bin2, at = F.shiftright("rank", 36), F.shiftright("rank", 24) % (1 << BITS), F.struct("rank", F.coalesce("id", F.lit(-(1 << 62))).alias("id"))
+    bin1, bin2, at = F.shiftright("rank", 36), F.shiftright("rank", 24) % (1 << BITS), F.struct("rank", "row")
     below = F.col("_bin1").isNull() | (bin1 < F.col("_bin1")) | ((bin1 == F.col("_bin1")) & (F.col("_bin2").isNull() | (bin2 < F.col("_bin2")) | ((bin2 == F.col("_bin2")) & F.col("_last").isNotNull() & (at <= F.col("_last")))))
-    extra = F.when((F.col("_need") > 0) & (F.col("size") > 0) & below, 1).otherwise(0)
-    return rows.select(F.col("id").alias(key), "source", "size", "source_size", "target", (F.col("_whole") + extra).cast("long").alias("copies"))
+    extra = F.when(F.col("p") >= 1, 1).when((F.col("p") > 0) & below, 1).otherwise(0)
+    return rows.select(F.col("id").alias(key), "source", "size", "source_size", "target", (F.col("_whole") + extra).cast("long").alias("copies"), "p", "row")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +125,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents, each as often as the mix takes it, with the columns that they had."""
-    copies = mix(docs, words_of(text), weights, most, seed, None, key, source).filter("copies > 0").groupBy(F.col(key).alias("_key"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
-    rows = docs.join(copies, docs[key].eqNullSafe(copies["_key"]) & docs[source].eqNullSafe(copies["_source"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(docs[c] for c in docs.columns))
+    copies = mix(docs, words_of(text), weights, most, seed, None, key, source).filter("copies > 0")
+    copies = written(copies.groupBy("row", F.col(key).alias("id")).agg(F.max("copies").alias("copies")), "mix_copies")
+    of = narrow(copies.select(F.struct("row", "id", "copies").alias("_mix")))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), F.struct(row_hash(docs).alias("row"), docs[key].alias("id")).alias("_at"))
+    rows = rows.join(of, (F.col("_at.row") == F.col("_mix.row")) & F.col("_at.id").eqNullSafe(F.col("_mix.id")))
+    return rows.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int")))).select("_doc.*")

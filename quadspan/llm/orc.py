@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, running
+from .shared import new_path, running, written
 from .tokens import default_vocabulary, encoder
 from .words import chunks
 
 END_ID = 2
-FILE_MB = 16
+STRIPE_MB = 16
+#: Rows of a file at most: more data makes more files.
+FILE_ROWS = 200_000
 
 
 def token_ids(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,8 +54,9 @@ def write_token_ids(docs: DataFrame, path: str, files: int | None = None, vocabu
         .write.option("orc.bloom.filter.columns", key)
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", "1000")
-        .option("orc.stripe.size", str(FILE_MB << 20))
+        .option("orc.stripe.size", str(STRIPE_MB << 20))
         .option("orc.create.index", "true")
+        .option("maxRecordsPerFile", FILE_ROWS)
         .option("compression", "zlib")
         .orc(path)
     )
@@ -64,19 +67,23 @@ def read_token_ids(spark: SparkSession, path: str, key: str = "doc_id", kind: st
 
 
 def token_report(spark: SparkSession, path: str, key: str = "doc_id", kind: str = "bigint") -> DataFrame:
-    """key, start, n_tokens, ids_crc32 of each document, from the files.  Files follow each other by their smallest
-    ids; within one, documents follow by id.  Only keys, sizes and sums are shuffled."""
+    """key, start, n_tokens, ids_crc32 of each document, from the files.  Files follow each other by their numbers, which
+    ascend with the ids; within one, documents have the order of its rows.  Only keys, sizes and sums are shuffled."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for b in batches:
             ids = b.column(1)
             bounds, values = ids.offsets.to_numpy(), memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
             crc = [zlib.crc32(values[4 * s : 4 * e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64()), b.column(2)], [key, "n_tokens", "ids_crc32", "_file"])
-
-    rows = read_token_ids(spark, path, key, kind).select(key, "ids", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("int").alias("_file"))
-    rows = rows.mapInArrow(sums, f"{key} {kind}, n_tokens long, ids_crc32 long, _file int")
-    return running(rows, "_file", [key, "n_tokens", "ids_crc32"], "n_tokens", "start").select(key, "start", "n_tokens", "ids_crc32")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64()), b.column(2), b.column(3), pa.array(np.arange(seen, seen + b.num_rows))], [key, "n_tokens", "ids_crc32", "_file", "_block", "_row"])
+            seen += b.num_rows
+
+    name = F.input_file_name()
+    _file = F.regexp_extract(name, r"part-(\d+)", 1).cast("long") * (1 << 20) + F.coalesce(F.regexp_extract(name, r"[.-]c(\d+)\.", 1).cast("long"), F.lit(0))
+    rows = read_token_ids(spark, path, key, kind).select(key, "ids", _file.alias("_file"), F.input_file_block_start().alias("_block"))
+    rows = written(rows.mapInArrow(sums, f"{key} {kind}, n_tokens long, ids_crc32 long, _file long, _block long, _row long"), "token_rows")
+    return running(rows, "_file", ["_block", "_row"], "n_tokens", "start").select(key, "start", "n_tokens", "ids_crc32")
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,21 +3,26 @@
 A passage of LENGTH bytes that repeats has the same least GRAM-byte hash wherever it stands, so suffixes are only taken
 at such anchors (one position in fourteen): every repeated passage holds an anchor at the same offset in each copy.
 
-1. Anchors that only one row has are dropped.  Map tasks send each anchor's hash once for each row, or that several of their
-   documents share it, in packed blocks; so a passage that a third of all documents hold costs a record for each task.
-2. At the other anchors a context is taken: the bytes behind the anchor that a passage can reach (the suffix) and those
-   before it (its left extension).  Equal contexts of a task are sent once, with their smallest document.
-3. Contexts of an anchor are sorted to a suffix array with the lengths of common prefixes.  A stack scan gives its
+1. Texts are packed to chunks of about two MB, a row each, with the positions of their anchors.
+2. A chunk sends each of its different anchors once, as a hash with a count, in packed blocks by ranges of the hash, and
+   gets back for each whether another document may have it, and whether it is frequent.
+3. At shared anchors a context is taken: the bytes behind the anchor that a passage can reach (the suffix) and those
+   before it (its left extension).  Equal contexts of a chunk are sent once, with their occurrences, in packed blocks.
+   Those of a block range are sorted to a suffix array with the lengths of common prefixes.  A stack scan gives its
    common-prefix intervals.  In each, the left extensions are sorted and scanned alike: an interval of these ends where
    the next byte to the left differs, so it is left-diverse, and (left, right) is a maximal repeat with all occurrences.
-   Those of LENGTH bytes or more are kept, with the smallest document among the occurrences.
-   An anchor with more than MANY contexts, such as the ends of a very frequent passage, is split: its windows are
-   summed up by their hashes, which gives the same groups without one task for the anchor.
-4. Every occurrence in a document that isn't the smallest is removed.  Spans are found on the input.
-
-Defined cases: null or empty texts have no bytes; texts under LENGTH bytes lose nothing; repeated rows with one id don't
-remove each other, and rows with one id and different texts are told apart by a hash of the row; a null id counts as
-larger than any other; an empty table gives an empty result; other columns stay where the operator returns documents.
+   Those of LENGTH bytes or more count, with the smallest document among the occurrences.
+4. An anchor with more than MANY occurrences, as in a passage that a third of all documents hold, has no single task.
+   Its tree is cut by prefix lengths instead: two contexts are in an interval of at least r common bytes that share
+   LENGTH - r bytes to the left just if that window of LENGTH bytes is the same, so its windows of each r are grouped by
+   a hash of 128 bits, each sent once for a chunk and summed up before the shuffle.
+5. Every occurrence in a document that isn't the smallest is removed.  Spans are found on the input.
+
+The number of ranges follows from the number of chunks, so a task's share doesn't grow with the data.
+
+Defined cases: null or empty texts have no bytes; texts under LENGTH bytes lose nothing; rows with one id don't remove
+each other's passages, but each of them loses what a smaller id has; a null id counts as larger than any other; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,39 +31,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import release, written
+from .shared import Tables, release
 from .words import _BYTES, Texts, chunks, mix, powers
 
 LENGTH, GRAM = 50, 24
-#: Anchors that a map task holds before it sends them.
-HELD = 1_500_000
+#: Occurrences of an anchor that one task compares.
 MANY = 2000
+#: Chunks for each range of anchors.
+RANGE = 8
 U = np.uint64
 _MASK40 = U((1 << 40) - 1)
 LAST = (1 << 63) - 1
 
 
-def grams(t: Texts, size: int) -> np.ndarray:
-    """The hash of each run of ``size`` bytes."""
+def grams(t: Texts, size: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The hash of each run of ``size`` bytes, or of those at some positions."""
     n = len(t.data) - size + 1
     if n <= 0:
         return np.empty(0, U)
     up, down = powers(len(t.data))
     prefix = np.zeros(len(t.data) + 1, U)
     np.cumsum(_BYTES[t.data] * up[: len(t.data)], out=prefix[1:])
+    if at is not None:
+        return mix((prefix[at + size] - prefix[at]) * down[at])
     return mix((prefix[size:] - prefix[:-size]) * down[:n])
 
 
-def anchors(t: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions, and hashes there, of the least gram of each window; of equal ones the leftmost."""
+def anchors(t: Texts, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """Positions of the least gram of each window; of equal ones the leftmost."""
     h = grams(t, gram)
     wide = length - gram + 1
     if len(h) < wide:
-        return np.empty(0, np.int64), np.empty(0, U)
-    bits = U(max(1, int(len(h)).bit_length()))
+        return np.empty(0, np.int64)
+    bits = U(max(32, int(len(h)).bit_length()))  # the same for all but huge texts, so ties are resolved alike
     low = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
     have = 1
     while have < wide:
@@ -67,8 +77,9 @@ def anchors(t: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
         have += step
     ends = np.repeat(t.bounds[1:], np.diff(t.bounds))[: len(low)]
     inside = np.arange(len(low)) + length <= ends
-    at = np.unique((low[inside] & ((U(1) << bits) - U(1))).astype(np.int64))
-    return at, h[at]
+    at = (low[inside] & ((U(1) << bits) - U(1))).astype(np.int64)
+    # the least position of a window doesn't go back from one window to the next
+    return at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
 
 
 def contexts(t: Texts, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -80,11 +91,11 @@ def contexts(t: Texts, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -
     return np.where(good, t.data[np.clip(spread, 0, len(t.data) - 1)], 255).astype(np.uint8)
 
 
-def row_hash(rows: np.ndarray) -> np.ndarray:
+def row_hash(rows: np.ndarray, seed: int = 0x243F6A8885A308D3) -> np.ndarray:
     """A 64-bit hash of each row of bytes."""
     padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
     padded[:, : rows.shape[1]] = rows
-    out = np.full(len(rows), 0x243F6A8885A308D3, U)
+    out = np.full(len(rows), seed, U)
     for word in padded.view(np.uint64).T:
         out = mix(out * U(0x9E3779B97F4A7C15) + word)
     return out
@@ -103,244 +114,331 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(different.any(axis=1), different.argmax(axis=1), a.shape[1])
 
 
-def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
-    """(common prefix, first, last) of every common-prefix interval of at least ``least``, by one stack scan.  lcp[i]
-    is that of entries i and i + 1."""
+def intervals(lcp: list[int], least: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(common prefix, first, last) of every common-prefix interval, by one stack scan.  lcp[i] is that of entries i and
+    i + 1; intervals below least[i], of the entry at which they end, are left out."""
+    out: list[tuple[int, int, int]] = []
     stack: list[tuple[int, int]] = []
-    for i, n in enumerate([*lcp, -1]):
+    for i, n in enumerate(lcp):
         start = i
         while stack and stack[-1][0] > n:
             value, start = stack.pop()
-            if value >= least:
-                yield value, start, i
-        if not stack or stack[-1][0] < n:
+            if value >= least[i]:
+                out.append((value, start, i))
+        if n >= least[i] and (not stack or stack[-1][0] < n):
             stack.append((n, start))
+    end = len(lcp)
+    out += [(value, start, end) for value, start in stack if value >= least[-1]] if stack else []
+    found = np.array(out, np.int64).reshape(-1, 3)
+    return found[:, 0], found[:, 1], found[:, 2]
+
+
+def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, member) for each member of ranges first to last."""
+    sizes = last - first + 1
+    which = np.repeat(np.arange(len(first)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[which]
+
+
+def repeats(a: np.ndarray, rows: np.ndarray, low: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For different contexts, sorted by anchor and suffix, with their smallest documents: how far maximal repeats of
+    ``length`` bytes or more that a smaller document also has reach before and behind each anchor; 0 if none."""
+    left_size, n = length - gram, len(a)
+    before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if n < 2:
+        return before, after
+    right = rows[:, left_size:]
+    lcp = np.where(a[1:] == a[:-1], common(right[:-1], right[1:]), 0)
+    prefix, i, j = intervals(lcp.tolist(), [gram] * n)
+    if not len(prefix):
+        return before, after
+    which, member = spread(i, j)
+    left = rows[member][:, :left_size]
+    order = np.lexsort((*_words(left).T[::-1], which))
+    which, member, left = which[order], member[order], left[order]
+    need = length - prefix[which]
+    lcp = np.where(which[1:] == which[:-1], common(left[:-1], left[1:]), 0)
+    # two different contexts share no whole left extension and suffix, but a suffix interval may need no left byte at all
+    lcp = np.where((which[1:] == which[:-1]) & (lcp >= need[1:]), lcp + 1, 0)
+    suffix, x, y = intervals(lcp.tolist(), [1] * len(which))
+    if not len(suffix):
+        return before, after
+    group, place = spread(x, y)
+    starts = np.cumsum(y - x + 1) - (y - x + 1)
+    context = member[place]
+    smallest = np.minimum.reduceat(low[context], starts)[group]
+    hit = smallest < low[context]
+    np.maximum.at(before, context[hit], (suffix - 1)[group[hit]])
+    np.maximum.at(after, context[hit], prefix[which[x]][group[hit]])
+    return before, after
+
+
+def packed(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """key, id, text -> chunk, keys, ids, texts, at: rows of about two MB of text, with the positions of their anchors."""
+    kind = texts.schema["key"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for b in batches:
+            filled = b.column(2).fill_null("")
+            for k, t in chunks(filled):
+                part = [b.column(0).slice(k, t.n), b.column(1).slice(k, t.n), filled.slice(k, t.n)]
+                lists = [pa.ListArray.from_arrays(pa.array([0, t.n], pa.int32()), pa.concat_arrays([p])) for p in part]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.array([anchors(t, length, gram).astype("<u4").tobytes()], pa.binary())], ["chunk", "keys", "ids", "texts", "at"])
+                chunk += 1
 
-def repeats(rows: np.ndarray, low: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
-    """(context, left, right, smallest document) for one anchor's different contexts: each maximal repeat of ``length``
-    bytes or more, once for each context in it."""
-    left_size, out = length - gram, []
-    order = np.lexsort(_words(rows[:, left_size:]).T[::-1])
-    right = rows[order][:, left_size:]
-    for prefix, i, j in intervals(common(right[:-1], right[1:]).tolist(), gram):
-        inside = order[i : j + 1]
-        left = rows[inside][:, :left_size]
-        by_left = np.lexsort(_words(left).T[::-1])
-        left = left[by_left]
-        for suffix, x, y in intervals(common(left[:-1], left[1:]).tolist(), length - prefix):
-            group = inside[by_left[x : y + 1]]
-            smallest = int(low[group].min())
-            out += [(c, suffix, prefix, smallest) for c in group.tolist()]
-    return out
+    return texts.select("key", "id", "text").mapInArrow(run, f"chunk long, keys array<{kind}>, ids array<long>, texts array<string>, at binary")
 
 
-def _blocks(bucket: np.ndarray, kind: int, a: np.ndarray, r: np.ndarray | None) -> Iterator[dict]:
-    order = np.argsort(bucket, kind="stable")
-    bucket, a = bucket[order], a[order]
-    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
-    for s, e in zip(cuts, [*cuts[1:], len(bucket)]):
-        five = lambda x: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-        yield {"bucket": int(bucket[s]), "kind": kind, "a": five(a[s:e]), "r": five(r[order][s:e]) if r is not None else b""}
+class Chunk:
+    """One row of the packed texts."""
 
+    def __init__(self, b: pa.RecordBatch, i: int, gram: int):
+        names = b.schema.names
+        self.number = b.column(names.index("chunk"))[i].as_py()
+        self.keys = b.column(names.index("keys"))[i].values
+        self.ids = b.column(names.index("ids"))[i].values.to_numpy(zero_copy_only=False)
+        texts = b.column(names.index("texts"))[i].values.cast(pa.large_string())
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
+        self.text = Texts(data[bounds[0] : bounds[-1]], bounds - bounds[0])
+        self.at = np.frombuffer(b.column(names.index("at"))[i].as_buffer(), "<u4").astype(np.int64)
+        self.gram = gram
 
-def _unpack(block: bytes) -> np.ndarray:
-    out = np.zeros((len(block) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(block, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel().astype(U)
+    def hashes(self) -> np.ndarray:
+        return grams(self.text, self.gram, self.at) & _MASK40 if len(self.at) else np.empty(0, U)
 
+    def owners(self, at: np.ndarray) -> np.ndarray:
+        return self.ids[np.searchsorted(self.text.bounds, at, "right") - 1]
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("r", pa.binary())])
 
+def opened(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[tuple[Chunk, pa.RecordBatch, int]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield Chunk(b, i, gram), b, i
 
-def shared_anchors(rows: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """rows: r, id, text -> r40, anchors: for each row the 40-bit hashes of its anchors that another document may
-    have (equal hashes of different anchors only make the list longer)."""
 
-    def send(a: list[np.ndarray], r: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a, r, ids = np.concatenate(a), np.concatenate(r), np.concatenate(ids)
-        order = np.argsort(a, kind="stable")
-        a, r, ids = a[order], r[order], ids[order]
-        start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-        sizes = np.diff(np.append(start, len(a)))
-        many = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
-        every = np.repeat(many, sizes)
-        bucket = lambda x: ((x >> U(40)) % U(buckets)).astype(np.int64)
-        # once for each row, though it has the anchor twice; rows of one id are told apart, since each needs its own list
-        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (r[1:] != r[:-1]))) & ~every)
-        found = [*_blocks(bucket(a[first]), 0, a[first], r[first]), *_blocks(bucket(a[start[many]]), 1, a[start[many]], None), *_blocks((mix(r[every]) % U(buckets)).astype(np.int64), 2, a[every], r[every])]
-        for at in range(0, len(found), 256):
-            yield pa.RecordBatch.from_pylist(found[at : at + 256], _PACKED)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = ([], [], []), 0
-        for b in batches:
-            rows_r, ids = b.column(0).to_numpy().astype(U), b.column(1).to_numpy()
-            for k, t in chunks(b.column(2)):
-                at, h = anchors(t, length, gram)
-                text = np.searchsorted(t.bounds, at, "right") - 1 + k
-                for part, new in zip(held, (h, rows_r[text] & _MASK40, ids[text])):
-                    part.append(new)
-                n += len(at)
-                if n >= HELD:
-                    yield from send(*held)
-                    held, n = ([], [], []), 0
-        if n:
-            yield from send(*held)
+def _range_of(a: np.ndarray, ranges: int) -> np.ndarray:
+    return ((a * U(ranges)) >> U(40)).astype(np.int64)
+
+
+def shared_anchors(texts: DataFrame, ranges: int, gram: int, many: int) -> DataFrame:
+    """chunk, flags: for each range of a chunk's different anchors, in ascending order, whether another document may have
+    it (1) or it is frequent (2).  Equal hashes of different anchors only flag some in vain."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, _, _ in opened(batches, gram):
+            h = c.hashes()
+            if not len(h):
+                continue
+            a, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+            ids = c.owners(c.at)
+            lowest, highest = np.full(len(a), LAST), np.full(len(a), -LAST)
+            np.minimum.at(lowest, inverse, ids)
+            np.maximum.at(highest, inverse, ids)
+            # a count of one stands for a single document
+            count = np.where(lowest == highest, 1, np.minimum(count, 255)).astype(np.uint8)
+            cuts = np.searchsorted(_range_of(a, ranges), np.arange(ranges + 1))
+            five = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            full = np.flatnonzero(np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(full), c.number)), pa.array([five[cuts[r] : cuts[r + 1]].tobytes() for r in full], pa.binary()), pa.array([count[cuts[r] : cuts[r + 1]].tobytes() for r in full], pa.binary())], ["range", "chunk", "a", "n"])
 
     def meet(table: pa.Table) -> pa.Table:
-        parts = {0: [], 1: [], 2: []}
-        for kind, a, r in zip(*(table.column(c).to_pylist() for c in ("kind", "a", "r"))):
-            parts[kind].append((_unpack(a), _unpack(r)))
-        pick = lambda k, i: np.concatenate([p[i] for p in parts[k]]) if parts[k] else np.empty(0, U)
-        single, owner, known = pick(0, 0), pick(0, 1), pick(1, 0)
-        order = np.argsort(single, kind="stable")
-        single, owner = single[order], owner[order]
-        start = np.flatnonzero(np.concatenate(([True], single[1:] != single[:-1]))) if len(single) else np.empty(0, np.int64)
-        if len(start):
-            more = (np.diff(np.append(start, len(single))) > 1) | np.isin(single[start], known)
-            every = np.repeat(more, np.diff(np.append(start, len(single))))
-            single, owner = single[every], owner[every]
-        a, r = np.concatenate((single, pick(2, 0))), np.concatenate((owner, pick(2, 1)))
-        return pa.table({"r40": pa.array(r.astype(np.int64)), "a": pa.array(a.astype(np.int64))})
-
-    packed = rows.select("r", "id", "text").mapInArrow(gather, "bucket int, kind int, a binary, r binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "r40 long, a long").groupBy("r40").agg(F.collect_list("a").alias("anchors"))
-
-
-def occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """rows: r, id, text, anchors -> kind, c, r, id, at, a, context, low, high.  kind 0: an occurrence of context c;
-    kind 1: the context itself, once for each batch, with its smallest and largest document."""
-    schema = pa.schema([("kind", pa.int32()), ("c", pa.int64()), ("r", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("a", pa.int64()), ("context", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
+        blocks = [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in table.column("a").to_pylist()]
+        wide = np.zeros((sum(map(len, blocks)), 8), np.uint8)
+        wide[:, :5] = np.concatenate(blocks)
+        a, n = wide.view("<u8").ravel(), np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint8).astype(np.int64)
+        order = np.argsort(a, kind="stable")
+        start = np.flatnonzero(np.concatenate(([True], a[order][1:] != a[order][:-1])))
+        total = np.repeat(np.add.reduceat(n[order], start), np.diff(np.append(start, len(a))))
+        flag = np.empty(len(a), np.uint8)
+        flag[order] = np.where(total > many, 2, np.where(total > 1, 1, 0))
+        cuts = np.cumsum([0, *map(len, blocks)])
+        return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "flags": pa.array([flag[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:])], pa.binary()), "hot": pa.array([bool((flag[s:e] == 2).any()) for s, e in zip(cuts[:-1], cuts[1:])])})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            r, ids, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
-            for k, t in chunks(b.column(2)):
-                at, h = anchors(t, length, gram)
-                if not len(at):
-                    continue
-                text, low40 = np.searchsorted(t.bounds, at, "right") - 1, h & _MASK40
-                cuts, keep = np.searchsorted(text, np.arange(t.n + 1)), np.zeros(len(at), bool)
-                for i in range(t.n):
-                    s, e = cuts[i], cuts[i + 1]
-                    keep[s:e] = np.isin(low40[s:e], lists[k + i].values.to_numpy().astype(U))
-                at, h, text = at[keep], h[keep], text[keep] + k
-                if not len(at):
-                    continue
-                around = contexts(t, at, length, gram)
-                c = row_hash(around).astype(np.int64)
-                null = lambda n, kind=pa.int64(): pa.nulls(n, kind)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(c), pa.array(r[text]), pa.array(ids[text]), pa.array(at - t.bounds[text - k]), null(len(at)), null(len(at), pa.binary()), null(len(at)), null(len(at))], schema=schema)
-                order = np.argsort(c, kind="stable")
-                start = np.flatnonzero(np.concatenate(([True], c[order][1:] != c[order][:-1])))
-                first, who = order[start], ids[text][order]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(len(first), np.int32)), pa.array(c[first]), null(len(first)), null(len(first)), null(len(first)), pa.array(h[first].astype(np.int64)), pa.array([x.tobytes() for x in around[first]], pa.binary())]
-                    + [pa.array(np.minimum.reduceat(who, start)), pa.array(np.maximum.reduceat(who, start))],
-                    schema=schema,
-                )
-
-    return rows.select("r", "id", "text", "anchors").mapInArrow(run, "kind int, c long, r long, id long, at long, a long, context binary, low long, high long")
-
-
-def covers(found: DataFrame, buckets: int, length: int, gram: int, many: int) -> DataFrame:
-    """c, before, after, low: an occurrence of context c is removed from ``before`` bytes before its anchor to ``after``
-    bytes behind it, if its document is larger than low."""
+    sent = texts.select("chunk", "keys", "ids", "texts", "at").mapInArrow(send, "range long, chunk long, a binary, n binary")
+    found = sent.groupBy("range").applyInArrow(meet, "chunk long, range long, flags binary, hot boolean")
+    return found.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "flags"))).alias("flags"), F.max("hot").alias("hot"))
+
+
+def flagged(c: Chunk, flags: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the flag of each of a chunk's anchors."""
+    h = c.hashes()
+    _, inverse = np.unique(h, return_inverse=True)
+    every = np.frombuffer(b"".join(x["flags"] for x in flags.as_py()), np.uint8)
+    return h, every[inverse]
+
+
+def _blob(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(len(x := a.tobytes()).to_bytes(8, "little") + x for a in arrays))
+
+
+def _arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    data, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+    for k in kinds:
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(np.frombuffer(data, k, n // np.dtype(k).itemsize, at + 8))
+        at += 8 + n
+    return out
+
+
+def reaches(known: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
+    """chunk, reach: packed positions of occurrences that are removed, with how far before and behind them."""
     left, size = length - gram, 2 * length - gram
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, b, i in opened(batches, gram):
+            h, flag = flagged(c, b.column(b.schema.names.index("flags"))[i])
+            keep = flag == 1
+            at, a = c.at[keep], h[keep]
+            if not len(at):
+                continue
+            around, ids = contexts(c.text, at, length, gram), c.owners(at)
+            order = np.lexsort((at, row_hash(around), a))
+            at, a, around, ids = at[order], a[order], around[order], ids[order]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (around[1:] != around[:-1]).any(axis=1)))
+            which, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            cuts = np.searchsorted(_range_of(a[first], ranges), np.arange(ranges + 1))
+            full, edges, rows = np.flatnonzero(np.diff(cuts)), np.append(first, len(a)), []
+            for r in full.tolist():
+                s, e = cuts[r], cuts[r + 1]
+                x, y = edges[s], edges[e]
+                rows.append(_blob(a[first[s:e]], around[first[s:e]], (which[x:y] - s).astype(np.uint32), at[x:y].astype(np.uint32), ids[x:y]))
+            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(full), c.number)), pa.array(rows, pa.binary())], ["range", "chunk", "block"])
+
     def scan(table: pa.Table) -> pa.Table:
-        a, c = table.column("a").to_numpy(), table.column("c").to_numpy()
-        rows = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(-1, size)
-        low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
-        order = np.lexsort((c, a))
-        a, c, rows, low, high = a[order], c[order], rows[order], low[order], high[order]
-        start = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (a[1:] != a[:-1]))))
-        low, high = np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)
-        a, c, rows = a[start], c[start], rows[start]
+        parts = [_arrays(x, "u8", "u1", "u4", "u4", "i8") for x in table.column("block").to_pylist()]
+        a, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).reshape(-1, size)
+        offsets = np.cumsum([0, *(len(p[0]) for p in parts)])
+        which = np.concatenate([p[2].astype(np.int64) + o for p, o in zip(parts, offsets)])
+        at, ids = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
+        chunk = np.repeat(table.column("chunk").to_numpy(), [len(p[2]) for p in parts])
+        # the suffix array: by anchor, the bytes behind it, the bytes before it
+        order = np.lexsort((*_words(rows[:, :left]).T[::-1], *_words(rows[:, left:]).T[::-1], a))
+        a, rows = a[order], rows[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (rows[1:] != rows[:-1]).any(axis=1)))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        a, rows, which = a[new], rows[new], number[which]
+        low = np.full(len(a), LAST)
+        np.minimum.at(low, which, ids)
+        several = np.concatenate(([False], a[1:] == a[:-1]))
+        several[:-1] |= several[1:]
+        before, after = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        before[several], after[several] = repeats(a[several], rows[several], low[several], length, gram)
         # equal contexts are a repeat that reaches as far as any passage through the anchor can
         whole = rows != 255
-        before, after = whole[:, :left].cumprod(axis=1).sum(axis=1), whole[:, left:].cumprod(axis=1).sum(axis=1)
-        own = np.flatnonzero((low < high) & (before + after >= length))
-        out = [(c[own], before[own], after[own], low[own])]
-        start = np.append(np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))), len(a))
-        more = []
-        for g in np.flatnonzero(np.diff(start) > 1).tolist():
-            s, e = start[g], start[g + 1]
-            more += [(int(c[s + i]), x, y, lowest) for i, x, y, lowest in repeats(rows[s:e], low[s:e], length, gram) if lowest < high[s + i]]
-        if more:
-            out.append(tuple(np.array(more, np.int64).T))
-        return pa.table({n: pa.array(np.concatenate([np.asarray(o[i], np.int64) for o in out])) for i, n in enumerate(("c", "before", "after", "low"))})
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, size)
-            for x in range(left + 1):
-                window = np.concatenate((rows[:, :x], rows[:, left : left + length - x]), axis=1)
-                real = np.flatnonzero((window != 255).all(axis=1))
-                at = pa.array(real)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(np.full(len(real), x, np.int64)), pa.array((row_hash(window[real]) ^ mix(np.full(len(real), x, U))).astype(np.int64)), b.column(2).take(at), b.column(3).take(at)], ["c", "before", "window", "low", "high"])
-
-    rows = found.filter("kind = 1").select("a", "c", "context", "low", "high")
-    hot = written(rows.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > many).select("a"), "hot_anchors")
-    cold = rows.join(hot, "a", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
-    out = cold.groupBy("bucket").applyInArrow(scan, "c long, before long, after long, low long")
-    if not hot.isEmpty():
-        seen = rows.join(hot, "a", "left_semi").select("c", "context", "low", "high")
-        windows = written(seen.mapInArrow(split, "c long, before long, window long, low long, high long"), "windows")
-        lowest = windows.groupBy("window").agg(F.min("low").alias("lowest"))
-        hit = windows.join(lowest, "window").filter("lowest < high").select("c", "before", (F.lit(length) - F.col("before")).alias("after"), F.col("lowest").alias("low"))
-        out = out.unionByName(hit)
-    return out
+        full = whole[:, :left].cumprod(axis=1).sum(axis=1), whole[:, left:].cumprod(axis=1).sum(axis=1)
+        larger = ids > low[which]
+        b, e = np.where(larger, full[0][which], before[which]), np.where(larger, full[1][which], after[which])
+        return _reach(chunk, at, b, e)
 
+    blocks = known.select("chunk", "keys", "ids", "texts", "at", "flags").mapInArrow(send, "range long, chunk long, block binary")
+    return blocks.groupBy("range").applyInArrow(scan, "chunk long, reach binary")
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
-    """r, starts, ends: for each row (by its hash r) the byte ranges that repeat passages of smaller documents."""
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.xxhash64(key, text).alias("r"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text")).filter(F.octet_length("text") >= length)
-    known = written(shared_anchors(rows, buckets, length, gram), "shared_anchors")
-    release(spark)
-    joined = rows.withColumn("r40", F.col("r").bitwiseAND(F.lit((1 << 40) - 1))).join(known, "r40")
-    found = written(occurrences(joined, length, gram), "contexts")
-    release(spark)
-    cover = written(covers(found, buckets, length, gram, many), "covers")
-    release(spark)
-    spans = found.filter("kind = 0").select("c", "r", "id", "at").join(cover, "c").filter("id > low").select("r", F.struct((F.col("at") - F.col("before")).alias("s"), (F.col("at") + F.col("after")).alias("e")).alias("span"))
-    return spans.groupBy("r").agg(F.collect_set("span").alias("spans"))
 
+def _reach(chunk: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.Table:
+    hit = before + after > 0
+    chunk, at, before, after = chunk[hit], at[hit], before[hit], after[hit]
+    order = np.argsort(chunk, kind="stable")
+    chunk, start, end = chunk[order], (at - before)[order].astype(np.uint32), (at + after)[order].astype(np.uint32)
+    first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1]))) if len(chunk) else np.empty(0, np.int64)
+    return pa.table({"chunk": pa.array(chunk[first], pa.int64()), "reach": pa.array([_blob(start[s:e], end[s:e]) for s, e in zip(first, np.append(first, len(chunk))[1:])], pa.binary())})
 
-def _merge(spans: list[dict] | None) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+
+def frequent_reaches(known: DataFrame, length: int, gram: int, tables: Tables) -> DataFrame:
+    """The same for frequent anchors, whose windows are grouped by their hashes."""
+    left = length - gram
+    windows = lambda rows, x: np.concatenate((rows[:, :x], rows[:, left : left + length - x]), axis=1)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, b, i in opened(batches, gram):
+            _, flag = flagged(c, b.column(b.schema.names.index("flags"))[i])
+            at = c.at[flag == 2]
+            if not len(at):
+                continue
+            rows, ids = contexts(c.text, at, length, gram), c.owners(at)
+            order = np.argsort(row_hash(rows), kind="stable")
+            at, rows, ids = at[order], rows[order], ids[order]
+            first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1))))
+            low, high = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
+            occurrences = [_blob(at[s:e].astype(np.uint32), ids[s:e]) for s, e in zip(first, np.append(first, len(at))[1:])]
+            rows = rows[first]
+            for x in range(left + 1):
+                window = windows(rows, x)
+                real = np.flatnonzero((window != 255).all(axis=1))
+                take = lambda v: pa.array(v[real])
+                h = [(row_hash(window[real], seed) ^ mix(np.full(len(real), x, U))).astype(np.int64) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+                number = pa.array(real.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(real), c.number)), number, pa.array(np.full(len(real), x)), take(low), take(high), pa.array([occurrences[k] for k in real] if x == 0 else [None] * len(real), pa.binary())], ["w1", "w2", "chunk", "context", "before", "low", "high", "places"])
+            # contexts that are too near the start of a text for x = 0 still need their places
+            late = np.flatnonzero(~(windows(rows, 0) != 255).all(axis=1))
+            none = pa.nulls(len(late), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(late), c.number)), pa.array(late.astype(np.int64)), none, none, none, pa.array([occurrences[k] for k in late], pa.binary())], ["w1", "w2", "chunk", "context", "before", "low", "high", "places"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for number, places, found in zip(*(b.column(i) for i in range(3))):
+                at, ids = _arrays(places.as_py(), "u4", "i8")
+                before, after = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                for f in found.as_py():
+                    hit = ids > f["lowest"]
+                    before[hit], after[hit] = np.maximum(before[hit], f["before"]), np.maximum(after[hit], length - f["before"])
+                for o, v in zip(out, (np.full(len(at), number.as_py()), at, before, after)):
+                    o.append(v)
+            if out[0]:
+                yield from _reach(*map(np.concatenate, out)).to_batches()
+
+    rows = tables.write(known.filter("hot").select("chunk", "keys", "ids", "texts", "at", "flags").mapInArrow(send, "w1 long, w2 long, chunk long, context long, before long, low long, high long, places binary"), "windows")
+    lowest = rows.filter("w1 is not null").groupBy("w1", "w2").agg(F.min("low").alias("lowest"), F.max("high").alias("highest")).filter("lowest < highest").select("w1", "w2", "lowest")
+    hit = rows.drop("places").join(lowest, ["w1", "w2"]).filter("lowest < high")
+    hit = hit.groupBy("chunk", "context").agg(F.collect_set(F.struct("before", "lowest")).alias("found"))
+    places = rows.filter("places is not null").select("chunk", "context", "places")
+    return places.join(hit, ["chunk", "context"]).select("chunk", "places", "found").mapInArrow(unpack, "chunk long, reach binary")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """key, n_bytes, spans (start, end of each maximal removed run), kept (the remaining bytes) for every row."""
-    kind, spans = docs.schema[key].dataType.simpleString(), written(repeated_spans(docs, key, text, length, gram, many), "spans")
-    release(docs.sparkSession)
+    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
+    tables = Tables(spark)
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
+    texts = tables.write(packed(rows, length, gram), "chunks")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.count() // RANGE)
+    shared = tables.write(shared_anchors(texts, ranges, gram, many), "shared_anchors")
+    release(spark)
+    known = texts.join(shared, "chunk")
+    found = tables.write(reaches(known, ranges, length, gram), "reaches")
+    release(spark)
+    if not shared.filter("hot").isEmpty():
+        found = found.unionByName(tables.write(frequent_reaches(known, length, gram, tables), "frequent_reaches"))
+        release(spark)
+    spans = tables.write(found.groupBy("chunk").agg(F.collect_list("reach").alias("reach")), "spans")
+    tables.drop(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 200):
-                part = b.slice(k, 200)
-                texts = [(x or "").encode() for x in part.column(1).to_pylist()]
-                runs = [_merge(s) for s in part.column(2).to_pylist()]
-                kept = []
-                for x, cut in zip(texts, runs):
-                    at = [0, *(p for run in cut for p in run), len(x)]
-                    kept.append(b"".join(x[s:e] for s, e in zip(at[::2], at[1::2])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in cut] for cut in runs], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(kept, pa.binary())], [key, "n_bytes", "spans", "kept"])
-
-    rows = docs.select(key, text, F.xxhash64(key, text).alias("r")).join(spans, "r", "left").select(key, text, "spans")
-    return rows.mapInArrow(run, f"{key} {kind}, n_bytes long, spans array<struct<s: long, e: long>>, kept binary")
+        for c, b, i in opened(batches, gram):
+            t, n = c.text, len(c.text.data)
+            edges = np.zeros(n + 1, np.int64)
+            for x in b.column(b.schema.names.index("reach"))[i].as_py() or ():
+                start, end = _arrays(x, "u4", "u4")
+                np.add.at(edges, start, 1)
+                np.add.at(edges, end, -1)
+            gone = np.cumsum(edges[:-1]) > 0
+            # runs of removed bytes; none goes over the end of a text
+            first, last = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+            first[t.bounds[:-1]] = last[t.bounds[1:]] = True
+            before, behind = np.concatenate(([False], gone)), np.concatenate((gone, [False]))
+            starts, ends = np.flatnonzero(behind & (~before | first)), np.flatnonzero(before & (~behind | last))
+            at = np.searchsorted(starts, t.bounds)
+            owner = np.searchsorted(t.bounds, starts, "right") - 1
+            list_of = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(starts - t.bounds[owner]), pa.array(ends - t.bounds[owner])], ["s", "e"]))
+            kept, left = np.concatenate(([0], np.cumsum(~gone))), t.data[~gone].tobytes()
+            cuts = kept[t.bounds].tolist()
+            rest = pa.array([left[s:e] for s, e in zip(cuts[:-1], cuts[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([c.keys, pa.array(np.diff(t.bounds)), list_of, rest], [key, "n_bytes", "spans", "kept"])
+
+    return texts.join(spans, "chunk", "left").select("chunk", "keys", "ids", "texts", "at", "reach").mapInArrow(run, f"{key} {kind}, n_bytes long, spans array<struct<s: long, e: long>>, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
 from quadspan.llm import suffix
 
+from . import plain
+
 _dice = random.Random(11)
 WORDS = ["".join(_dice.choices("abcdefghij", k=6)) for _ in range(400)]
 said = lambda n: " ".join(_dice.choices(WORDS, k=n))
@@ -26,3 +29,19 @@ def test_op6_null_and_repeated_ids(spark, same):
     assert sum(passage in k for k in kept) == 1 and len(kept) == 41
     alone = suffix.remove_repeats(spark.createDataFrame(many, schema).repartition(3)).collect()
     assert sorted(bytes(r["kept"]).decode() for r in alone) == sorted(t for _, t in many)
+
+
+@pytest.mark.parametrize("many", [3, 10**9])
+def test_op6_frequent_anchors_and_ranges(spark, many):
+    """The same result whether an anchor's contexts meet in one task or are cut by prefix lengths; against brute force."""
+    frequent, dice = said(16), random.Random(many)
+    rows = [(i, " ".join(dice.choices(WORDS, k=dice.randint(0, 6)) + [frequent] * dice.randint(0, 2) + dice.choices(WORDS, k=dice.randint(0, 9)))) for i in range(60)]
+    rows += [(60, "ab" * 90), (61, "b" + "ab" * 70), (62, "é" * 40), (63, "x" + "é" * 30), (64, None), (65, ""), (66, rows[3][1]), (67, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", suffix.F.lit("clash"))
+    gone = plain.removed(rows)
+    for r in suffix.remove_repeats(docs.repartition(5), many=many).collect():
+        data, cut = (dict(rows)[r["doc_id"]] or "").encode(), gone[r["doc_id"]]
+        assert bytes(r["kept"]) == bytes(b for b, g in zip(data, cut) if not g)
+        assert [(s["s"], s["e"]) for s in r["spans"]] == [m.span() for m in re.finditer(b"\1+", cut)]
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert suffix.remove_repeats(empty, many=many).count() == 0
