@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Tables, release
@@ -44,6 +44,8 @@ LENGTH, GRAM = 50, 24
 MANY = 2000
 #: Chunks for each range of anchors.
 RANGE = 8
+#: Bytes of flags or spans that may be broadcast to the chunks.
+BROADCAST_BYTES = 64 << 20
 U = np.uint64
 _MASK40 = U((1 << 40) - 1)
 LAST = (1 << 63) - 1
@@ -174,36 +176,40 @@ def repeats(a: np.ndarray, rows: np.ndarray, low: np.ndarray, length: int = LENG
 
 
 def packed(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """key, id, text -> chunk, keys, ids, texts, at: rows of about two MB of text, with the positions of their anchors."""
+    """key, id, text -> chunk, keys, ids, sizes, data, at: rows of about two MB of text, compressed, with the distances
+    between their anchors (a byte each, 255 for each 255 more)."""
     kind = texts.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
+        chunk, squeeze = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3)
         for b in batches:
-            filled = b.column(2).fill_null("")
-            for k, t in chunks(filled):
-                part = [b.column(0).slice(k, t.n), b.column(1).slice(k, t.n), filled.slice(k, t.n)]
-                lists = [pa.ListArray.from_arrays(pa.array([0, t.n], pa.int32()), pa.concat_arrays([p])) for p in part]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.array([anchors(t, length, gram).astype("<u4").tobytes()], pa.binary())], ["chunk", "keys", "ids", "texts", "at"])
+            for k, t in chunks(b.column(2)):
+                far, near = np.divmod(np.diff(anchors(t, length, gram), prepend=0), 255)
+                at = np.full(int((far + 1).sum()), 255, np.uint8)
+                at[np.cumsum(far + 1) - 1] = near
+                lists = [pa.ListArray.from_arrays(pa.array([0, t.n], pa.int32()), pa.concat_arrays([b.column(i).slice(k, t.n)])) for i in range(2)]
+                rest = [np.diff(t.bounds).astype("<u4").tobytes(), squeeze.compress(t.data.tobytes()), at.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, *(pa.array([x], pa.binary()) for x in rest)], ["chunk", "keys", "ids", "sizes", "data", "at"])
                 chunk += 1
 
-    return texts.select("key", "id", "text").mapInArrow(run, f"chunk long, keys array<{kind}>, ids array<long>, texts array<string>, at binary")
+    return texts.select("key", "id", "text").mapInArrow(run, f"chunk long, keys array<{kind}>, ids array<long>, sizes binary, data binary, at binary")
+
+
+#: What a chunk needs to be read.
+CHUNK = ("chunk", "keys", "ids", "sizes", "data", "at")
 
 
 class Chunk:
     """One row of the packed texts."""
 
     def __init__(self, b: pa.RecordBatch, i: int, gram: int):
-        names = b.schema.names
-        self.number = b.column(names.index("chunk"))[i].as_py()
-        self.keys = b.column(names.index("keys"))[i].values
-        self.ids = b.column(names.index("ids"))[i].values.to_numpy(zero_copy_only=False)
-        texts = b.column(names.index("texts"))[i].values.cast(pa.large_string())
-        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
-        self.text = Texts(data[bounds[0] : bounds[-1]], bounds - bounds[0])
-        self.at = np.frombuffer(b.column(names.index("at"))[i].as_buffer(), "<u4").astype(np.int64)
-        self.gram = gram
+        number, keys, ids, sizes, data, at = (b.column(b.schema.names.index(n))[i] for n in CHUNK)
+        self.number, self.keys, self.gram = number.as_py(), keys.values, gram
+        self.ids = ids.values.to_numpy(zero_copy_only=False)
+        bounds = np.concatenate(([0], np.cumsum(np.frombuffer(sizes.as_buffer(), "<u4").astype(np.int64))))
+        self.text = Texts(np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_py()), np.uint8), bounds)
+        steps = np.frombuffer(at.as_buffer(), np.uint8)
+        self.at = np.cumsum(steps, dtype=np.int64)[steps != 255]
 
     def hashes(self) -> np.ndarray:
         return grams(self.text, self.gram, self.at) & _MASK40 if len(self.at) else np.empty(0, U)
@@ -254,23 +260,27 @@ def shared_anchors(texts: DataFrame, ranges: int, gram: int, many: int) -> DataF
         flag = np.empty(len(a), np.uint8)
         flag[order] = np.where(total > many, 2, np.where(total > 1, 1, 0))
         cuts = np.cumsum([0, *map(len, blocks)])
-        return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "flags": pa.array([flag[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:])], pa.binary()), "hot": pa.array([bool((flag[s:e] == 2).any()) for s, e in zip(cuts[:-1], cuts[1:])])})
+        return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "flags": pa.array([np.packbits(flag[s:e] > 0).tobytes() + np.packbits(flag[s:e] == 2).tobytes() for s, e in zip(cuts[:-1], cuts[1:])], pa.binary()), "hot": pa.array([bool((flag[s:e] == 2).any()) for s, e in zip(cuts[:-1], cuts[1:])])})
 
-    sent = texts.select("chunk", "keys", "ids", "texts", "at").mapInArrow(send, "range long, chunk long, a binary, n binary")
+    sent = texts.select(*CHUNK).mapInArrow(send, "range long, chunk long, a binary, n binary")
     found = sent.groupBy("range").applyInArrow(meet, "chunk long, range long, flags binary, hot boolean")
     return found.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "flags"))).alias("flags"), F.max("hot").alias("hot"))
 
 
-def flagged(c: Chunk, flags: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+def flagged(c: Chunk, flags: pa.Scalar, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash and the flag of each of a chunk's anchors."""
     h = c.hashes()
-    _, inverse = np.unique(h, return_inverse=True)
-    every = np.frombuffer(b"".join(x["flags"] for x in flags.as_py()), np.uint8)
-    return h, every[inverse]
+    a, inverse = np.unique(h, return_inverse=True)
+    sizes = np.bincount(_range_of(a, ranges), minlength=ranges)
+    every = []
+    for x in flags.as_py():
+        n, bits = int(sizes[x["range"]]), np.frombuffer(x["flags"], np.uint8)
+        every.append(np.unpackbits(bits[: len(bits) // 2], count=n) + np.unpackbits(bits[len(bits) // 2 :], count=n))
+    return h, np.concatenate(every)[inverse]
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(len(x := a.tobytes()).to_bytes(8, "little") + x for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(len(x := a.tobytes()).to_bytes(8, "little") + x for a in arrays))
 
 
 def _arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
@@ -288,7 +298,7 @@ def reaches(known: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, b, i in opened(batches, gram):
-            h, flag = flagged(c, b.column(b.schema.names.index("flags"))[i])
+            h, flag = flagged(c, b.column(b.schema.names.index("flags"))[i], ranges)
             keep = flag == 1
             at, a = c.at[keep], h[keep]
             if not len(at):
@@ -333,7 +343,7 @@ def reaches(known: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
         b, e = np.where(larger, full[0][which], before[which]), np.where(larger, full[1][which], after[which])
         return _reach(chunk, at, b, e)
 
-    blocks = known.select("chunk", "keys", "ids", "texts", "at", "flags").mapInArrow(send, "range long, chunk long, block binary")
+    blocks = known.select(*CHUNK, "flags").mapInArrow(send, "range long, chunk long, block binary")
     return blocks.groupBy("range").applyInArrow(scan, "chunk long, reach binary")
 
 
@@ -346,14 +356,14 @@ def _reach(chunk: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndar
     return pa.table({"chunk": pa.array(chunk[first], pa.int64()), "reach": pa.array([_blob(start[s:e], end[s:e]) for s, e in zip(first, np.append(first, len(chunk))[1:])], pa.binary())})
 
 
-def frequent_reaches(known: DataFrame, length: int, gram: int, tables: Tables) -> DataFrame:
+def frequent_reaches(known: DataFrame, ranges: int, length: int, gram: int, tables: Tables) -> DataFrame:
     """The same for frequent anchors, whose windows are grouped by their hashes."""
     left = length - gram
     windows = lambda rows, x: np.concatenate((rows[:, :x], rows[:, left : left + length - x]), axis=1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, b, i in opened(batches, gram):
-            _, flag = flagged(c, b.column(b.schema.names.index("flags"))[i])
+            _, flag = flagged(c, b.column(b.schema.names.index("flags"))[i], ranges)
             at = c.at[flag == 2]
             if not len(at):
                 continue
@@ -390,7 +400,7 @@ def frequent_reaches(known: DataFrame, length: int, gram: int, tables: Tables) -
             if out[0]:
                 yield from _reach(*map(np.concatenate, out)).to_batches()
 
-    rows = tables.write(known.filter("hot").select("chunk", "keys", "ids", "texts", "at", "flags").mapInArrow(send, "w1 long, w2 long, chunk long, context long, before long, low long, high long, places binary"), "windows")
+    rows = tables.write(known.filter("hot").select(*CHUNK, "flags").mapInArrow(send, "w1 long, w2 long, chunk long, context long, before long, low long, high long, places binary"), "windows")
     lowest = rows.filter("w1 is not null").groupBy("w1", "w2").agg(F.min("low").alias("lowest"), F.max("high").alias("highest")).filter("lowest < highest").select("w1", "w2", "lowest")
     hit = rows.drop("places").join(lowest, ["w1", "w2"]).filter("lowest < high")
     hit = hit.groupBy("chunk", "context").agg(F.collect_set(F.struct("before", "lowest")).alias("found"))
@@ -398,6 +408,11 @@ def frequent_reaches(known: DataFrame, length: int, gram: int, tables: Tables) -
     return places.join(hit, ["chunk", "context"]).select("chunk", "places", "found").mapInArrow(unpack, "chunk long, reach binary")
 
 
+def light(df: DataFrame, size: Column) -> DataFrame:
+    """df, marked for a broadcast if its rows' sizes sum up to few enough bytes; else the chunks are shuffled."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """key, n_bytes, spans (start, end of each maximal removed run), kept (the remaining bytes) for every row."""
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
@@ -407,11 +422,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.count() // RANGE)
     shared = tables.write(shared_anchors(texts, ranges, gram, many), "shared_anchors")
     release(spark)
-    known = texts.join(shared, "chunk")
+    known = texts.join(light(shared, F.aggregate("flags", F.lit(0), lambda n, x: n + F.length(x["flags"]))), "chunk")
     found = tables.write(reaches(known, ranges, length, gram), "reaches")
     release(spark)
     if not shared.filter("hot").isEmpty():
-        found = found.unionByName(tables.write(frequent_reaches(known, length, gram, tables), "frequent_reaches"))
+        found = found.unionByName(tables.write(frequent_reaches(known, ranges, length, gram, tables), "frequent_reaches"))
         release(spark)
     spans = tables.write(found.groupBy("chunk").agg(F.collect_list("reach").alias("reach")), "spans")
     tables.drop(shared)
@@ -438,7 +453,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             rest = pa.array([left[s:e] for s, e in zip(cuts[:-1], cuts[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([c.keys, pa.array(np.diff(t.bounds)), list_of, rest], [key, "n_bytes", "spans", "kept"])
 
-    return texts.join(spans, "chunk", "left").select("chunk", "keys", "ids", "texts", "at", "reach").mapInArrow(run, f"{key} {kind}, n_bytes long, spans array<struct<s: long, e: long>>, kept binary")
+    spans = light(spans, F.aggregate("reach", F.lit(0), lambda n, x: n + F.length(x)))
+    return texts.join(spans, "chunk", "left").select(*CHUNK, "reach").mapInArrow(run, f"{key} {kind}, n_bytes long, spans array<struct<s: long, e: long>>, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
