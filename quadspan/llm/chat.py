@@ -1,9 +1,9 @@
 """Transcript parsing by a hidden Markov model, and canonical rendering of turns.
 
-A transcript comes in fragments (id, order, text) of one or more lines; a fragment starts a turn.  Each line is seen as
+A transcript comes in fragments (id, order, text) of one or more lines, and of one or more turns; a fragment starts a turn.  Each line is seen as
 a speaker marker (of a role, of an unknown speaker, or none) and a few line features.  The hidden states are the roles,
-each as the first line of a turn or a further one.  The role transitions and the feature frequencies are counted from
-labelled turns (``fit``); Viterbi then recovers the states, and turns are rendered without their markers.
+each as the first line of a turn or a further one.  Role transitions, feature frequencies and those of markers, also
+missing ones, are counted from labelled turns (``fit``); Viterbi then recovers the states, and turns are rendered without their markers.
 
 Transcripts of more than FAN fragments are cut into blocks of FAN by the fragments' places, whatever their orders are.
 Places come from a prefix sum: long transcripts are dealt to ranges of (id, order, text), each range counts its rows of
@@ -20,6 +20,8 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,18 +62,20 @@ def marker(line: str) -> tuple[int, int]:
 
 @dataclass(frozen=True)
 class Model:
-    """Log-probabilities: of the first role, of a role after another, of line features by role, and of markers."""
+    """Log-probabilities: of the first role, of a role after another, of line features by role, of markers by role on the
+    first line of a turn (0) and on others (1), and of a further line being one or the other."""
 
     start: np.ndarray
     follow: np.ndarray
     features: np.ndarray
+    marks: np.ndarray
+    lines: np.ndarray
 
     def emissions(self, marks: np.ndarray, kinds: np.ndarray, head: np.ndarray) -> np.ndarray:
         out = np.full((len(marks), N), LOW)
         for k, (role, first) in enumerate(STATES):
-            hit = np.where(marks == role, 0.9, np.where(marks == NONE, 0.05, np.where(marks == UNKNOWN, 0.03, 0.01))) if first else np.where(marks == NONE, 0.98, 0.005)
-            out[:, k] = np.log(hit) + self.features[role, kinds]
-            out[:, k] += np.where(head, 0 if first else LOW, -3.0 if first else 0)
+            out[:, k] = self.marks[role, 0 if first else 1, marks] + self.features[role, kinds]
+            out[:, k] += np.where(head, 0 if first else LOW, self.lines[0 if first else 1])
         return out
 
     def moves(self) -> np.ndarray:
@@ -84,22 +88,39 @@ class Model:
         return out
 
 
-def fit(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> Model:
-    """Counts over all labelled turns: a few dozen numbers come to the driver."""
-    rows = turns.filter(F.col(role).isin(*ROLES))
-    kind = lambda c: F.rtrim(c).endswith("?").cast("int") + 2 * (F.length(c) > 120).cast("int") + 4 * F.ltrim(c).rlike("^(-|\\*|```|1\\.)").cast("int") + 8 * (F.trim(c) == "").cast("int")
-    lines = rows.select(role, F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line"))
-    seen = {(r[0], r[1]): r[2] for r in lines.groupBy(role, kind(F.col("line")).alias("k")).count().collect()}
+def fit(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", unmarked: int = 10) -> Model:
+    """Counts over all labelled turns, of markers as transcripts write them with ``unmarked`` percent of the turns left
+    without one: a few hundred numbers come to the driver."""
+    rows = turns.filter(F.col(role).isin(*ROLES)).select(F.col(key).alias("conv_id"), F.col(order).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            roles = [ROLES.index(x) for x in b.column(0).to_pylist()]
+            lines, marks, kinds, head = _read(b.column(1).to_pylist())
+            who = np.repeat(roles, [len(x) for x in lines]) if lines else np.zeros(0, np.int64)
+            seen.update(zip(who.tolist(), np.where(head, 0, 1).tolist(), marks.tolist(), kinds.tolist()))
+        cells = list(zip(*seen)) if seen else [[]] * 4
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cells), pa.array(list(seen.values()), pa.int64())], ["role", "place", "mark", "kind", "n"])
+
+    written_ = as_transcripts(rows, unmarked).select("role", "text")
+    seen = written_.mapInArrow(count, "role long, place long, mark long, kind long, n long").groupBy("role", "place", "mark", "kind").agg(F.sum("n")).collect()
+    marks, kinds = np.full((3, 2, 5), 0.5), np.ones((3, 16))
+    for r, place, mark, kind, n in seen:
+        marks[r, place, mark] += n
+        kinds[r, kind] += n
     # turns of one number are counted before they meet
-    said = rows.groupBy(F.col(key).alias("id"), F.col(order).alias("n"), F.col(role).alias("x")).agg(F.count("*").alias("c"))
+    said = rows.groupBy(F.col("conv_id").alias("id"), F.col("turn").alias("n"), F.col("role").alias("x")).agg(F.count("*").alias("c"))
     after = said.select("id", (F.col("n") - 1).alias("n"), F.col("x").alias("y"), F.col("c").alias("d"))
     pairs = {(r[0], r[1]): r[2] for r in said.join(after, ["id", "n"]).groupBy("x", "y").agg(F.sum(F.col("c") * F.col("d"))).collect()}
-    first = {r[0]: r[1] for r in rows.filter(F.col(order) == 0).groupBy(role).count().collect()}
+    first = {r[0]: r[1] for r in rows.filter(F.col("turn") == 0).groupBy("role").count().collect()}
     norm = lambda m: np.log(m / m.sum(axis=-1, keepdims=True))
     return Model(
         norm(np.array([first.get(r, 0) + 1.0 for r in ROLES])),
         norm(np.array([[pairs.get((r, s), 0) + 1.0 for s in ROLES] for r in ROLES])),
-        norm(np.array([[seen.get((r, k), 0) + 1.0 for k in range(16)] for r in ROLES])),
+        norm(kinds),
+        norm(marks),
+        norm(marks.sum(axis=(0, 2))),
     )
 
 
@@ -253,15 +274,16 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|turn|>"), role, F.lit("\n"), text, F.lit("<|end|>"))
 
 
-def as_transcripts(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, text: labelled turns as they are written in transcripts of several styles, one for each
-    conversation, with the role as a marker before the first line."""
+def as_transcripts(turns: DataFrame, unmarked: int = 0) -> DataFrame:
+    """conv_id, turn, role, text: labelled turns as they are written in transcripts of several styles, one for each
+    conversation, with the role as a marker before the first line; ``unmarked`` percent of the turns have no marker."""
     name = F.when(F.col("role") == "user", F.element_at(F.array(*map(F.lit, ("User", "Human", "user", "Q"))), F.pmod("conv_id", F.lit(4)).cast("int") + 1))
     name = name.when(F.col("role") == "assistant", F.element_at(F.array(*map(F.lit, ("Assistant", "AI", "assistant", "A"))), F.pmod("conv_id", F.lit(4)).cast("int") + 1)).otherwise(F.lit("System"))
     style, text = F.pmod("conv_id", F.lit(5)), F.coalesce("text", F.lit(""))
     shaped = F.when(style == 0, F.concat(name, F.lit(": "), text)).when(style == 1, F.concat(name, F.lit("> "), text)).when(style == 2, F.concat(F.lit("["), name, F.lit("] "), text))
     shaped = shaped.when(style == 3, F.concat(F.lit("**"), name, F.lit(":** "), text)).otherwise(F.concat(F.lit("### "), name, F.lit(":\n"), text))
-    return turns.select("conv_id", "turn", F.coalesce(shaped, text).alias("text"))
+    bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(100)) < unmarked
+    return turns.select("conv_id", "turn", "role", F.when(bare, text).otherwise(F.coalesce(shaped, text)).alias("text"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

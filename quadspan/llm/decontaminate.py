@@ -35,6 +35,9 @@ BLOCKS, NEAR = 8, 2
 RADIUS = BLOCKS * (NEAR + 1) - 1
 #: Items of one slice of the benchmark.
 SLICE = 20_000
+SLICE_BYTES = 32 << 20
+#: Shingles of a document that are worked on at once.
+PIECE = 1 << 16
 _U1, U8 = np.uint64(1), np.uint64(255)
 _SHIFTS = np.arange(64, dtype=np.uint64)
 _BALL = [[v for v in range(256) if (v ^ u).bit_count() <= NEAR] for u in range(256)]
@@ -102,13 +105,24 @@ class Index:
     def match(self, s: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item, first word, words, sum of minima, sum of maxima) of a document's best windows.  s: its shingles."""
         best: dict[int, tuple] = {}
+        longest = max(self.lengths, default=0)
+        for at in range(0, len(s), PIECE):
+            if hit[at : at + PIECE + longest].any():
+                self._match(s[at : at + PIECE + longest], hit[at : at + PIECE + longest], at, len(s), best)
+        return list(best.values())
+
+    def _match(self, s: np.ndarray, hit: np.ndarray, offset: int, whole: int, best: dict[int, tuple]) -> None:
+        """The windows that begin in the first PIECE shingles of a part of a document."""
         total = np.concatenate(([0], np.cumsum(hit)))
         sums = np.zeros((len(s) + 1, 64), np.int32)
         np.cumsum(signs(s), axis=0, out=sums[1:])
         for m, items in self.lengths.items():
-            n = min(m - SHINGLE + 1, len(s))
+            n = min(m - SHINGLE + 1, whole)
+            if n > len(s):
+                continue
             # at most so many shingles are shared; where that can't reach the similarity, nothing is hashed
             most = total[n:] - total[: len(s) - n + 1]
+            most = most[:PIECE]
             starts = np.flatnonzero((most > 0) & (100 * most >= PERCENT * (n + m - SHINGLE + 1 - most)))
             if not len(starts):
                 continue
@@ -118,8 +132,7 @@ class Index:
                 low = sum(min(c, self.counts[i][k]) for k, c in window.items() if k in self.counts[i])
                 high = n + self.sizes[i] - low
                 if 100 * low >= PERCENT * high and (i not in best or low * best[i][4] > best[i][3] * high):
-                    best[i] = (self.ids[i], at, n + SHINGLE - 1, low, high)
-        return list(best.values())
+                    best[i] = (self.ids[i], offset + at, n + SHINGLE - 1, low, high)
 
     def scan(self, t: Texts) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(text number, item, first word, words, sum of minima, sum of maxima)."""
@@ -140,12 +153,18 @@ class Index:
                     yield i, item, 0, int(t.first[i + 1] - t.first[i]), 1, 1
 
 
+def slices_of(items: DataFrame) -> int:
+    """How many slices keep a broadcast within SLICE items and SLICE_BYTES bytes of text, on average."""
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
+    return max(1, -(-n // SLICE), -(-(size or 0) // SLICE_BYTES))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, item, first_word, n_words, shared, total for each document and item of it: the best window's place and the
     two sums, whose quotient is the similarity."""
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     items = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
-    slices = max(1, -(-items.count() // SLICE))
+    slices = slices_of(items)
     out = None
     for k in range(slices):
         part = [(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).collect()]
@@ -167,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with the columns that they had."""
     items = benchmark.select(F.col("item_id").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
-    slices = max(1, -(-items.count() // SLICE))
+    slices = slices_of(items)
     at, out = docs.columns.index(text), docs
     for k in range(slices):
         part = [(0, r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).collect()]

@@ -41,7 +41,7 @@ from .words import _BYTES, Texts, chunks, mix, powers
 
 LENGTH, GRAM = 50, 24
 #: Occurrences of an anchor that one task compares.
-MANY = 2000
+MANY = 50_000
 #: Chunks for each range of anchors.
 RANGE = 8
 #: Bytes of flags or spans that may be broadcast to the chunks.
@@ -243,7 +243,7 @@ def shared_anchors(texts: DataFrame, ranges: int, gram: int, many: int) -> DataF
             np.minimum.at(lowest, inverse, ids)
             np.maximum.at(highest, inverse, ids)
             # a count of one stands for a single document
-            count = np.where(lowest == highest, 1, np.minimum(count, 255)).astype(np.uint8)
+            count = np.where(lowest == highest, 1, np.minimum(count, 65_535)).astype("<u2")
             cuts = np.searchsorted(_range_of(a, ranges), np.arange(ranges + 1))
             five = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             full = np.flatnonzero(np.diff(cuts))
@@ -253,7 +253,7 @@ def shared_anchors(texts: DataFrame, ranges: int, gram: int, many: int) -> DataF
         blocks = [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in table.column("a").to_pylist()]
         wide = np.zeros((sum(map(len, blocks)), 8), np.uint8)
         wide[:, :5] = np.concatenate(blocks)
-        a, n = wide.view("<u8").ravel(), np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint8).astype(np.int64)
+        a, n = wide.view("<u8").ravel(), np.frombuffer(b"".join(table.column("n").to_pylist()), "<u2").astype(np.int64)
         order = np.argsort(a, kind="stable")
         start = np.flatnonzero(np.concatenate(([True], a[order][1:] != a[order][:-1])))
         total = np.repeat(np.add.reduceat(n[order], start), np.diff(np.append(start, len(a))))
