@@ -7,8 +7,9 @@ form as written).  Two terms are equal if all of o, ok, dt and lang are.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,20 @@ class Graph:
         triples = triples.select(*TRIPLE)
         self.triples = triples if distinct else triples.dropDuplicates(TRIPLE)
 
-    def scan(self, *predicates: str) -> DataFrame:
-        return self.triples.filter(F.col("p").isin(*predicates)) if predicates else self.triples
+    def scan(self, *predicates: str, objects: Sequence[str] | None = None, datatypes: Sequence[str] | None = None) -> DataFrame:
+        """Triples of some predicates (all where none is given), with one of some nodes as object, or with a literal of
+        one of some datatypes."""
+        found = self.triples.filter(F.col("p").isin(*predicates)) if predicates else self.triples
+        return narrowed(found, objects, datatypes)
+
+    def closed(self, predicate: str) -> DataFrame:
+        """x, y, hops: one or more steps of a predicate between nodes, worked out once for a graph."""
+        from .operators.closure import closure, edges
+
+        known = self.__dict__.setdefault("_closed", {})
+        if predicate not in known:
+            known[predicate] = closure(edges(self.scan(predicate)))
+        return known[predicate]
 
     def scan_of(self, predicates: DataFrame) -> DataFrame:
         """Triples whose predicate is in a one-column frame p: pushed into the scan if few, else joined."""
@@ -46,19 +59,36 @@ class Graph:
 
     def typed(self, *classes: str) -> DataFrame:
         """s of the instances of some classes."""
-        found = self.scan("http://www.w3.org/1999/02/22-rdf-syntax-ns#type").filter("ok = 0")
-        return (found.filter(F.col("o").isin(*classes)) if classes else found).select("s").distinct()
+        return self.scan("http://www.w3.org/1999/02/22-rdf-syntax-ns#type", objects=classes or None).filter("ok = 0").select("s").distinct()
 
     def having(self, *predicates: str) -> DataFrame:
         return self.scan(*predicates).select("s").distinct()
 
 
+def narrowed(triples: DataFrame, objects: Sequence[str] | None, datatypes: Sequence[str] | None) -> DataFrame:
+    if objects is not None:
+        triples = triples.filter((F.col("ok") != LITERAL) & F.col("o").isin(*objects))
+    if datatypes is not None:
+        triples = triples.filter((F.col("ok") == LITERAL) & F.col("dt").isin(*datatypes))
+    return triples
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """All frames, joined in pairs, so that the plan of many stays shallow."""
+    while len(frames) > 1:
+        frames = [a.unionByName(b[0], allowMissingColumns=True) if b else a for a, *b in (frames[i : i + 2] for i in range(0, len(frames), 2))]
+    return frames[0]
 
 
 def from_tuples(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Triples from (s, p, o) with o an IRI, or (s, p, o, datatype, language) with o a literal; ``_:`` marks blank nodes."""
     kind = lambda x: BNODE if x.startswith("_:") else IRI
     full = [(r[0], kind(r[0]), r[1], r[2], kind(r[2]), None, None) if len(r) == 3 else (r[0], kind(r[0]), r[1], r[2], LITERAL, r[3] or ("http://www.w3.org/1999/02/22-rdf-syntax-ns#langString" if r[4] else "http://www.w3.org/2001/XMLSchema#string"), r[4]) for r in rows]
-    return spark.createDataFrame(full, TRIPLE_SCHEMA)
+    return inline(spark, full, TRIPLE_SCHEMA)
+
+
+def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a local relation, whose size the optimizer knows and which no Python worker reads."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    fields = [x.split() for x in schema.split(", ")]
+    return spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], kinds[k]) for i, (n, k) in enumerate(fields)}))

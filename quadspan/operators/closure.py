@@ -4,26 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..storage import cut
+from ..storage import cut, new_path
 
 
 def closure(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """x, y, hops: all pairs joined by one or more edges (x, y), with the fewest; cycles are fine.
 
-    Semi-naive: each round extends only the pairs that the last one found, and drops those that are known.  The
-    lineage is cut every round.  ``limit`` stops after so many hops."""
+    Semi-naive: each round extends only the pairs that the last one found, and drops those that are known.  Rounds are
+    folders of one table, so what is known is never written again.  ``limit`` stops after so many hops."""
+    spark, at = edges.sparkSession, new_path(edges.sparkSession, "closure")
     step = cut(edges.select(F.col("x").alias("from"), F.col("y").alias("to")).distinct())
-    known = cut(step.select(F.col("from").alias("x"), F.col("to").alias("y"), F.lit(1).alias("hops")))
-    frontier, hops = known, 1
+    pairs = step.select(F.col("from").alias("x"), F.col("to").alias("y"))
+    schema = StructType([*(StructField(f.name, f.dataType) for f in pairs.schema), StructField("hops", IntegerType())])
+    pairs.write.parquet(f"{at}/hops=1")
+    hops = 1
     while limit is None or hops < limit:
+        known = spark.read.schema(schema).parquet(at)
+        grown = known.filter(F.col("hops") == hops).join(step, F.col("y") == F.col("from")).select("x", F.col("to").alias("y")).distinct()
         hops += 1
-        grown = frontier.join(step, F.col("y") == F.col("from")).select("x", F.col("to").alias("y")).distinct()
-        frontier = cut(grown.join(known, ["x", "y"], "left_anti").withColumn("hops", F.lit(hops)))
-        if frontier.isEmpty():
+        grown.join(known, ["x", "y"], "left_anti").write.parquet(f"{at}/hops={hops}")
+        if spark.read.schema(schema).parquet(at).filter(F.col("hops") == hops).isEmpty():
             break
-        known = cut(known.unionByName(frontier))
-    return known
+    return spark.read.schema(schema).parquet(at)
 
 
 def reflexive(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

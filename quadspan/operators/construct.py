@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..model import TRIPLE
+from ..model import TRIPLE, union
 
 c = F.col
 
@@ -31,12 +33,20 @@ def blank(*key: Column) -> Column:
 
 
 def compatible_join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Join of solutions where null is unbound and fits anything; the bound value wins.  b is inline data (VALUES)."""
+    """Join of solutions where null is unbound and fits anything; the bound value wins.  b is inline data (VALUES).
+
+    Rows are split by which of the variables they bind, so that what both sides bind is an equi-join; only where they
+    bind no variable in common every pair fits."""
     right = b.select(*(c(x).alias(f"_r_{x}") if x in on else c(x) for x in b.columns))
-    fits = F.lit(True)
-    for x in on:
-        fits = fits & (c(x).isNull() | c(f"_r_{x}").isNull() | (c(x) == c(f"_r_{x}")))
-    return a.join(right, fits).withColumns({x: F.coalesce(c(x), c(f"_r_{x}")) for x in on}).drop(*(f"_r_{x}" for x in on))
+    patterns = [[x for k, x in enumerate(on) if mask >> k & 1] for mask in range(1 << len(on))]
+    bound = lambda df, names, prefix: df.filter(reduce(lambda p, q: p & q, (c(prefix + x).isNotNull() if x in names else c(prefix + x).isNull() for x in on), F.lit(True)))
+    parts = []
+    for left_names in patterns:
+        for right_names in patterns:
+            x, y = bound(a, left_names, ""), bound(right, right_names, "_r_")
+            both = [n for n in left_names if n in right_names]
+            parts.append(x.join(y, reduce(lambda p, q: p & q, (c(n) == c(f"_r_{n}") for n in both))) if both else x.crossJoin(y))
+    return union(parts).withColumns({x: F.coalesce(c(x), c(f"_r_{x}")) for x in on}).drop(*(f"_r_{x}" for x in on))
 
 
 def minus(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ expressivity, hierarchy, neighbourhood, prefixes, imports, and the merge of find
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +69,7 @@ def term_model(quads: DataFrame, strict_order: bool = True) -> DataFrame:
 
 def mdl_001(g: Graph) -> DataFrame:
     said = g.scan(v.INVERSE).filter("sk = 0 and ok = 0").select("s", "o")
-    return rows(within(said, g.having(v.TYPE), "s"), "s", None, "o")
+    return rows(within(said, g.typed(v.OBJ_PROP, v.DATA_PROP), "s"), "s", None, "o")
 
 
 def mdl_002(g: Graph) -> DataFrame:
@@ -83,18 +85,36 @@ def mdl_003(g: Graph) -> DataFrame:
     return rows(without(classes, said.filter(~((c("p") == v.EQUIV_CLASS) & (c("ok") == 0))).select("s"), "s"), "s")
 
 
-#: Predicates whose objects are terms (fixed values).
-TERM_PREDICATES = [v.TYPE, v.SUBCLASS, v.SUBPROP, v.DOMAIN, v.RANGE, v.EQUIV_CLASS, v.EQUIV_PROP, v.DISJOINT, v.INVERSE, v.OWL + "onProperty", v.OWL + "someValuesFrom", v.OWL + "allValuesFrom", v.OWL + "onClass", v.OWL + "complementOf", v.OWL + "propertyDisjointWith"]
+# Predicates whose objects are terms.
+TERM_PREDICATES = [
+    v.TYPE,
+    v.SUBCLASS,
+    v.SUBPROP,
+    v.DOMAIN,
+    v.RANGE,
+    v.EQUIV_CLASS,
+    v.DISJOINT,
+    v.INVERSE,
+    v.OWL + "onProperty",
+    v.OWL + "onClass",
+    v.OWL + "someValuesFrom",
+    v.OWL + "allValuesFrom",
+    v.SH + "targetClass",
+    v.SH + "class",
+    v.SH + "path",
+]
 
 
 def voc_001(g: Graph) -> DataFrame:
-    """Terms used but not declared, in a namespace that declares some: the declared terms are all typed subjects."""
-    ns = lambda x: F.regexp_replace(x, "[^#/]*$", "")
-    t = g.scan()
-    used = t.filter(c("p") != v.TYPE).select("s", "p", c("p").alias("t")).union(g.scan(*TERM_PREDICATES).filter("ok = 0").select("s", "p", "o")).distinct()
+    """Terms that named subjects use and nothing declares, in a namespace of some declared term: all typed named subjects
+    are declared.  The few undeclared terms are found first, then their uses."""
+    ns = lambda x: F.when(c(x).rlike("[#/]"), F.regexp_replace(x, "[^#/]*$", "")).otherwise(c(x))
+    of_predicates = g.scan().filter("sk = 0").filter(c("p") != v.TYPE).select("s", "p", c("p").alias("t"))
+    of_objects = g.scan(*TERM_PREDICATES).filter("sk = 0 and ok = 0").select("s", "p", c("o").alias("t"))
     declared = g.typed().filter("not startswith(s, '_:')")
-    vocabulary = g.typed(v.CLASS, v.RDFS_CLASS, v.OBJ_PROP, v.DATA_PROP, v.ANN_PROP, v.RDF_PROP).filter("not startswith(s, '_:')").select(ns("s").alias("ns")).distinct()
-    return rows(without(within(used.withColumn("ns", ns("t")), vocabulary, "ns"), declared, "t"), "s", "p", "t")
+    terms = of_predicates.select("t").distinct().union(of_objects.select("t").distinct()).distinct()
+    open_ = without(within(terms.withColumn("ns", ns("t")), declared.select(ns("s").alias("ns")), "ns"), declared, "t").select("t")
+    return rows(within(of_predicates.unionByName(of_objects), open_, "t"), "s", "p", "t")
 
 
 def required(g: Graph, rules: list[tuple[str, list[str]]]) -> DataFrame:
@@ -107,9 +127,9 @@ def required(g: Graph, rules: list[tuple[str, list[str]]]) -> DataFrame:
 
 
 for _check in (
-    Check("MDL-001", "Info", "A property names its inverse", "State one direction only", mdl_001),
-    Check("MDL-002", "Info", "A class names an equivalent class", "Use subclass or close match", mdl_002),
-    Check("MDL-003", "Info", "A class says nothing of itself", "Add a superclass or an axiom", mdl_003),
+    Check("MDL-001", "Hint", "A property names its inverse", "State one direction only", mdl_001),
+    Check("MDL-002", "Hint", "A class names an equivalent class", "Use subclass or close match", mdl_002),
+    Check("MDL-003", "Hint", "A class says nothing of itself", "Add a superclass or an axiom", mdl_003),
     Check("VOC-001", "Warning", "An undeclared term of a declared vocabulary", "Declare it, or correct its spelling", voc_001),
 ):
     register_check(_check)
@@ -135,23 +155,25 @@ def ordered(found: DataFrame) -> DataFrame:
 
 
 def run_checks(g: Graph, only: list[str] | None = None, literal: bool = True, rules: list[tuple[str, list[str]]] | None = None, isolate: bool = False) -> DataFrame:
-    """All checks as one plan, merged.  With isolate each check runs by itself and one that fails is left out."""
-    frames = []
+    """All checks, merged.  The findings of each family of checks are written on their own, so no plan holds them all.
+    With isolate each check runs by itself and one that fails is left out."""
+    families: dict[str, list[DataFrame]] = {}
     for id, check in CHECKS.items():
         if only is not None and id not in only:
             continue
         source = {"MDL": "guidance", "VOC": "vocabulary"}.get(id[:3], "sparql")
         try:
             one = findings(check, check.run(g), source)
-            frames.append(cut(one) if isolate else one)
+            families.setdefault(id[:3], []).append(cut(one) if isolate else one)
         except Exception:
             if not isolate:
                 raise
     if literal and (only is None or "DAT-001" in only):
-        frames.append(findings(CHECKS["DAT-001"], literal_findings(g), "literal"))
+        families.setdefault("DAT", []).append(findings(CHECKS["DAT-001"], literal_findings(g), "literal"))
     if rules:
-        frames.append(findings(Check("PRJ-REQUIRED", "Violation", "A required property is missing", "Add it", lambda g: None), required(g, rules), "rules"))
-    return merge(union(frames))
+        required_check = Check("PRJ-REQUIRED", "Violation", "A required property is missing", "Add it", lambda g: None)
+        families.setdefault("PRJ", []).append(findings(required_check, required(g, rules), "rules"))
+    return merge(union([cut(union(frames)) for frames in families.values()]))
 
 
 # --- F11-F17 metrics, expressivity, hierarchy ---------------------------------------------------------------------
@@ -171,33 +193,64 @@ def max_depth(g: Graph) -> DataFrame:
 
 
 def metrics(g: Graph) -> DataFrame:
-    """Counts and ratios of the schema (axioms: all triples)."""
-    kinds = g.typed(v.CLASS).withColumn("k", lit("c")).union(g.typed(v.OBJ_PROP).withColumn("k", lit("o"))).union(g.typed(v.DATA_PROP).withColumn("k", lit("d"))).filter("not startswith(s, '_:')")
-    labels, texts = g.having(v.LABEL, v.PREF_LABEL).withColumn("l", lit(1)), g.having(v.COMMENT, v.DEFINITION).withColumn("t", lit(1))
-    terms = kinds.join(labels, "s", "left").join(texts, "s", "left")
-    one = terms.agg(F.count_if(c("k") == "c").alias("classes"), F.count_if(c("k") == "o").alias("object_properties"), F.count_if(c("k") == "d").alias("datatype_properties"), F.count_if(c("l").isNull()).alias("missing_label"), F.count_if(c("t").isNull()).alias("missing_definition"))
+    """Counts and ratios of the schema (axioms: all triples; individuals: named subjects with a type that is no kind of
+    term), one row."""
+    term = {v.CLASS: "c", v.OBJ_PROP: "o", v.DATA_PROP: "d", v.ANN_PROP: "a", v.ONTOLOGY: "-"}
+    kind = F.coalesce(F.create_map(*(lit(x) for pair in term.items() for x in pair))[c("o")], lit("i"))
+    kinds = g.scan(v.TYPE).filter("sk = 0 and ok = 0").select("s", kind.alias("k")).distinct()
+    counts = kinds.agg(*(F.count_if(c("k") == k).alias(n) for k, n in (("c", "classes"), ("o", "object_properties"), ("d", "datatype_properties"), ("a", "annotation_properties"), ("i", "individuals"))))
+    classes = kinds.filter("k = 'c'").select("s")
+    bare = without(classes, g.having(v.LABEL, v.PREF_LABEL), "s").agg(F.count("*").alias("missing_label"))
+    blunt = without(classes, g.having(v.COMMENT, v.DEFINITION), "s").agg(F.count("*").alias("missing_definition"))
     sub = g.scan(v.SUBCLASS).filter("ok = 0").agg(F.count("*").alias("edges"))
-    all_ = g.scan().agg(F.count("*").alias("axioms"))
+    axioms = g.scan().agg(F.count("*").alias("axioms"))
+    out = counts.crossJoin(bare).crossJoin(blunt).crossJoin(sub).crossJoin(axioms).crossJoin(max_depth(g))  # one row each
     ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 2)
-    out = one.crossJoin(sub).crossJoin(all_)  # one row each
     return out.withColumns({"inheritance": ratio(c("edges"), c("classes")), "relationship": ratio(c("object_properties"), c("object_properties") + c("edges")), "attribute": ratio(c("datatype_properties"), c("classes"))})
 
 
 def expressivity(g: Graph) -> DataFrame:
     """Which constructs occur, the name of the logic, and membership in the profiles: one pass."""
-    p = lambda *names: F.coalesce(F.bool_or(c("p").isin(*(v.OWL + n for n in names))), lit(False))
-    t = lambda *names: F.coalesce(F.bool_or((c("p") == v.TYPE) & c("o").isin(*(v.OWL + n for n in names))), lit(False))
+    some = lambda x: F.coalesce(F.bool_or(x), lit(False))
+    p = lambda *names: some(c("p").isin(*(v.OWL + n for n in names)))
+    t = lambda *names: some((c("p") == v.TYPE) & (c("ok") == 0) & c("o").isin(*(v.OWL + n for n in names)))
     f = g.scan().agg(
-        p("unionOf").alias("union"), p("complementOf").alias("complement"), p("someValuesFrom").alias("existential"), p("allValuesFrom").alias("universal"), (p("minCardinality", "maxCardinality", "cardinality")).alias("cardinality"), p("qualifiedCardinality", "minQualifiedCardinality", "maxQualifiedCardinality").alias("qualified"),
-        p("oneOf", "hasValue").alias("nominals"), F.coalesce(F.bool_or((c("p") == v.INVERSE)), lit(False)).alias("inverse"), F.coalesce(F.bool_or(c("p").isin(v.SUBPROP, v.EQUIV_PROP)), lit(False)).alias("role_hierarchy"), t("TransitiveProperty").alias("transitive"), t("FunctionalProperty", "InverseFunctionalProperty").alias("functional"), t("DatatypeProperty").alias("datatypes"),
-    )
-    base = F.when(c("union") | c("complement") | c("universal") & c("existential"), "ALC").otherwise("AL")
-    base = F.when(c("transitive"), F.when(base == "ALC", "S").otherwise("AL+")).otherwise(base)
-    name = F.concat(base, F.when(c("role_hierarchy"), "H").otherwise(""), F.when(c("nominals"), "O").otherwise(""), F.when(c("inverse"), "I").otherwise(""), F.when(c("qualified"), "Q").when(c("cardinality"), "N").when(c("functional"), "F").otherwise(""), F.when(c("datatypes"), "(D)").otherwise(""))
-    no_el = c("union") | c("complement") | c("universal") | c("cardinality") | c("qualified") | c("inverse") | c("functional")
-    no_ql = c("union") | c("cardinality") | c("qualified") | c("nominals") | c("transitive") | c("functional") | (c("existential") & c("universal"))
-    no_rl = c("union") | c("complement") | c("qualified")
-    return f.withColumns({"logic": name, "el": ~no_el, "ql": ~no_ql, "rl": ~no_rl})
+        p("unionOf", "complementOf").alias("class_operations"),
+        p("someValuesFrom").alias("existential"),
+        p("allValuesFrom").alias("universal"),
+        p("minCardinality", "maxCardinality", "cardinality").alias("cardinality"),
+        p("qualifiedCardinality", "minQualifiedCardinality", "maxQualifiedCardinality").alias("qualified"),
+        p("oneOf", "hasValue").alias("nominals"),
+        p("inverseOf").alias("inverse"),
+        some(c("p") == v.SUBPROP).alias("role_hierarchy"),
+        t("TransitiveProperty").alias("transitive"),
+        (p("propertyChainAxiom") | t("ReflexiveProperty", "IrreflexiveProperty", "AsymmetricProperty")).alias("complex_roles"),
+        t("FunctionalProperty", "InverseFunctionalProperty").alias("functional"),
+        some((c("p") == v.RANGE) & (c("ok") == 0) & c("o").startswith(v.XSD)).alias("datatypes"),
+    )
+    full = c("class_operations") | (c("existential") & c("universal"))
+    letter = lambda flag, x: F.when(c(flag), x).otherwise("")
+    base = F.when(full & c("transitive"), "S").when(full, "ALC").when(c("transitive"), "AL+").otherwise("AL")
+    count = F.when(c("qualified"), "Q").when(c("cardinality"), "N").otherwise("")
+    roles = F.when(c("complex_roles"), "R").when(c("functional"), "F").otherwise("")
+    name = F.concat(base, letter("role_hierarchy", "H"), letter("nominals", "O"), letter("inverse", "I"), count, roles, letter("datatypes", "(D)"))
+    breaks = {k: [F.expr(PROFILE_RULES.get(f, f)) for f in fs] for k, fs in PROFILES.items()}
+    return f.withColumn("logic", name).withColumns({k: ~reduce(lambda a, b: a | b, fs) for k, fs in breaks.items()})
+
+
+#: Constructs that take an ontology out of a profile.
+PROFILE_RULES = {"counting": "cardinality or qualified", "existential and universal": "existential and universal"}
+PROFILES = {
+    "el": ["class_operations", "universal", "counting", "inverse", "functional"],
+    "ql": ["class_operations", "counting", "transitive", "existential and universal"],
+    "rl": ["class_operations", "counting"],
+}
+
+
+def profile_violations(g: Graph) -> DataFrame:
+    """profile, construct: what takes the ontology out of each profile."""
+    found = [F.when(F.expr(PROFILE_RULES.get(f, f)), F.struct(lit(k).alias("profile"), lit(f).alias("construct"))) for k, fs in PROFILES.items() for f in fs]
+    return expressivity(g).select(F.explode(F.array(*found)).alias("x")).filter("x is not null").select("x.*")
 
 
 def hierarchy(g: Graph, kind: str = v.CLASS, link: str = v.SUBCLASS) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as v
-from ..model import Graph
-from ..operators.closure import closure, edges, reflexive
+from ..model import Graph, inline
+from ..operators.closure import edges
 from . import checks as k
 
 c, lit = F.col, F.lit
@@ -21,8 +21,8 @@ c, lit = F.col, F.lit
 
 def target_class(g: Graph, *classes: str) -> DataFrame:
     """s of instances of the classes or of their subclasses."""
-    wanted = g.spark.createDataFrame([(x,) for x in classes], "x string")
-    below = closure(edges(g.scan(v.SUBCLASS))).join(wanted.select(c("x").alias("y")), "y").select("x").union(wanted).distinct()
+    wanted = inline(g.spark, [(x,) for x in classes], "x string")
+    below = g.closed(v.SUBCLASS).join(wanted.select(c("x").alias("y")), "y").select("x").union(wanted).distinct()
     return k.within(g.scan(v.TYPE).filter("ok <> 2").select("s", "o"), below, "o").select("s").distinct()
 
 
@@ -70,7 +70,7 @@ _data = lambda g: target_class(g, v.DATA_PROP)
 
 
 def log_001(g: Graph) -> DataFrame:
-    return disjoint(g, _classes(g), closure(edges(g.scan(v.SUBCLASS))), f"({v.SUBCLASS})+", v.DISJOINT)
+    return disjoint(g, _classes(g), g.closed(v.SUBCLASS), f"({v.SUBCLASS})+", v.DISJOINT)
 
 
 def log_003(g: Graph) -> DataFrame:

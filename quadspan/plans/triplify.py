@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 c, lit = F.col, F.lit
-_KINDS = (("date", "^\\d{4}-\\d{2}-\\d{2}([T ]\\d{2}:\\d{2}(:\\d{2})?(\\.\\d+)?Z?)?$"), ("boolean", "(?i)^(true|false|yes|no)$"), ("integer", "^[+-]?\\d+$"), ("decimal", "^[+-]?\\d+\\.\\d+$"))
+# The forms of cells, in the order in which they are tried, headers of keys, and the values of an enum.
+_KINDS = (
+    ("date", "^\\d{4}-\\d{2}-\\d{2}(T\\d{2}:\\d{2}:\\d{2})?$"),
+    ("boolean", "(?i)^(true|false|yes|no)$"),
+    ("integer", "^-?\\d+$"),
+    ("decimal", "^-?\\d+(\\.\\d+)?$"),
+)
+KEY_HEADERS = ("(?i)(^|_)id$", "Id$")
 FEW = 12
 
 
@@ -31,7 +38,7 @@ def profile(table: DataFrame) -> DataFrame:
     kind = F.when((c("different") <= FEW) & (c("different") < c("filled")) & (c("filled") > 1), "enum")
     for name, _ in _KINDS:
         kind = kind.when(c(name), name)
-    key = c("column").rlike("(?i)(^|_)(id|key|code|uuid)$") | ((c("different") == c("filled")) & (c("filled") > 1))
+    key = c("column").rlike(KEY_HEADERS[0]) | c("column").rlike(KEY_HEADERS[1]) | ((c("different") == c("filled")) & (c("filled") > 1))
     return one.join(samples, "position", "left").select("column", kind.otherwise("string").alias("kind"), "filled", "different", key.alias("may_be_key"), F.coalesce("samples", lit("")).alias("samples"))
 
 

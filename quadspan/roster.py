@@ -18,6 +18,7 @@ from .plans import checks as k
 from .plans import oracle, passes, reasoner, repairs, shapes, triplify
 from .sources import rdfview
 from .sources.rdfview import EX, TableGraph, sql_view
+from .storage import stored
 
 c, lit = F.col, F.lit
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,11 +44,11 @@ def _wrapped(id: str, body: str) -> str:
 # --- checks and shapes -------------------------------------------------------------------------------------------
 
 oracle.BODIES |= {
-    "MDL-001": ("", f"SELECT s AS focus_node, NULL AS path, o AS value FROM T WHERE p = '{v.INVERSE}' AND sk = 0 AND ok = 0 AND s IN {oracle.ANY_TYPED}"),
+    "MDL-001": ("", f"SELECT s AS focus_node, NULL AS path, o AS value FROM T WHERE p = '{v.INVERSE}' AND sk = 0 AND ok = 0 AND s IN {oracle.typed(v.OBJ_PROP, v.DATA_PROP)}"),
     "MDL-002": ("", f"SELECT s AS focus_node, NULL AS path, o AS value FROM T WHERE p = '{v.EQUIV_CLASS}' AND sk = 0 AND ok = 0 AND s IN {oracle.typed(v.CLASS)}"),
     "MDL-003": ("", f"SELECT s AS focus_node, NULL AS path, NULL AS value FROM {oracle.typed(v.CLASS)} WHERE NOT starts_with(s, '_:') AND s NOT IN (SELECT s FROM T WHERE p NOT IN ({', '.join(map(repr, (v.TYPE, v.LABEL, v.PREF_LABEL, v.COMMENT, v.DEFINITION, v.SEE_ALSO, v.DEFINED_BY, v.VERSION_INFO)))}) AND NOT (p = '{v.EQUIV_CLASS}' AND ok = 0))"),
     "VOC-001": (
-        f"u AS (SELECT s, p, p AS t FROM T WHERE p <> {TY} UNION SELECT s, p, o FROM T WHERE ok = 0 AND p IN ({', '.join(map(repr, passes.TERM_PREDICATES))})), voc AS (SELECT DISTINCT regexp_replace(s, '[^#/]*$', '') AS ns FROM {oracle.typed(v.CLASS, v.RDFS_CLASS, v.OBJ_PROP, v.DATA_PROP, v.ANN_PROP, v.RDF_PROP)} WHERE NOT starts_with(s, '_:'))",
+        f"u AS (SELECT s, p, p AS t FROM T WHERE p <> {TY} AND sk = 0 UNION SELECT s, p, o FROM T WHERE sk = 0 AND ok = 0 AND p IN ({', '.join(map(repr, passes.TERM_PREDICATES))})), voc AS (SELECT DISTINCT regexp_replace(s, '[^#/]*$', '') AS ns FROM {oracle.typed()} WHERE NOT starts_with(s, '_:'))",
         f"SELECT s AS focus_node, p AS path, t AS value FROM u WHERE regexp_replace(t, '[^#/]*$', '') IN (SELECT ns FROM voc) AND t NOT IN {oracle.typed()}",
     ),
 }
@@ -77,7 +78,7 @@ add("prj_required", lambda g: passes.required(g, RULES), f"SELECT DISTINCT focus
 
 
 def _merged(g: Graph) -> DataFrame:
-    return passes.run_checks(g, rules=RULES).select("check_id", "severity", "focus_node", "path", "value", F.array_join("sources", "|").alias("sources"))
+    return passes.run_checks(stored(g), rules=RULES).select("check_id", "severity", "focus_node", "path", "value", F.array_join("sources", "|").alias("sources"))
 
 
 def _one(id: str, sev: str, source: str, more: str, body: str) -> str:
@@ -216,12 +217,25 @@ def _terms(g: TableGraph) -> DataFrame:
 
 
 add("term_model", _terms)
-add("metrics", passes.metrics)
-add("metrics_counts", lambda g: passes.metrics(g).select("classes", "object_properties", "datatype_properties", "missing_label", "edges", "axioms"), f"""SELECT (SELECT count(DISTINCT s) FROM {oracle.typed(v.CLASS)}) AS classes, (SELECT count(DISTINCT s) FROM {oracle.typed(v.OBJ_PROP)}) AS object_properties, (SELECT count(DISTINCT s) FROM {oracle.typed(v.DATA_PROP)}) AS datatype_properties,
-(SELECT count(DISTINCT s) FROM {oracle.typed(v.CLASS, v.OBJ_PROP, v.DATA_PROP)} WHERE s NOT IN {oracle.having(v.LABEL, v.PREF_LABEL)}) AS missing_label, (SELECT count(*) FROM T WHERE p = '{v.SUBCLASS}') AS edges, (SELECT count(*) FROM T) AS axioms""")
-add("expressivity", passes.expressivity)
-add("profiles", lambda g: passes.expressivity(g).select("logic", "el", "ql", "rl"), "SELECT 'AL+HIF(D)' AS logic, false AS el, false AS ql, true AS rl")
-add("max_depth", passes.max_depth, "SELECT max(n) AS max_depth FROM d", f"e AS (SELECT DISTINCT s AS x, o AS y FROM T WHERE p = '{v.SUBCLASS}' AND s NOT LIKE '%Cycle%'), d AS (SELECT x, y, CAST(1 AS BIGINT) AS n FROM e UNION SELECT d.x, e.y, d.n + 1 FROM d JOIN e ON d.y = e.x)")
+_named_types = f"k AS (SELECT DISTINCT s, CASE o WHEN '{v.CLASS}' THEN 'c' WHEN '{v.OBJ_PROP}' THEN 'o' WHEN '{v.DATA_PROP}' THEN 'd' WHEN '{v.ANN_PROP}' THEN 'a' WHEN '{v.ONTOLOGY}' THEN '-' ELSE 'i' END AS k FROM T WHERE p = {TY} AND sk = 0 AND ok = 0)"
+_longest = f"e AS (SELECT DISTINCT s AS x, o AS y FROM T WHERE p = '{v.SUBCLASS}' AND sk = 0 AND ok = 0 AND s <> o), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), a AS (SELECT x, y FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.x = e.y AND r.y = e.x)), d AS (SELECT x, y, CAST(1 AS BIGINT) AS n FROM a UNION SELECT d.x, a.y, d.n + 1 FROM d JOIN a ON d.y = a.x)"
+_metrics_sql = f"""SELECT *, round(CASE WHEN classes > 0 THEN edges / classes ELSE 0 END, 2) AS inheritance, round(CASE WHEN object_properties + edges > 0 THEN object_properties / (object_properties + edges) ELSE 0 END, 2) AS relationship, round(CASE WHEN classes > 0 THEN datatype_properties / classes ELSE 0 END, 2) AS attribute
+FROM (SELECT count(*) FILTER (k = 'c') AS classes, count(*) FILTER (k = 'o') AS object_properties, count(*) FILTER (k = 'd') AS datatype_properties, count(*) FILTER (k = 'a') AS annotation_properties, count(*) FILTER (k = 'i') AS individuals,
+count(*) FILTER (k = 'c' AND s NOT IN {oracle.having(v.LABEL, v.PREF_LABEL)}) AS missing_label, count(*) FILTER (k = 'c' AND s NOT IN {oracle.having(v.COMMENT, v.DEFINITION)}) AS missing_definition,
+(SELECT count(*) FROM T WHERE p = '{v.SUBCLASS}' AND ok = 0) AS edges, (SELECT count(*) FROM T) AS axioms, (SELECT coalesce(max(n), 0) FROM d) AS max_depth FROM k)"""
+add("metrics", passes.metrics, _metrics_sql, f"{_named_types}, {_longest}")
+add("metrics_counts", lambda g: passes.metrics(g).select("classes", "object_properties", "datatype_properties", "missing_label", "edges", "axioms"), f"SELECT classes, object_properties, datatype_properties, missing_label, edges, axioms FROM ({_metrics_sql})", f"{_named_types}, {_longest}")
+_o = lambda *names: f"coalesce(bool_or(p IN ({', '.join(repr(v.OWL + n) for n in names)})), false)"
+_t = lambda *names: f"coalesce(bool_or(p = {TY} AND ok = 0 AND o IN ({', '.join(repr(v.OWL + n) for n in names)})), false)"
+_constructs = f"""x AS (SELECT {_o("unionOf", "complementOf")} AS class_operations, {_o("someValuesFrom")} AS existential, {_o("allValuesFrom")} AS universal, {_o("minCardinality", "maxCardinality", "cardinality")} AS cardinality, {_o("qualifiedCardinality", "minQualifiedCardinality", "maxQualifiedCardinality")} AS qualified, {_o("oneOf", "hasValue")} AS nominals, {_o("inverseOf")} AS inverse,
+coalesce(bool_or(p = '{v.SUBPROP}'), false) AS role_hierarchy, {_t("TransitiveProperty")} AS transitive, ({_o("propertyChainAxiom")} OR {_t("ReflexiveProperty", "IrreflexiveProperty", "AsymmetricProperty")}) AS complex_roles, {_t("FunctionalProperty", "InverseFunctionalProperty")} AS functional, coalesce(bool_or(p = '{v.RANGE}' AND ok = 0 AND starts_with(o, '{v.XSD}')), false) AS datatypes FROM T),
+y AS (SELECT *, (CASE WHEN class_operations OR existential AND universal THEN CASE WHEN transitive THEN 'S' ELSE 'ALC' END WHEN transitive THEN 'AL+' ELSE 'AL' END) || (CASE WHEN role_hierarchy THEN 'H' ELSE '' END) || (CASE WHEN nominals THEN 'O' ELSE '' END) || (CASE WHEN inverse THEN 'I' ELSE '' END) || (CASE WHEN qualified THEN 'Q' WHEN cardinality THEN 'N' ELSE '' END) || (CASE WHEN complex_roles THEN 'R' WHEN functional THEN 'F' ELSE '' END) || (CASE WHEN datatypes THEN '(D)' ELSE '' END) AS logic,
+NOT (class_operations OR universal OR cardinality OR qualified OR inverse OR functional) AS el, NOT (class_operations OR cardinality OR qualified OR transitive OR existential AND universal) AS ql, NOT (class_operations OR cardinality OR qualified) AS rl FROM x)"""
+add("expressivity", passes.expressivity, "SELECT * FROM y", _constructs)
+add("profiles", lambda g: passes.expressivity(g).select("logic", "el", "ql", "rl"), "SELECT logic, el, ql, rl FROM y", _constructs)
+_broken = {"class_operations": "class_operations", "universal": "universal", "counting": "cardinality OR qualified", "inverse": "inverse", "functional": "functional", "transitive": "transitive", "existential and universal": "existential AND universal"}
+add("profile_violations", passes.profile_violations, " UNION ALL ".join(f"SELECT '{k_}' AS profile, '{f_}' AS construct FROM x WHERE {_broken[f_]}" for k_, fs_ in passes.PROFILES.items() for f_ in fs_), _constructs)
+add("max_depth", passes.max_depth, "SELECT coalesce(max(n), 0) AS max_depth FROM d", _longest)
 _tree = f"k AS (SELECT DISTINCT s FROM {oracle.typed(v.CLASS)}), up AS (SELECT DISTINCT s AS x, o AS y FROM T WHERE p = '{v.SUBCLASS}' AND s <> o AND s IN (SELECT s FROM k) AND o IN (SELECT s FROM k))"
 add("hierarchy_children", lambda g: passes.hierarchy(g).filter("parent is not null"), "SELECT y AS parent, string_agg(x, '|' ORDER BY x) AS children FROM up GROUP BY y", _tree)
 add("hierarchy_roots", lambda g: passes.hierarchy(g).filter("parent is null").select("children"), "SELECT string_agg(s, '|' ORDER BY s) AS children FROM k WHERE s NOT IN (SELECT x FROM up)", _tree)
@@ -235,7 +249,7 @@ def _prefixes(g: Graph) -> DataFrame:
     return passes.prefix_alignment(a, b)
 
 
-add("prefix_alignment", _prefixes, "SELECT * FROM (VALUES ('e', 'http://example.org/', 'namespace_mismatch'), ('x', 'http://x/', 'prefix_name_mismatch'), ('y', 'http://y/', 'undeclared_namespace')) x(prefix, ns, problem)")
+add("prefix_alignment", _prefixes, """SELECT * FROM (SELECT a.prefix, a.ns, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.prefix = a.prefix AND b.ns = a.ns) THEN NULL WHEN EXISTS (SELECT 1 FROM b WHERE b.prefix = a.prefix) THEN 'namespace_mismatch' WHEN EXISTS (SELECT 1 FROM b WHERE b.ns = a.ns) THEN 'prefix_name_mismatch' ELSE 'undeclared_namespace' END AS problem FROM a) WHERE problem IS NOT NULL""", f"a AS (SELECT * FROM (VALUES ('ex', '{EX}'), ('e', 'http://example.org/'), ('x', 'http://x/'), ('y', 'http://y/')) x(prefix, ns)), b AS (SELECT * FROM (VALUES ('ex', '{EX}'), ('e', 'http://example.org/other/'), ('z', 'http://x/')) x(prefix, ns))")
 
 
 def _imports(g: Graph) -> DataFrame:
@@ -273,9 +287,44 @@ def _repair(id: str):
     return run
 
 
-_val = ", ".join(f"({', '.join('NULL' if x is None else repr(x) if isinstance(x, str) else str(x) for x in r)})" for r in [(*t, None, None) if len(t) == 3 else t for t in rdfview.ontology()])
+def _repair_sql(id: str) -> tuple[str, str]:
+    """The changes of a repair as SQL: its body, and the CTEs of findings, insertions and deletions."""
+    said = "trim(regexp_replace(regexp_replace(regexp_replace({0}, '^.*[#/]', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_-]+', ' ', 'g'))"
+    iri = lambda s, p, o, where="fnd": f"SELECT {s} AS s, 0 AS sk, {p} AS p, {o} AS o, 0 AS ok, CAST(NULL AS VARCHAR) AS dt, CAST(NULL AS VARCHAR) AS lang FROM {where}"
+    text = lambda s, p, o, lang, where="fnd": f"SELECT {s} AS s, 0 AS sk, {p} AS p, {o} AS o, 2 AS ok, '{v.RDF + 'langString' if lang else v.XSD + 'string'}' AS dt, {f"'{lang}'" if lang else 'CAST(NULL AS VARCHAR)'} AS lang FROM {where}"
+    named = lambda x: f"fnd WHERE {x} IS NOT NULL AND NOT starts_with({x}, '_:')"
+    q = lambda x: f"'{x}'"
+    gone = lambda p: f"SELECT T.s, T.sk, T.p, T.o, T.ok, T.dt, T.lang FROM T JOIN fnd ON T.s = focus_node AND T.o = value WHERE T.p = '{p}' AND T.ok = 0"
+    nothing = "SELECT s, sk, p, o, ok, dt, lang FROM T WHERE false"
+    inserts, deletes = {i: iri("value", q(v.TYPE), q(v.CLASS), named("value")) for i in ("STR-001", "STR-005", "STR-008")}, {}
+    inserts |= {
+        "STR-002": iri("path", q(v.TYPE), q(v.RDF_PROP), named("path")),
+        "STR-007": iri("focus_node", q(v.TYPE), q(v.RDF_PROP), named("focus_node")),
+        "QUA-001": text("focus_node", q(v.LABEL), said.format("focus_node"), "en", named("focus_node")),
+        "QUA-004": text("focus_node", q(v.PREF_LABEL), said.format("focus_node"), "en", named("focus_node")),
+        "PRJ-REQUIRED": text("focus_node", "path", said.format("focus_node"), "en", named("focus_node")),
+        "QUA-002": text("focus_node", q(v.VERSION_INFO), "'1.0.0'", None, named("focus_node")),
+        "QUA-005": iri("'http://example.org/ontology'", q(v.TYPE), q(v.ONTOLOGY)),
+        "QUA-007": iri("focus_node", q(v.VERSION_IRI), "focus_node || '/1.0.0'", named("focus_node")),
+        "MDL-002": iri("s", q(v.SUBCLASS), "o", "del"),
+        "MDL-003": iri("s", q(v.TYPE), q(v.SKOS + "Concept"), "del"),
+        "STY-003": text("s", q(v.LABEL), "o", "en", "del"),
+    }
+    deletes = {
+        "LOG-003": gone(v.SUBCLASS),
+        "MDL-001": gone(v.INVERSE),
+        "MDL-002": gone(v.EQUIV_CLASS),
+        "MDL-003": f"SELECT s, sk, p, o, ok, dt, lang FROM T WHERE p = {TY} AND o = '{v.CLASS}' AND s IN (SELECT focus_node FROM fnd)",
+        "STY-003": f"SELECT s, sk, p, o, ok, dt, lang FROM T WHERE p = '{v.LABEL}' AND ok = 2 AND coalesce(lang, '') = '' AND s IN (SELECT focus_node FROM fnd)",
+    }
+    more, body = ("", f"SELECT s AS focus_node, '{v.LABEL}' AS path, '{v.CLASS}' AS value FROM {oracle.typed(v.CLASS)} WHERE s NOT IN {oracle.having(v.LABEL)}") if id == "PRJ-REQUIRED" else oracle.BODIES[id]
+    ctes = [more, f"fnd AS (SELECT DISTINCT focus_node, CAST(path AS VARCHAR) AS path, coalesce(CAST(value AS VARCHAR), focus_node) AS value FROM ({body}))", f"del AS (SELECT DISTINCT * FROM ({deletes.get(id, nothing)}))", f"ins AS (SELECT DISTINCT * FROM ({inserts.get(id, nothing)}))"]
+    same = "x.s = y.s AND x.p = y.p AND x.o = y.o AND x.ok = y.ok AND x.dt IS NOT DISTINCT FROM y.dt AND x.lang IS NOT DISTINCT FROM y.lang"
+    return f"SELECT *, 'added' AS change FROM ins x WHERE NOT EXISTS (SELECT 1 FROM T y WHERE {same}) UNION ALL SELECT *, 'removed' AS change FROM del x WHERE NOT EXISTS (SELECT 1 FROM ins y WHERE {same})", ", ".join(c_ for c_ in ctes if c_)
+
+
 for _id in repairs.templates():
-    add("repair_" + _id.lower().replace("-", "_"), _repair(_id))
+    add("repair_" + _id.lower().replace("-", "_"), _repair(_id), *_repair_sql(_id))
 
 
 def _triplify(g: TableGraph) -> DataFrame:
@@ -296,9 +345,9 @@ def _profile(g: TableGraph) -> DataFrame:
 
 _cells = " UNION ALL ".join(f"SELECT '{x}' AS \"column\", CAST({x} AS VARCHAR) AS cell FROM part" for x in ("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
 _is = " ".join(f"WHEN bool_and(regexp_matches(cell, '{p}')) THEN '{n}'" for n, p in triplify._KINDS)
-add("csv_profile", _profile, f"""SELECT "column", CASE WHEN count(DISTINCT cell) <= 12 AND count(DISTINCT cell) < count(*) AND count(*) > 1 THEN 'enum' {_is} ELSE 'string' END AS kind, count(*) AS filled, count(DISTINCT cell) AS different, regexp_matches("column", '(?i)(^|_)(id|key|code|uuid)$') OR (count(DISTINCT cell) = count(*) AND count(*) > 1) AS may_be_key,
+add("csv_profile", _profile, f"""SELECT "column", CASE WHEN count(DISTINCT cell) <= 12 AND count(DISTINCT cell) < count(*) AND count(*) > 1 THEN 'enum' {_is} ELSE 'string' END AS kind, count(*) AS filled, count(DISTINCT cell) AS different, regexp_matches("column", '{triplify.KEY_HEADERS[0]}') OR regexp_matches("column", '{triplify.KEY_HEADERS[1]}') OR (count(DISTINCT cell) = count(*) AND count(*) > 1) AS may_be_key,
 CASE WHEN count(DISTINCT cell) <= 12 THEN string_agg(DISTINCT cell, '|' ORDER BY cell) ELSE '' END AS samples FROM cells WHERE cell <> '' GROUP BY "column\"""", f"cells AS ({_cells})")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passes.run_checks(TableGraph(spark, sf_dir), rules=RULES)
+    return passes.run_checks(stored(TableGraph(spark, sf_dir)), rules=RULES)

@@ -7,11 +7,14 @@ with a constant predicate reads the columns of one table and nothing else; a ful
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab as v
-from ..model import BNODE, IRI, LITERAL, TRIPLE_SCHEMA, Graph, from_tuples, union
+from ..model import BNODE, IRI, LITERAL, TRIPLE_SCHEMA, Graph, from_tuples, narrowed, union
 
 EX = "http://example.org/shop#"
 _X = lambda name: v.XSD + name
@@ -107,9 +110,13 @@ class TableGraph(Graph):
             self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         return self._tables[name]
 
-    def scan(self, *predicates: str) -> DataFrame:
+    def scan(self, *predicates: str, objects: Sequence[str] | None = None, datatypes: Sequence[str] | None = None) -> DataFrame:
         frames = [self.schema.filter(F.col("p").isin(*predicates)) if predicates else self.schema]
         chosen = [r for r in self.rules if not predicates or r[4] in predicates]
+        if datatypes is not None:
+            chosen = [r for r in chosen if r[7] in datatypes]
+        if objects is not None:  # an object that is the same for every row
+            chosen = [r for r in chosen if r[6] != LITERAL and (r[5][1:-1] in objects if re.fullmatch("'[^']*'", r[5]) else True)]
         for table in dict.fromkeys(r[0] for r in chosen):
             parts = []
             for _, where, s, sk, p, o, ok, dt, lang in (r for r in chosen if r[0] == table):
@@ -121,7 +128,7 @@ class TableGraph(Graph):
             else:
                 found = one.select(F.explode(F.expr(f"array({', '.join(parts)})")).alias("t"))
             frames.append(found.filter("t is not null").select("t.*").filter("s is not null and o is not null"))
-        return union(frames)
+        return narrowed(union(frames), objects, datatypes)
 
     @property
     def triples(self) -> DataFrame:

@@ -3,13 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from .model import TRIPLE, Graph
+
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder where that isn't set, on one machine only (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="quadspan-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(g: Graph) -> Graph:
+    """The graph as a table in the shared folder, a folder for each predicate: scans of some predicates read those only,
+    and triples that several rows give are there once.  For graphs whose predicates are a vocabulary."""
+    at = new_path(g.spark, "graph")
+    g.scan().select(*TRIPLE).dropDuplicates(TRIPLE).write.partitionBy("p").parquet(at)
+    return Graph(g.spark.read.schema(g.scan().select(*TRIPLE).schema).parquet(at), distinct=True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in spark.checkpoint.dir (a temporary folder where that isn't set, as in tests)."""
+    """df as a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quadspan-"))
+        context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()
