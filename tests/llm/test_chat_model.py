@@ -42,7 +42,7 @@ def test_held_out_transcripts_in_one_text(spark):
             total, right = total + 1, right + (role == t["role"])
             if at:
                 marked, marked_right = marked + 1, marked_right + (role == t["role"])
-    assert total > 300 and right >= 0.9 * total and marked_right >= 0.97 * marked, (right, total, marked_right, marked)
+    assert total > 250 and right >= 0.9 * total and marked_right >= 0.97 * marked, (right, total, marked_right, marked)
 
 
 def test_nulls_ties_and_an_empty_table(spark):
