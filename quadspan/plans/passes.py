@@ -113,8 +113,9 @@ def voc_001(g: Graph) -> DataFrame:
     of_objects = g.scan(*TERM_PREDICATES).filter("sk = 0 and ok = 0").select("s", "p", c("o").alias("t"))
     declared = g.typed().filter("not startswith(s, '_:')")
     terms = of_predicates.select("t").distinct().union(of_objects.select("t").distinct()).distinct()
-    open_ = without(within(terms.withColumn("ns", ns("t")), declared.select(ns("s").alias("ns")), "ns"), declared, "t").select("t")
-    return rows(within(of_predicates.unionByName(of_objects), open_, "t"), "s", "p", "t")
+    open_ = cut(without(within(terms.withColumn("ns", ns("t")), declared.select(ns("s").alias("ns")), "ns"), declared, "t").select("t"))
+    used = g.scan_of(open_.select(c("t").alias("p"))).filter("sk = 0").filter(c("p") != v.TYPE).select("s", "p", c("p").alias("t"))
+    return rows(used.unionByName(within(of_objects, open_, "t")), "s", "p", "t")
 
 
 def required(g: Graph, rules: list[tuple[str, list[str]]]) -> DataFrame:
