@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import tidied
 from .words import Texts, chunks, shingles, windows
 
 SHINGLE, PERCENT = 5, 80
@@ -178,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                         ids = b.column(0).slice(at, t.n).take(pa.array([r[0] for r in rows]))
                         yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[j] for r in rows], pa.int64() if j > 1 else None) for j in range(1, 6))], [key, item, "first_word", "n_words", "shared", "total"])
 
-        found = docs.select(key, text).mapInArrow(scan, f"{key} {kind}, {item} {item_kind}, first_word long, n_words long, shared long, total long")
+        found = docs.select(key, text).mapInArrow(tidied(scan), f"{key} {kind}, {item} {item_kind}, first_word long, n_words long, shared long, total long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -200,7 +201,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     clean[[r[0] for r in index.scan(t)]] = False
                     yield b.slice(place, t.n).filter(pa.array(clean))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = out.mapInArrow(tidied(keep), docs.schema)
     return out
 
 

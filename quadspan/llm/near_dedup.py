@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Tables, narrow, release, row_hash
+from .shared import Tables, narrow, release, row_hash, tidied
 from .words import chunks, mix, shingles
 
 TOKENS, ROOTS = 64, 32
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                         sketch.append(None)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, t.n), b.column(2).slice(at, t.n), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(roots, pa.binary()), pa.array(sketch, pa.binary())], [key, "row", "n", "cls", "roots", "sketch"])
 
-    return docs.select(key, text, "row").mapInArrow(run, f"{key} {kind}, row long, n long, cls long, roots binary, sketch binary")
+    return docs.select(key, text, "row").mapInArrow(tidied(run), f"{key} {kind}, row long, n long, cls long, roots binary, sketch binary")
 
 
 def full_sets(docs: DataFrame, k: int, text: str) -> DataFrame:
@@ -128,7 +128,7 @@ def full_sets(docs: DataFrame, k: int, text: str) -> DataFrame:
                         sets[c] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], ["cls", "items"])
 
-    return docs.select(text).mapInArrow(run, "cls long, items binary")
+    return docs.select(text).mapInArrow(tidied(run), "cls long, items binary")
 
 
 _NODES = ["depth", "node", "cls", "label", "n", "sketch"]
@@ -151,7 +151,7 @@ def rooted(classes: DataFrame) -> DataFrame:
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(rows), np.int32)), pa.array(node), *(b.column(i).take(at) for i in range(1, 5))], _NODES)
 
-    return classes.select("roots", "cls", "label", "n", "sketch", "low", "high").mapInArrow(run, _NODE_TYPES)
+    return classes.select("roots", "cls", "label", "n", "sketch", "low", "high").mapInArrow(tidied(run), _NODE_TYPES)
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def children(nodes: DataFrame) -> DataFrame:
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([depth.take(at), pa.array(child.astype(np.int64)), *(b.column(i).take(at) for i in range(2, 6))], _NODES)
 
-    return nodes.select(*_NODES).mapInArrow(run, _NODE_TYPES)
+    return nodes.select(*_NODES).mapInArrow(tidied(run), _NODE_TYPES)
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -252,7 +252,7 @@ def close(groups: DataFrame, least: int, percent: int) -> DataFrame:
             if keep.any():
                 yield t.select(["leaf", "cls", "label"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
 
-    return groups.select("leaf", "cls", "label", "n", "sketch").mapInArrow(run, "leaf long, cls long, label long")
+    return groups.select("leaf", "cls", "label", "n", "sketch").mapInArrow(tidied(run), "leaf long, cls long, label long")
 
 
 def intersections(items: list[np.ndarray]) -> np.ndarray:
@@ -309,7 +309,7 @@ def joined(members: DataFrame, percent: int) -> DataFrame:
                 a, b = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return members.select("leaf", "label", "items").mapInArrow(run, "a long, b long")
+    return members.select("leaf", "label", "items").mapInArrow(tidied(run), "a long, b long")
 
 
 def contracted(edges: DataFrame, tables: Tables) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, running, written
+from .shared import new_path, running, tidied, written
 from .tokens import default_vocabulary, encoder
 from .words import chunks
 
@@ -42,7 +42,7 @@ def token_ids(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, t.n), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], [key, "ids"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return docs.select(key, text).mapInArrow(tidied(run), f"{key} {kind}, ids array<int>")
 
 
 def write_token_ids(docs: DataFrame, path: str, files: int | None = None, vocabulary: str | None = None, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> None:
@@ -82,7 +82,7 @@ def token_report(spark: SparkSession, path: str, key: str = "doc_id", kind: str
     name = F.input_file_name()
     _file = F.regexp_extract(name, r"part-(\d+)", 1).cast("long") * (1 << 20) + F.coalesce(F.regexp_extract(name, r"[.-]c(\d+)\.", 1).cast("long"), F.lit(0))
     rows = read_token_ids(spark, path, key, kind).select(key, "ids", _file.alias("_file"), F.input_file_block_start().alias("_block"))
-    rows = written(rows.mapInArrow(sums, f"{key} {kind}, n_tokens long, ids_crc32 long, _file long, _block long, _row long"), "token_rows")
+    rows = written(rows.mapInArrow(tidied(sums), f"{key} {kind}, n_tokens long, ids_crc32 long, _file long, _block long, _row long"), "token_rows")
     return running(rows, "_file", ["_block", "_row"], "n_tokens", "start").select(key, "start", "n_tokens", "ids_crc32")
 
 

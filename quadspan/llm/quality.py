@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidied
 from .words import Texts, chunks, windows
 
 _SYMBOL = np.zeros(256, bool)
@@ -176,7 +177,7 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] | None = None, text:
             for k, t in chunks(b.column(at)):
                 yield b.slice(k, t.n).filter(pa.array(cascade(t, rules) < 0))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -202,7 +203,7 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] | None = None, text:
                 rule = ["base" if f else rest[j].name if j >= 0 else None for f, j in zip(failed, by)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, t.n), *(pa.array(counts[n]) for n in BASE), pa.array(failed), pa.array(~failed & (by < 0)), pa.array(rule, pa.string())], [key, *BASE, "base_failed", "kept", "rejected_by"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{n} long" for n in BASE) + ", base_failed boolean, kept boolean, rejected_by string")
+    return docs.select(key, text).mapInArrow(tidied(run), f"{key} {kind}, " + ", ".join(f"{n} long" for n in BASE) + ", base_failed boolean, kept boolean, rejected_by string")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

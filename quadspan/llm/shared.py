@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +91,20 @@ def running(df: DataFrame, part: str, order: list[str], size: str, out: str) ->
     return rows.join(before, part).withColumn(out, F.col("_before") + F.col("_within")).drop("_before", "_within")
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with the memory that it has freed given back at its end: Python workers live on into later stages."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # the C library's own allocator, where it is glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files that no live plan refers to, before the next large step."""
     gc.collect()

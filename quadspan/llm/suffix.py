@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Tables, release
+from .shared import Tables, release, tidied
 from .words import _BYTES, Texts, chunks, mix, powers
 
 LENGTH, GRAM = 50, 24
@@ -192,7 +192,7 @@ def packed(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, *(pa.array([x], pa.binary()) for x in rest)], ["chunk", "keys", "ids", "sizes", "data", "at"])
                 chunk += 1
 
-    return texts.select("key", "id", "text").mapInArrow(run, f"chunk long, keys array<{kind}>, ids array<long>, sizes binary, data binary, at binary")
+    return texts.select("key", "id", "text").mapInArrow(tidied(run), f"chunk long, keys array<{kind}>, ids array<long>, sizes binary, data binary, at binary")
 
 
 #: What a chunk needs to be read.
@@ -262,7 +262,7 @@ def shared_anchors(texts: DataFrame, ranges: int, gram: int, many: int) -> DataF
         cuts = np.cumsum([0, *map(len, blocks)])
         return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "flags": pa.array([np.packbits(flag[s:e] > 0).tobytes() + np.packbits(flag[s:e] == 2).tobytes() for s, e in zip(cuts[:-1], cuts[1:])], pa.binary()), "hot": pa.array([bool((flag[s:e] == 2).any()) for s, e in zip(cuts[:-1], cuts[1:])])})
 
-    sent = texts.select(*CHUNK).mapInArrow(send, "range long, chunk long, a binary, n binary")
+    sent = texts.select(*CHUNK).mapInArrow(tidied(send), "range long, chunk long, a binary, n binary")
     found = sent.groupBy("range").applyInArrow(meet, "chunk long, range long, flags binary, hot boolean")
     return found.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "flags"))).alias("flags"), F.max("hot").alias("hot"))
 
@@ -343,7 +343,7 @@ def reaches(known: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
         b, e = np.where(larger, full[0][which], before[which]), np.where(larger, full[1][which], after[which])
         return _reach(chunk, at, b, e)
 
-    blocks = known.select(*CHUNK, "flags").mapInArrow(send, "range long, chunk long, block binary")
+    blocks = known.select(*CHUNK, "flags").mapInArrow(tidied(send), "range long, chunk long, block binary")
     return blocks.groupBy("range").applyInArrow(scan, "chunk long, reach binary")
 
 
@@ -400,12 +400,12 @@ def frequent_reaches(known: DataFrame, ranges: int, length: int, gram: int, tabl
             if out[0]:
                 yield from _reach(*map(np.concatenate, out)).to_batches()
 
-    rows = tables.write(known.filter("hot").select(*CHUNK, "flags").mapInArrow(send, "w1 long, w2 long, chunk long, context long, before long, low long, high long, places binary"), "windows")
+    rows = tables.write(known.filter("hot").select(*CHUNK, "flags").mapInArrow(tidied(send), "w1 long, w2 long, chunk long, context long, before long, low long, high long, places binary"), "windows")
     lowest = rows.filter("w1 is not null").groupBy("w1", "w2").agg(F.min("low").alias("lowest"), F.max("high").alias("highest")).filter("lowest < highest").select("w1", "w2", "lowest")
     hit = rows.drop("places").join(lowest, ["w1", "w2"]).filter("lowest < high")
     hit = hit.groupBy("chunk", "context").agg(F.collect_set(F.struct("before", "lowest")).alias("found"))
     places = rows.filter("places is not null").select("chunk", "context", "places")
-    return places.join(hit, ["chunk", "context"]).select("chunk", "places", "found").mapInArrow(unpack, "chunk long, reach binary")
+    return places.join(hit, ["chunk", "context"]).select("chunk", "places", "found").mapInArrow(tidied(unpack), "chunk long, reach binary")
 
 
 def light(df: DataFrame, size: Column) -> DataFrame:
@@ -454,7 +454,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             yield pa.RecordBatch.from_arrays([c.keys, pa.array(np.diff(t.bounds)), list_of, rest], [key, "n_bytes", "spans", "kept"])
 
     spans = light(spans, F.aggregate("reach", F.lit(0), lambda n, x: n + F.length(x)))
-    return texts.join(spans, "chunk", "left").select(*CHUNK, "reach").mapInArrow(run, f"{key} {kind}, n_bytes long, spans array<struct<s: long, e: long>>, kept binary")
+    return texts.join(spans, "chunk", "left").select(*CHUNK, "reach").mapInArrow(tidied(run), f"{key} {kind}, n_bytes long, spans array<struct<s: long, e: long>>, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, running, written
+from .shared import new_path, running, tidied, written
 from .tokens import default_vocabulary, encoder
 from .words import chunks
 
@@ -58,7 +58,7 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str | None = None, separa
                 yield pa.RecordBatch.from_arrays([pa.array(["ids", "keys"]), pa.array([row, row], pa.int64()), pa.array([flat[:-1], keys.encode()], pa.binary())], ["kind", "row", "value"])
                 row += t.n
 
-    rows = docs.select(F.col(key).cast("string"), text).mapInArrow(encode, "kind string, row long, value binary").sortWithinPartitions("kind", "row")
+    rows = docs.select(F.col(key).cast("string"), text).mapInArrow(tidied(encode), "kind string, row long, value binary").sortWithinPartitions("kind", "row")
     rows.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", RUNS).text(path)
 
 
@@ -87,7 +87,7 @@ def scan_blocks(spark: SparkSession, path: str, separator: int = SEPARATOR, bloc
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).filter(~F.col("path").contains("/kind=keys/"))
     file = _task(F.col("path")) * F.lit(1 << 20) + F.coalesce(F.regexp_extract("path", r"[.-]c(\d+)\.", 1).cast("long"), F.lit(0))
-    return files.select(file.alias("file"), "content").mapInArrow(scan, schema)
+    return files.select(file.alias("file"), "content").mapInArrow(tidied(scan), schema)
 
 
 def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, block: int = BLOCK, width: int = 2) -> DataFrame:

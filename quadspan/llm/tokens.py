@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Words whose ids a worker keeps in each of two generations: memory is bounded, and results don't depend on it.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 120_000
 
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,]?)").fullmatch
 
