@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  It is written as Parquet and read again as the next
 stage's docs.  All but the last return the columns of documents.
+
+Defined cases: rows with a null or empty text have no words, so the quality rules reject them; rows of one id, or without
+one, are told apart by all their columns, and of repeated rows one stays after near dedup; a null source is a source of
+its own in the mix; ids tie in the order of their token ids; extra columns stay up to the last stage, whatever their
+names; empty documents give an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +45,13 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return orc.token_report(spark, at)
 
 
-STAGES = [("quality rules", quality_stage), ("near dedup", near_dedup_stage), ("decontamination", decontamination_stage), ("mixing", mixing_stage), ("token ids", token_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token ids", token_stage),
+]
 
 #: MinHash, random ranks and tokenizers have no SQL; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
