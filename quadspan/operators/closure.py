@@ -6,28 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..storage import cut, new_path
+from ..storage import new_path
 
 
 def closure(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """x, y, hops: all pairs joined by one or more edges (x, y), with the fewest; cycles are fine.
 
-    Semi-naive: each round extends only the pairs that the last one found, and drops those that are known.  Rounds are
-    folders of one table, so what is known is never written again.  ``limit`` stops after so many hops."""
+    Distances double: a pair at a distance of 2^k + r, r up to 2^k, is one of exactly 2^k and one of r in a row, so each
+    round joins the pairs at 2^k with all pairs found so far and drops those that are known.  The number of rounds is that
+    of the binary digits of the longest distance.  Rounds are folders of one table, so what is known is never written
+    again.  ``limit`` leaves out pairs further apart."""
     spark, at = edges.sparkSession, new_path(edges.sparkSession, "closure")
-    step = cut(edges.select(F.col("x").alias("from"), F.col("y").alias("to")).distinct())
-    pairs = step.select(F.col("from").alias("x"), F.col("to").alias("y"))
-    schema = StructType([*(StructField(f.name, f.dataType) for f in pairs.schema), StructField("hops", IntegerType())])
-    pairs.write.parquet(f"{at}/hops=1")
-    hops = 1
-    while limit is None or hops < limit:
-        known = spark.read.schema(schema).parquet(at)
-        grown = known.filter(F.col("hops") == hops).join(step, F.col("y") == F.col("from")).select("x", F.col("to").alias("y")).distinct()
-        hops += 1
-        grown.join(known, ["x", "y"], "left_anti").write.parquet(f"{at}/hops={hops}")
-        if spark.read.schema(schema).parquet(at).filter(F.col("hops") == hops).isEmpty():
+    pairs = edges.select("x", "y").distinct()
+    pairs.withColumn("hops", F.lit(1)).write.parquet(f"{at}/round=0")
+    schema = StructType([*(StructField(f.name, f.dataType) for f in pairs.schema), StructField("hops", IntegerType()), StructField("round", IntegerType())])
+    k = 0
+    while limit is None or 1 << k < limit:
+        known = spark.read.schema(schema).parquet(at).drop("round")
+        far = known.filter(F.col("hops") == 1 << k).select("x", F.col("y").alias("_m"), F.col("hops").alias("_h"))
+        near = known.select(F.col("x").alias("_m"), "y", "hops")
+        grown = far.join(near, "_m").groupBy("x", "y").agg(F.min(F.col("_h") + F.col("hops")).alias("hops"))
+        k += 1
+        grown.join(known.select("x", "y"), ["x", "y"], "left_anti").write.parquet(f"{at}/round={k}")
+        if spark.read.schema(schema).parquet(at).filter(F.col("round") == k).isEmpty():
             break
-    return spark.read.schema(schema).parquet(at)
+    found = spark.read.schema(schema).parquet(at).drop("round")
+    return found if limit is None else found.filter(F.col("hops") <= limit)
 
 
 def reflexive(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..model import FINDING, Graph, union
-from ..operators.closure import closure, edges
+from ..operators.closure import edges
+from ..operators.contract import longest, reach
 from ..storage import cut
 from .checks import CHECKS, Check, findings, register_check, rows, within, without
 
@@ -182,14 +183,7 @@ def run_checks(g: Graph, only: list[str] | None = None, literal: bool = True, ru
 
 def max_depth(g: Graph) -> DataFrame:
     """The longest chain of subclass edges over named classes, cycles left out (edges within one are ignored)."""
-    e = edges(g.scan(v.SUBCLASS).filter("sk = 0 and ok = 0")).filter("x <> y").distinct()
-    both = closure(e).select("x", "y")
-    cyclic = both.select("x", "y").intersect(both.select(c("y").alias("x"), c("x").alias("y")))
-    e = cut(e.join(cyclic, ["x", "y"], "left_anti"))
-    level, depth = e.select("x", "y"), 0
-    while not level.isEmpty():
-        depth += 1
-        level = cut(level.select(c("y").alias("m")).distinct().join(e, c("m") == c("x")).select("x", "y").distinct())
+    depth = longest(edges(g.scan(v.SUBCLASS).filter("sk = 0 and ok = 0")))
     return g.spark.range(1).select(lit(depth).cast("long").alias("max_depth"))
 
 
@@ -282,7 +276,8 @@ def import_closure(entry: DataFrame, imports: DataFrame, names: DataFrame) -> Da
     """doc, hops: documents that the entries (column doc) import, step by step.  imports: doc, iri; names: iri, doc,
     an ontology's own or version IRI.  Unmatched IRIs have no row: see ``unresolved``."""
     step = imports.join(names.select("iri", c("doc").alias("to")), "iri").select(c("doc").alias("x"), c("to").alias("y")).distinct()
-    return entry.select("doc", lit(0).alias("hops")).unionByName(closure(step).join(entry, c("x") == entry["doc"], "left_semi").select(c("y").alias("doc"), "hops")).groupBy("doc").agg(F.min("hops").alias("hops"))
+    found = reach(step, entry.select(c("doc").alias("x"))).select(c("y").alias("doc"), c("hops").cast("int").alias("hops"))
+    return entry.select("doc", lit(0).alias("hops")).unionByName(found).groupBy("doc").agg(F.min("hops").alias("hops"))
 
 
 def unresolved(imports: DataFrame, names: DataFrame) -> DataFrame:

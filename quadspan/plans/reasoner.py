@@ -1,77 +1,141 @@
 """Forward closure of sixteen RDFS and OWL rules (2.7), contradictions, and the inferred overlay.
 
-The schema is closed first (subclasses, subproperties, equivalents, identities), then facts run through it, round by
-round, until nothing new is found.  Every round joins only what the last one added, on single columns, and cuts its
-lineage.  The range rule skips literals."""
+The schema is closed first: superclasses, superproperties, and for each property the classes of its subjects and objects.
+These maps are broadcast where they are counted to be small, and facts run through them once.  Identities become
+classes: a node has a representative, types are shared through it, and pairs are made only where someone scans for them.
+Only where the schema speaks of the vocabulary itself (a subproperty of rdfs:subClassOf, a domain of rdf:type) can a fact
+make a schema triple; then the pass is repeated until nothing is new.  The range rule skips literals."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as v
-from ..model import TRIPLE, Graph, union
-from ..storage import cut
+from ..model import LITERAL, TRIPLE, Graph, narrowed, union
+from ..operators.closure import closure
+from ..operators.contract import components
+from ..storage import Scratch
 from .checks import rows
 
 c, lit = F.col, F.lit
-SCHEMA = (v.SUBCLASS, v.SUBPROP, v.EQUIV_CLASS, v.EQUIV_PROP, v.SAME, v.DOMAIN, v.RANGE)
-
-
-def _node(s, p, o, sk=None, ok=None) -> list:
-    kind = lambda x: F.when(x.startswith("_:"), 1).otherwise(0)
-    null = lit(None).cast("string")
-    return [s.alias("s"), kind(s).alias("sk"), p.alias("p"), o.alias("o"), kind(o).alias("ok"), null.alias("dt"), null.alias("lang")]
-
-
-def _pairs(a: DataFrame, p: str, x: str, y: str) -> DataFrame:
-    return a.filter((c("p") == p) & (c("ok") != 2)).select(c("s").alias(x), c("o").alias(y))
-
-
-def derive(new: DataFrame, all_: DataFrame) -> DataFrame:
-    """What one application of the rules makes of at least one new triple and any others."""
-    out = []
-    for a, b in ((new, all_), (all_, new)):
-        for p in (v.SUBCLASS, v.SUBPROP, v.SAME):  # transitivity
-            out.append(_pairs(a, p, "x", "m").join(_pairs(b, p, "m", "y"), "m").select(*_node(c("x"), lit(p), c("y"))))
-        types = _pairs(a, v.TYPE, "i", "m")
-        out.append(types.join(_pairs(b, v.SUBCLASS, "m", "y"), "m").select(*_node(c("i"), lit(v.TYPE), c("y"))))
-        same_class = _pairs(b, v.EQUIV_CLASS, "m", "y")
-        out.append(types.join(same_class, "m").select(*_node(c("i"), lit(v.TYPE), c("y"))))
-        out.append(_pairs(a, v.TYPE, "m", "t").join(_pairs(b, v.SAME, "m", "y"), "m").select(*_node(c("y"), lit(v.TYPE), c("t"))))
-        for rule in (v.SUBPROP, v.EQUIV_PROP):
-            moved = a.join(_pairs(b, rule, "_p", "_q"), c("p") == c("_p"))
-            out.append(moved.select("s", "sk", c("_q").alias("p"), "o", "ok", "dt", "lang"))
-        out.append(a.join(_pairs(b, v.DOMAIN, "_p", "_d"), c("p") == c("_p")).select(*_node(c("s"), lit(v.TYPE), c("_d"))))
-        out.append(a.filter("ok <> 2").join(_pairs(b, v.RANGE, "_p", "_d"), c("p") == c("_p")).select(*_node(c("o"), lit(v.TYPE), c("_d"))))
-    for p in (v.EQUIV_CLASS, v.EQUIV_PROP, v.SAME):  # symmetry
-        out.append(_pairs(new, p, "x", "y").select(*_node(c("y"), lit(p), c("x"))))
-    return union(out)
-
-
-def reason(g: Graph, rounds: int = 100) -> Graph:
+#: Predicates whose triples the rules read as schema.
+META = (v.TYPE, v.SUBCLASS, v.SUBPROP, v.EQUIV_CLASS, v.EQUIV_PROP, v.SAME, v.DOMAIN, v.RANGE)
+#: Rows of a map that is broadcast; a larger one is joined by a shuffle, whose skew is left to adaptive execution.
+FEW = 200_000
+
+
+class Closed(Graph):
+    """A closure: triples without derived identities, and the members (node, rep) of identity classes.
+
+    A scan that asks for owl:sameAs makes the pairs of each class."""
+
+    def __init__(self, triples: DataFrame, members: DataFrame):
+        super().__init__(triples, distinct=True)
+        self.members = members
+
+    def scan(self, *predicates: str, objects: Sequence[str] | None = None, datatypes: Sequence[str] | None = None) -> DataFrame:
+        found = super().scan(*predicates)
+        if not predicates or v.SAME in predicates:
+            found = found.filter((c("p") != v.SAME) | (c("ok") == LITERAL)).unionByName(self.same())
+        return narrowed(found, objects, datatypes)
+
+    def same(self) -> DataFrame:
+        """All pairs of identities, each node with itself included."""
+        other = self.members.select("rep", c("node").alias("other"))
+        return self.members.join(other, "rep").select(*_node(c("node"), lit(v.SAME), c("other")))
+
+    def counts(self) -> DataFrame:
+        """p, n, subjects, objects of the closure; identities are counted from their classes, without making pairs."""
+        found = self.triples.filter((c("p") != v.SAME) | (c("ok") == LITERAL))
+        by_p = found.groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.count_distinct("o", "ok").alias("objects"))
+        sizes = self.members.groupBy("rep").agg(F.count("*").alias("k"))
+        same = sizes.agg(F.sum(c("k") * c("k")).alias("n"), F.sum("k").alias("subjects"), F.sum("k").alias("objects")).filter("n is not null")
+        return by_p.unionByName(same.select(lit(v.SAME).alias("p"), "n", "subjects", "objects"))
+
+
+def _kind(x: Column) -> Column:
+    return F.when(x.startswith("_:"), 1).otherwise(0)
+
+
+def _node(s: Column, p: Column, o: Column) -> list[Column]:
+    none = lit(None).cast("string")
+    return [s.alias("s"), _kind(s).alias("sk"), p.alias("p"), o.alias("o"), _kind(o).alias("ok"), none.alias("dt"), none.alias("lang")]
+
+
+def _pairs(t: DataFrame, *predicates: str, both: bool = False) -> DataFrame:
+    out = t.filter(c("p").isin(*predicates) & (c("ok") != LITERAL)).select(c("s").alias("x"), c("o").alias("y"))
+    return out.unionByName(out.select(c("y").alias("x"), c("x").alias("y"))) if both else out
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _schema_maps(schema: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """kind, x, y of what follows from the schema alone, for each of four closures; for each property its superproperties
+    and the classes of its subjects and objects; for each class its superclasses."""
+    # one closure of all four kinds: nodes are marked by kind
+    kinds = {
+        "c": _pairs(schema, v.SUBCLASS),
+        "q": _pairs(schema, v.SUBPROP),
+        "C": _pairs(schema, v.SUBCLASS).unionByName(_pairs(schema, v.EQUIV_CLASS, both=True)),
+        "Q": _pairs(schema, v.SUBPROP).unionByName(_pairs(schema, v.EQUIV_PROP, both=True)),
+    }
+    marked = union([e.select(F.concat(lit(k), "x").alias("x"), F.concat(lit(k), "y").alias("y")) for k, e in kinds.items()])
+    rest = lambda x: F.substring(x, 2, 1 << 30)
+    above = tables.put(closure(marked).select(F.substring("x", 1, 1).alias("kind"), rest("x").alias("x"), rest("y").alias("y")), "above")
+    classes, properties = (above.filter(c("kind") == k).select("x", "y") for k in "CQ")
+    per_property = [properties.select(c("x").alias("p"), lit("up").alias("role"), "y")]
+    for role, predicate in (("dom", v.DOMAIN), ("ran", v.RANGE)):
+        said = _pairs(schema, predicate)
+        # what a superproperty says of its ends holds for the property, and so do the superclasses
+        own = said.select(c("x").alias("p"), "y").unionByName(properties.select(c("x").alias("p"), c("y").alias("x")).join(said, "x").select("p", "y"))
+        wider = own.join(classes.select(c("x").alias("y"), c("y").alias("z")), "y").select("p", c("z").alias("y"))
+        per_property.append(own.unionByName(wider).select("p", lit(role).alias("role"), "y"))
+    of = lambda role: F.collect_set(F.when(c("role") == role, c("y"))).alias(role)
+    ends = tables.put(union(per_property).groupBy("p").agg(of("up"), of("dom"), of("ran")), "properties")
+    ups = tables.put(classes.groupBy(c("x").alias("o")).agg(F.collect_set("y").alias("supers")), "classes")
+    return above, ends, ups
+
+
+def _once(facts: DataFrame, tables: Scratch) -> Closed:
+    """One pass of all rules."""
+    schema = tables.put(facts.filter(c("p").isin(*META[1:])), "schema")
+    above, ends, ups = _schema_maps(schema, tables)
+    members = components(_pairs(schema, v.SAME)).select("node", c("root").alias("rep"))
+    triple = lambda s, sk, p, o, ok, dt, lang: F.struct(s.alias("s"), sk.alias("sk"), p.alias("p"), o.alias("o"), ok.alias("ok"), dt.alias("dt"), lang.alias("lang"))
+    none, kind = lit(None).cast("string"), lit(v.TYPE)
+    moved = F.transform("up", lambda q: triple(c("s"), c("sk"), q, c("o"), c("ok"), c("dt"), c("lang")))
+    of_subject = F.transform("dom", lambda d: triple(c("s"), c("sk"), kind, d, _kind(d), none, none))
+    of_object = F.when(c("ok") != LITERAL, F.transform("ran", lambda d: triple(c("o"), c("ok"), kind, d, _kind(d), none, none))).otherwise(F.array().cast("array<struct<s:string,sk:int,p:string,o:string,ok:int,dt:string,lang:string>>"))
+    made = facts.join(_small(ends), "p").select(F.explode(F.concat(moved, of_subject, of_object)).alias("t")).select("t.*")
+    typed = facts.filter((c("p") == v.TYPE) & (c("ok") != LITERAL)).join(_small(ups), "o").select("s", "sk", "p", F.explode("supers").alias("o")).select("s", "sk", "p", "o", _kind(c("o")).alias("ok"), none.alias("dt"), none.alias("lang"))
+    closed = above.filter("kind in ('c', 'q')").select(*_node(c("x"), F.when(c("kind") == "c", v.SUBCLASS).otherwise(v.SUBPROP), c("y")))
+    turned = schema.filter(c("p").isin(v.EQUIV_CLASS, v.EQUIV_PROP) & (c("ok") != LITERAL)).select(*_node(c("o"), c("p"), c("s")))
+    known = tables.put(union([facts, made, typed, closed, turned]).distinct(), "closed")
+    # types of one are types of all members of its class
+    given = known.filter((c("p") == v.TYPE) & (c("ok") != LITERAL)).join(members, c("s") == c("node")).select("rep", "o").distinct()
+    shared = given.join(members, "rep").select(*_node(c("node"), kind, c("o")))
+    fresh = shared.join(known.filter(c("p") == v.TYPE).select("s", "p", "o", "ok"), ["s", "p", "o", "ok"], "left_anti").select(*TRIPLE)
+    return Closed(tables.put(known.unionByName(fresh), "closure"), members)
+
+
+def reason(g: Graph) -> Closed:
     """The deductive closure, asserted triples included."""
-    known = cut(g.scan().select(*TRIPLE).distinct())
-    rules_on = known.filter(c("p").isin(*SCHEMA))
-    # the schema by itself: small, and all that later rounds join with changes little
-    fresh = rules_on
-    while True:
-        found = derive(fresh, rules_on).filter(c("p").isin(*SCHEMA)).distinct()
-        fresh = cut(found.join(rules_on, TRIPLE[:1] + ["p", "o", "ok"], "left_anti").select(*TRIPLE))
-        if fresh.isEmpty():
-            break
-        rules_on = cut(rules_on.unionByName(fresh))
-    known = cut(known.unionByName(rules_on).distinct())
-    fresh = known
-    for _ in range(rounds):
-        found = derive(fresh, known).distinct()
-        old = known.select(c("s").alias("_s"), c("p").alias("_p"), c("o").alias("_o"), c("ok").alias("_ok"), c("dt").alias("_dt"), c("lang").alias("_lang"))
-        on = (c("s") == c("_s")) & (c("p") == c("_p")) & (c("o") == c("_o")) & (c("ok") == c("_ok")) & c("dt").eqNullSafe(c("_dt")) & c("lang").eqNullSafe(c("_lang"))
-        fresh = cut(found.join(old, on, "left_anti"))
-        if fresh.isEmpty():
+    tables = Scratch(g.spark)
+    facts = tables.put(g.scan().select(*TRIPLE).distinct(), "facts")
+    links = facts.filter(c("p").isin(v.SUBPROP, v.EQUIV_PROP, v.DOMAIN, v.RANGE) & (c("s").isin(*META) | (c("p").isin(v.SUBPROP, v.EQUIV_PROP) & c("o").isin(*META))))
+    found = _once(facts, tables)
+    while not links.isEmpty():  # the schema speaks of the vocabulary: its triples may follow from facts
+        whole = tables.put(found.scan().select(*TRIPLE).distinct(), "facts")
+        if whole.count() == facts.count():
             break
-        known = cut(known.unionByName(fresh))
-    return Graph(known, distinct=True)
+        facts = whole
+        found = _once(facts, tables)
+    return found
 
 
 def inferred(g: Graph, closed: Graph) -> DataFrame:
@@ -81,12 +145,14 @@ def inferred(g: Graph, closed: Graph) -> DataFrame:
 
 def disjoint_members(closed: Graph) -> DataFrame:
     """REA-DISJOINT: individuals of two disjoint classes."""
-    types = _pairs(closed.scan(v.TYPE), v.TYPE, "i", "a")
-    apart = _pairs(closed.scan(v.DISJOINT), v.DISJOINT, "a", "b")
+    apart = _pairs(closed.scan(v.DISJOINT), v.DISJOINT).select(c("x").alias("a"), c("y").alias("b"))
+    named = apart.select(c("a").alias("o")).union(apart.select("b")).distinct()
+    types = _pairs(closed.scan(v.TYPE).join(named, "o", "left_semi"), v.TYPE).select(c("x").alias("i"), c("y").alias("a"))
     return rows(types.join(apart, "a").join(types.select("i", c("a").alias("b")), ["i", "b"]), "i", None, lit(None).cast("string"))
 
 
-def same_and_different(closed: Graph) -> DataFrame:
-    """REA-SAMEDIFF"""
-    same, other = closed.scan(v.SAME).select("s", "o"), closed.scan(v.DIFFERENT).select("s", "o")
-    return rows(other.join(same, ["s", "o"]), "s", None, lit(None).cast("string"))
+def same_and_different(closed: Closed) -> DataFrame:
+    """REA-SAMEDIFF: nodes said to differ, of one identity class."""
+    other = closed.scan(v.DIFFERENT).filter("ok <> 2").select("s", "o")
+    of = lambda x, name: closed.members.select(c("node").alias(x), c("rep").alias(name))
+    return rows(other.join(of("s", "_a"), "s").join(of("o", "_b"), "o").filter("_a = _b"), "s", None, lit(None).cast("string"))

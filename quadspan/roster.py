@@ -264,8 +264,6 @@ add("import_closure", _imports, "SELECT doc, min(hops) AS hops FROM b GROUP BY d
 # --- reasoner, repairs, triplify -------------------------------------------------------------------------------------
 
 
-add("rdfs_closure", lambda g: reasoner.reason(g).scan().groupBy("p").agg(F.count("*").alias("n")))
-add("inferred_only", lambda g: reasoner.inferred(g, reasoner.reason(g)).groupBy("p").agg(F.count("*").alias("n")))
 # all rules over all triples; rea_disjoint is the part of it that asserted types and subclasses give
 _closed = f"""sp AS (SELECT s AS p, o AS q FROM T WHERE p IN ('{v.SUBPROP}', '{v.EQUIV_PROP}') AND ok <> 2 UNION SELECT o, s FROM T WHERE p = '{v.EQUIV_PROP}' AND ok <> 2),
 spc AS (SELECT p, q FROM sp UNION SELECT spc.p, sp.q FROM spc JOIN sp ON spc.q = sp.p), f AS (SELECT s, p, o, ok FROM T UNION SELECT T.s, spc.q, T.o, T.ok FROM T JOIN spc ON T.p = spc.p),
@@ -273,6 +271,18 @@ sc AS (SELECT s AS x, o AS y FROM f WHERE p IN ('{v.SUBCLASS}', '{v.EQUIV_CLASS}
 sa AS (SELECT s AS x, o AS y FROM f WHERE p = '{v.SAME}' AND ok <> 2 UNION SELECT o, s FROM f WHERE p = '{v.SAME}' AND ok <> 2), up AS (SELECT 'c' AS k, x, y FROM sc UNION ALL SELECT 'i', x, y FROM sa),
 m0 AS (SELECT s AS i, o AS t FROM f WHERE p = {TY} AND ok <> 2 UNION SELECT f.s, d.o FROM f JOIN f d ON d.p = '{v.DOMAIN}' AND d.s = f.p UNION SELECT f.o, d.o FROM f JOIN f d ON d.p = '{v.RANGE}' AND d.s = f.p WHERE f.ok <> 2),
 m AS (SELECT i, t FROM m0 UNION SELECT CASE WHEN k = 'i' THEN y ELSE i END, CASE WHEN k = 'c' THEN y ELSE t END FROM m JOIN up ON x = CASE WHEN k = 'c' THEN t ELSE i END)"""
+_kind_of = lambda x: f"CASE WHEN starts_with({x}, '_:') THEN 1 ELSE 0 END"
+_derived = lambda s, p, o: f"SELECT {s}, {_kind_of(s)}, {p}, {o}, {_kind_of(o)}, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)"
+_closure_sql = f"""{_closed}, ct AS (SELECT s AS x, o AS y FROM f WHERE p = '{v.SUBCLASS}' AND ok <> 2 UNION SELECT ct.x, f.o FROM ct JOIN f ON f.s = ct.y AND f.p = '{v.SUBCLASS}' AND f.ok <> 2),
+pt AS (SELECT s AS x, o AS y FROM f WHERE p = '{v.SUBPROP}' AND ok <> 2 UNION SELECT pt.x, f.o FROM pt JOIN f ON f.s = pt.y AND f.p = '{v.SUBPROP}' AND f.ok <> 2),
+it AS (SELECT x, y FROM sa UNION SELECT it.x, sa.y FROM it JOIN sa ON it.y = sa.x),
+A(s, sk, p, o, ok, dt, lang) AS (SELECT s, sk, p, o, ok, dt, lang FROM T UNION SELECT T.s, T.sk, spc.q, T.o, T.ok, T.dt, T.lang FROM T JOIN spc ON T.p = spc.p
+UNION {_derived("x", f"'{v.SUBCLASS}'", "y")} FROM ct UNION {_derived("x", f"'{v.SUBPROP}'", "y")} FROM pt UNION {_derived("x", f"'{v.SAME}'", "y")} FROM it UNION {_derived("i", TY, "t")} FROM m UNION {_derived("o", "p", "s")} FROM f WHERE p IN ('{v.EQUIV_CLASS}', '{v.EQUIV_PROP}') AND ok <> 2)"""
+add("rdfs_closure", lambda g: reasoner.reason(g).counts(), "SELECT p, count(*) AS n, count(DISTINCT s) AS subjects, count(DISTINCT (o, ok)) AS objects FROM A GROUP BY p", _closure_sql)
+add("rdfs_closure_types", lambda g: reasoner.reason(g).scan(v.TYPE).groupBy(c("o").alias("class")).agg(F.count("*").alias("n"), F.min("s").alias("least"), F.max("s").alias("most")), f"SELECT o AS class, count(*) AS n, min(s) AS least, max(s) AS most FROM A WHERE p = {TY} GROUP BY o", _closure_sql)
+add("rdfs_closure_schema", lambda g: reasoner.reason(g).scan(v.SUBCLASS, v.SUBPROP, v.EQUIV_CLASS, v.EQUIV_PROP, v.SAME).select("s", "p", "o"), f"SELECT s, p, o FROM A WHERE p IN ('{v.SUBCLASS}', '{v.SUBPROP}', '{v.EQUIV_CLASS}', '{v.EQUIV_PROP}', '{v.SAME}')", _closure_sql)
+add("inferred_only", lambda g: reasoner.inferred(g, reasoner.reason(g)).groupBy("p").agg(F.count("*").alias("n")), "SELECT p, count(*) AS n FROM (SELECT * FROM A EXCEPT SELECT s, sk, p, o, ok, dt, lang FROM T) GROUP BY p", _closure_sql)
+add("same_classes", lambda g: reasoner.reason(Graph(g.scan(v.SAME), distinct=True)).members.select("node", "rep"), "SELECT x AS node, min(y) AS rep FROM it GROUP BY x", _closure_sql)
 add("rea_disjoint_closure", lambda g: reasoner.disjoint_members(reasoner.reason(g)), f"SELECT DISTINCT a.i AS focus_node, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS value FROM m a JOIN m b ON a.i = b.i JOIN f d ON d.p = '{v.DISJOINT}' AND d.s = a.t AND d.o = b.t", _closed)
 add("rea_disjoint", lambda g: reasoner.disjoint_members(reasoner.reason(Graph(g.scan(v.TYPE, v.SUBCLASS, v.DISJOINT), distinct=True))), f"SELECT DISTINCT a.i AS focus_node, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS value FROM m a JOIN m b ON a.i = b.i JOIN T d ON d.p = '{v.DISJOINT}' AND d.s = a.t AND d.o = b.t", f"m AS (SELECT s AS i, o AS t FROM T WHERE p = {TY} UNION SELECT m.i, T.o FROM m JOIN T ON T.p = '{v.SUBCLASS}' AND T.s = m.t)")
 add("rea_samediff", lambda g: reasoner.same_and_different(reasoner.reason(Graph(g.scan(v.SAME, v.DIFFERENT), distinct=True))), f"SELECT DISTINCT a.s AS focus_node, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS value FROM T a JOIN T b ON b.p = '{v.SAME}' AND ((a.s = b.s AND a.o = b.o) OR (a.s = b.o AND a.o = b.s)) WHERE a.p = '{v.DIFFERENT}'")

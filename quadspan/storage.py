@@ -39,3 +39,28 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()
+
+
+class Scratch:
+    """Tables in the shared folder that one computation writes; each ends its plan's lineage, and is deleted when dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at = spark, {}
+
+    def put(self, df: DataFrame, name: str = "scratch") -> DataFrame:
+        at = new_path(self.spark, name)
+        df.write.parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        self.at[id(out)] = (out, at)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            if id(df) in self.at:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at.pop(id(df))[1])
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Drops all tables but df."""
+        self.drop(*(t for t, _ in list(self.at.values()) if t is not df))
+        return df
