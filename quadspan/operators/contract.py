@@ -3,19 +3,23 @@
 A strand is a run of nodes that each have one edge in and one out.  Pointer jumping ranks the nodes of all strands at
 once, in as many rounds as the longest has binary digits; the graph of the other nodes, with one edge for a strand, is
 what hop-by-hop work is left for.  Every round joins on single nodes, aggregates by node before it shuffles, and writes
-what is still open, so nothing is collected and no plan grows.
+what is still open, so nothing is collected and no plan grows.  Once no more than ``SMALL`` edges are left, as counted, one
+task finishes them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
 
 c, lit = F.col, F.lit
+#: Edges that one task finishes.
+SMALL = 50_000
 #: Trimming goes on alone while it leaves at most this part of the edges; else strands are contracted as well.
 MOVED = 0.9
 #: How the values of two links in a row combine: name -> (value of the first, of the second, row's other values) -> value.
@@ -26,6 +30,98 @@ def _steps(near: Callable[[str], Column], far: Callable[[str], Column]) -> Colum
     return near("steps") + far("steps")
 
 
+def _finished(edges: DataFrame, run: Callable[[dict[str, list]], dict[str, list]], like: DataFrame) -> DataFrame:
+    """run on the columns of a few edges, in one task; like: a frame with the result's columns."""
+    names = edges.columns
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: dict[str, list] = {n: [] for n in names}
+        for b in batches:
+            for n in names:
+                columns[n] += b.column(n).to_pylist()
+        yield pa.RecordBatch.from_pydict(run(columns))
+
+    return edges.coalesce(1).mapInArrow(task, like.schema)
+
+
+def _strong(x: list, y: list) -> dict:
+    """The root of each node's strongly connected component: two depth-first walks without recursion."""
+    out: dict = {}
+    into: dict = {}
+    for a, b in zip(x, y, strict=True):
+        out.setdefault(a, []).append(b)
+        into.setdefault(b, []).append(a)
+    order, seen = [], set()
+    for start in [*out, *into]:
+        if start in seen:
+            continue
+        seen.add(start)
+        walk = [(start, iter(out.get(start, ())))]
+        while walk:
+            node, rest = walk[-1]
+            for b in rest:
+                if b not in seen:
+                    seen.add(b)
+                    walk.append((b, iter(out.get(b, ()))))
+                    break
+            else:
+                order.append(node)
+                walk.pop()
+    root: dict = {}
+    for start in reversed(order):
+        stack = [start] if start not in root else []
+        while stack:
+            node = stack.pop()
+            if node not in root:
+                root[node] = start
+                stack += [a for a in into.get(node, ()) if a not in root]
+    return root
+
+
+def _cycles_of(edges: dict[str, list]) -> dict[str, list]:
+    """node, root of a few edges."""
+    root = _strong(edges["x"], edges["y"])
+    on = {a for a, b in zip(edges["x"], edges["y"], strict=True) if root[a] == root[b]}
+    on |= {b for a, b in zip(edges["x"], edges["y"], strict=True) if root[a] == root[b]}
+    return {"node": list(on), "root": [root[n] for n in on]}
+
+
+def _longest_of(edges: dict[str, list]) -> dict[str, list]:
+    """The most that any node has, over a few edges (x, y, plus, least, has, has_y: what x and y have so far)."""
+    root = _strong(edges["x"], edges["y"])
+    has, waits, out = {}, dict.fromkeys(root, 0), {}
+    for a, b, plus, least, of_a, of_b in zip(*(edges[n] for n in ("x", "y", "plus", "least", "has", "has_y")), strict=True):
+        has[a], has[b] = max(has.get(a, 0), of_a), max(has.get(b, 0), of_b)
+        if root[a] != root[b]:
+            out.setdefault(a, []).append((b, plus, least))
+            waits[b] += 1
+    ready = [n for n, k in waits.items() if not k]
+    while ready:
+        a = ready.pop()
+        for b, plus, least in out.get(a, ()):
+            has[b] = max(has[b], has[a] + plus, least)
+            waits[b] -= 1
+            if not waits[b]:
+                ready.append(b)
+    return {"has": [max(has.values(), default=0)]}
+
+
+def _roots_of(edges: dict[str, list]) -> dict[str, list]:
+    """node, root: the least node of each component of a few edges."""
+    up: dict = {}
+
+    def top(n):
+        while up.setdefault(n, n) != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    for a, b in zip(edges["x"], edges["y"], strict=True):
+        p, q = sorted((top(a), top(b)))
+        up[q] = p
+    return {"node": list(up), "root": [top(n) for n in up]}
+
+
 def jump(links: DataFrame, combine: Combine | None = None) -> DataFrame:
     """node, end, steps, cycle of links (node, next), where a node has one next at most: the node without a next that is
     reached, in how many steps; where a cycle is reached instead, end is null and cycle its least node.
@@ -130,8 +226,9 @@ def components(edges: DataFrame) -> DataFrame:
     of them, until nothing moves; a logarithmic number of rounds.  A star's centre is aggregated before it is shuffled."""
     tables = Scratch(edges.sparkSession)
     pairs = tables.put(edges.select("x", "y").filter("x <> y").distinct(), "pairs")
+    like = pairs.select(c("x").alias("node"), c("y").alias("root"))
     nodes = edges.select(c("x").alias("node")).union(edges.select("y")).distinct()
-    while True:
+    while pairs.count() > SMALL:
         both = pairs.unionByName(pairs.select(c("y").alias("x"), c("x").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("low"))
         large = tables.put(both.join(least, "x").filter("y > x").select(c("y").alias("x"), c("low").alias("y")).filter("x <> y").distinct(), "large")
@@ -144,7 +241,7 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = fresh
         if not moved:
             break
-    roots = pairs.select(c("x").alias("node"), c("y").alias("root"))
+    roots = pairs.select(c("x").alias("node"), c("y").alias("root")) if pairs.count() > SMALL else _finished(pairs, _roots_of, like)
     return tables.keep(tables.put(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots"))
 
 
@@ -156,13 +253,13 @@ def cycles(edges: DataFrame) -> DataFrame:
     tables = Scratch(edges.sparkSession)
     at = tables.put(edges.select("x", "y").distinct(), "edges")
     layers, found = [], []
-    n = at.count()
-    while n:
-        while n:
+    n, like = at.count(), edges.select(c("x").alias("node"), c("x").alias("root"))
+    while n > SMALL:
+        while n > SMALL:
             live = degrees(at).filter("ins > 0 and outs > 0").select("node")
             at = tables.put(at.join(live.withColumnRenamed("node", "x"), "x", "left_semi").join(live.withColumnRenamed("node", "y"), "y", "left_semi"), "trimmed")
             was, n = n, at.count()
-            if not n or n <= was * MOVED:
+            if n <= max(SMALL, was * MOVED):
                 continue
             graph, members = strands(at)
             layers.append((graph.filter("strand is not null"), members))
@@ -170,7 +267,7 @@ def cycles(edges: DataFrame) -> DataFrame:
             n = at.count()
             if n == was:
                 break
-        if not n:
+        if n <= SMALL:
             break
         colour = tables.put(at.select(c("x").alias("node")).union(at.select("y")).distinct().withColumn("root", c("node")), "colour")
         while True:
@@ -188,8 +285,8 @@ def cycles(edges: DataFrame) -> DataFrame:
         gone = colour.filter("node = root").select("node").unionByName(members_.select("node")).distinct()
         at = tables.put(at.join(gone.withColumnRenamed("node", "x"), "x", "left_anti").join(gone.withColumnRenamed("node", "y"), "y", "left_anti"), "edges")
         n = at.count()
-    out = found[0] if found else edges.sparkSession.createDataFrame([], edges.select(c("x").alias("node"), c("x").alias("root")).schema)
-    for more in found[1:]:
+    out = tables.put(_finished(at, _cycles_of, like), "cycle")
+    for more in found:
         out = out.unionByName(more)
     # a strand between two nodes of a component is in it
     for graph, members in reversed(layers):
@@ -218,14 +315,14 @@ def longest(edges: DataFrame) -> int:
     base = edges.sparkSession.createDataFrame([], edges.select(c("x").alias("node"), long(0).alias("has")).schema)
     cleared = False
     n = at.count()
-    while n:
+    while n > SMALL:
         top = degrees(at).filter("ins = 0").select("node")
         off = at.join(top.withColumnRenamed("node", "x"), "x", "left_semi").join(base.withColumnRenamed("node", "x"), "x", "left")
         given = off.groupBy(c("y").alias("node")).agg(F.max(F.greatest(F.coalesce("has", long(0)) + c("plus"), "least")).alias("has"))
         base = tables.put(base.unionByName(given).groupBy("node").agg(F.max("has").alias("has")), "base")
         rest = tables.put(at.join(top.withColumnRenamed("node", "x"), "x", "left_anti"), "edges")
         was, n, at = n, rest.count(), rest
-        if not n or n <= was * MOVED:
+        if n <= max(SMALL, was * MOVED):
             continue
         # what a node inside a strand has is the least that the edge into it gives
         ends = rest.join(base.withColumnRenamed("node", "y"), "y", "left")
@@ -239,7 +336,9 @@ def longest(edges: DataFrame) -> int:
                 raise RuntimeError("a cycle is left")
             at, cleared = tables.put(acyclic(at), "edges"), True
             n = at.count()
-    best = base.agg(F.max("has")).collect()[0][0] or 0
+    known = at.join(base.withColumnRenamed("node", "x"), "x", "left").join(base.select(c("node").alias("y"), c("has").alias("has_y")), "y", "left")
+    left = _finished(known.withColumns({k: F.coalesce(k, long(0)) for k in ("has", "has_y")}), _longest_of, base.select("has"))
+    best = base.select("has").unionByName(left).agg(F.max("has")).collect()[0][0] or 0
     for t, _ in list(tables.at.values()):
         tables.drop(t)
     return best
