@@ -7,7 +7,7 @@ form as written).  Two terms are equal if all of o, ok, dt and lang are.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +65,46 @@ class Graph:
         return self.scan(*predicates).select("s").distinct()
 
 
+class Dataset:
+    """Named graphs.  ``read(predicates, graphs)`` gives quads (a triple and g) of some predicates and graphs, all where
+    none is given; a source that keeps them apart reads those only."""
+
+    def __init__(self, spark: SparkSession, read: Callable[[Sequence[str], Sequence[str] | None], DataFrame]):
+        self.spark, self.read = spark, read
+
+    def graph(self, *names: str) -> Graph:
+        """GRAPH <name>: the triples of one graph, or FROM <a> FROM <b>: their union."""
+        return _Part(self, names)
+
+    def default(self) -> Graph:
+        """The union of all graphs."""
+        return _Part(self, None)
+
+    def each(self, *predicates: str) -> DataFrame:
+        """GRAPH ?g: triples with their graph as a column."""
+        return self.read(predicates, None).filter("g is not null").select(*TRIPLE, "g").distinct()
+
+    def nowhere(self, nodes: DataFrame, *predicates: str) -> DataFrame:
+        """NOT EXISTS { GRAPH ?g { ?s p ?o } }: nodes (column s) that no graph has as a subject of some predicates."""
+        return nodes.join(self.each(*predicates).select("s").distinct(), "s", "left_anti")
+
+
+class _Part(Graph):
+    """The union of some graphs of a dataset, scanned through it."""
+
+    def __init__(self, dataset: Dataset, names: Sequence[str] | None):
+        self.spark, self.dataset, self.names = dataset.spark, dataset, names
+
+    @property
+    def triples(self) -> DataFrame:
+        return self.scan()
+
+    def scan(self, *predicates: str, objects: Sequence[str] | None = None, datatypes: Sequence[str] | None = None) -> DataFrame:
+        # one graph is a set; several may say the same
+        found = narrowed(self.dataset.read(predicates, self.names).select(*TRIPLE), objects, datatypes)
+        return found if self.names is not None and len(self.names) == 1 else found.dropDuplicates(TRIPLE)
+
+
 def narrowed(triples: DataFrame, objects: Sequence[str] | None, datatypes: Sequence[str] | None) -> DataFrame:
     if objects is not None:
         triples = triples.filter((F.col("ok") != LITERAL) & F.col("o").isin(*objects))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..model import TRIPLE, union
+from .contract import reach
 
 c = F.col
 
@@ -68,8 +69,11 @@ def competency(solutions: DataFrame, expect: bool | None = None, min_rows: int =
 
 
 def describe(triples: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The triples of some subjects (column s)."""
-    return triples.join(nodes, "s", "left_semi").select(*TRIPLE)
+    """The concise description of some subjects (column s): their triples, and those of the blank nodes that they lead to
+    through blank nodes."""
+    wanted = nodes.select("s").distinct()
+    hidden = reach(triples.filter("ok = 1").select(c("s").alias("x"), c("o").alias("y")), wanted.select(c("s").alias("x")))
+    return triples.join(wanted.unionByName(hidden.select(c("y").alias("s"))).distinct(), "s", "left_semi").select(*TRIPLE).distinct()
 
 
 def namespaced(triples: DataFrame, doc: str) -> DataFrame:

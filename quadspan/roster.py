@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import vocab as v
 from .functions import terms as fn
-from .model import TRIPLE, Graph
+from .model import TRIPLE, Graph, inline
 from .operators import closure as paths
 from .operators import construct as build
 from .plans import checks as k
@@ -149,7 +149,7 @@ add("algebra_path_inverse", lambda g: paths.inverse(paths.edges(g.scan(EX + "pla
 add("algebra_path_sequence", lambda g: paths.sequence(paths.edges(g.scan(EX + "inNation")), paths.edges(g.scan(EX + "inRegion"))), f"SELECT a.s AS x, b.o AS y FROM T a JOIN T b ON a.o = b.s AND b.p = '{EX}inRegion' WHERE a.p = '{EX}inNation'")
 add("algebra_path_optional", lambda g: paths.optional(paths.edges(g.scan(EX + "regionPeer")), g.typed(EX + "Nation").select(c("s").alias("x"))), f"SELECT s AS x, o AS y FROM T WHERE p = '{EX}regionPeer' UNION SELECT s, s FROM {oracle.typed(EX + 'Nation')}")
 add("algebra_path_negated", lambda g: paths.negated(g.scan(EX + "inNation", EX + "inRegion", EX + "regionPeer"), [EX + "inNation"]), f"SELECT s AS x, o AS y FROM T WHERE p IN ('{EX}inRegion', '{EX}regionPeer')")
-add("algebra_describe", lambda g: build.describe(g.scan(), g.spark.createDataFrame([(EX + "nation-3",)], "s string")), f"SELECT * FROM T WHERE s = '{EX}nation-3'")
+add("algebra_describe", lambda g: build.describe(g.scan(), inline(g.spark, [(EX + "supplier-3",)], "s string")), f"SELECT DISTINCT * FROM T WHERE s = '{EX}supplier-3' OR s IN (SELECT o FROM T WHERE s = '{EX}supplier-3' AND ok = 1)")
 add("algebra_ask", lambda g: build.ask(k.without(g.typed(EX + "Order"), g.having(EX + "placedBy"), "s")), f"SELECT count(*) > 0 AS answer FROM {oracle.typed(EX + 'Order')} WHERE s NOT IN {oracle.having(EX + 'placedBy')}")
 add("competency_ask", lambda g: build.competency(k.without(g.typed(EX + "Order"), g.having(v.LABEL), "s"), expect=False), f"SELECT (count(*) > 0) = false AS passed FROM {oracle.typed(EX + 'Order')} WHERE s NOT IN {oracle.having(v.LABEL)}")
 add("competency_min_rows", lambda g: build.competency(g.typed(EX + "Nation"), min_rows=20), f"SELECT count(*) >= 20 AS passed FROM {oracle.typed(EX + 'Nation')}")

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab as v
-from ..model import BNODE, IRI, LITERAL, TRIPLE_SCHEMA, Graph, from_tuples, narrowed, union
+from ..model import BNODE, IRI, LITERAL, Dataset, Graph, from_tuples, narrowed, union
 
 EX = "http://example.org/shop#"
+#: Names of the tables' graphs.
+GRAPHS = "http://example.org/graph/"
 _X = lambda name: v.XSD + name
 _iri = lambda kind, key: f"concat('{EX}{kind}-', CAST({key} AS STRING))"
 _dec = lambda c: f"CAST(CAST({c} AS DECIMAL(18,2)) AS STRING)"
@@ -110,9 +112,11 @@ class TableGraph(Graph):
             self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         return self._tables[name]
 
-    def scan(self, *predicates: str, objects: Sequence[str] | None = None, datatypes: Sequence[str] | None = None) -> DataFrame:
-        frames = [self.schema.filter(F.col("p").isin(*predicates)) if predicates else self.schema]
-        chosen = [r for r in self.rules if not predicates or r[4] in predicates]
+    def _frames(self, predicates: Sequence[str], objects: Sequence[str] | None = None, datatypes: Sequence[str] | None = None, graphs: Sequence[str] | None = None) -> dict[str, DataFrame]:
+        """The triples of each graph (a table, or the schema) that may have some."""
+        wanted = lambda name: graphs is None or GRAPHS + name in graphs
+        frames = {"schema": self.schema.filter(F.col("p").isin(*predicates)) if predicates else self.schema} if wanted("schema") else {}
+        chosen = [r for r in self.rules if (not predicates or r[4] in predicates) and wanted(r[0])]
         if datatypes is not None:
             chosen = [r for r in chosen if r[7] in datatypes]
         if objects is not None:  # an object that is the same for every row
@@ -127,8 +131,20 @@ class TableGraph(Graph):
                 found = one.select(F.expr(parts[0]).alias("t"))
             else:
                 found = one.select(F.explode(F.expr(f"array({', '.join(parts)})")).alias("t"))
-            frames.append(found.filter("t is not null").select("t.*").filter("s is not null and o is not null"))
-        return narrowed(union(frames), objects, datatypes)
+            frames[table] = found.filter("t is not null").select("t.*").filter("s is not null and o is not null")
+        return frames
+
+    def scan(self, *predicates: str, objects: Sequence[str] | None = None, datatypes: Sequence[str] | None = None) -> DataFrame:
+        return narrowed(union(list(self._frames(predicates, objects, datatypes).values())), objects, datatypes)
+
+    def dataset(self) -> Dataset:
+        """The same triples with a named graph for each table and one for the schema."""
+
+        def read(predicates: Sequence[str], graphs: Sequence[str] | None) -> DataFrame:
+            frames = [t.withColumn("g", F.lit(GRAPHS + name)) for name, t in self._frames(predicates, graphs=graphs).items()]
+            return union(frames) if frames else self.schema.filter("false").withColumn("g", F.lit(None).cast("string"))
+
+        return Dataset(self.spark, read)
 
     @property
     def triples(self) -> DataFrame:
@@ -141,3 +157,50 @@ def sql_view() -> str:
     parts = [f"SELECT {s} AS s, {sk} AS sk, '{p}' AS p, {o} AS o, {ok} AS ok, {q(dt)} AS dt, {lang or 'CAST(NULL AS VARCHAR)'} AS lang FROM {table} WHERE {where} AND ({s}) IS NOT NULL AND ({o}) IS NOT NULL" for table, where, s, sk, p, o, ok, dt, lang in rules(spark=False)]
     parts.append(f"SELECT * FROM (VALUES {literal_rows(ontology())}) AS x(s, sk, p, o, ok, dt, lang)")
     return "T AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")"
+
+
+def sql_quads() -> str:
+    """The same triples with their graph, as a DuckDB CTE named Q."""
+    q = lambda x: f"'{x}'" if x else "CAST(NULL AS VARCHAR)"
+    parts = [f"SELECT {s} AS s, {sk} AS sk, '{p}' AS p, {o} AS o, {ok} AS ok, {q(dt)} AS dt, {lang or 'CAST(NULL AS VARCHAR)'} AS lang, '{GRAPHS}{table}' AS g FROM {table} WHERE {where} AND ({s}) IS NOT NULL AND ({o}) IS NOT NULL" for table, where, s, sk, p, o, ok, dt, lang in rules(spark=False)]
+    parts.append(f"SELECT *, '{GRAPHS}schema' FROM (VALUES {literal_rows(ontology())}) AS x(s, sk, p, o, ok, dt, lang)")
+    return "Q AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")"
+
+
+# --- baskets: the tables as RDF lists -----------------------------------------------------------------------------
+
+ITEMS = EX + "items"
+_NIL = v.RDF + "nil"
+#: (subject, predicate, object, condition) over line items with k, their place in the order, and n, the order's size.
+#: Planted: orders whose list runs in a circle, has no end, a cell without a member, or a cell with two rests.
+_BASKET = [
+    (f"concat('{EX}order-', CAST(l_orderkey AS STRING))", ITEMS, "concat('_:cell-', CAST(l_orderkey AS STRING), '-1')", "k = 1"),
+    ("concat('_:cell-', CAST(l_orderkey AS STRING), '-', CAST(k AS STRING))", v.RDF + "first", f"concat('{EX}part-', CAST(l_partkey AS STRING))", "NOT (l_orderkey % 89 = 0 AND k = 2)"),
+    ("concat('_:cell-', CAST(l_orderkey AS STRING), '-', CAST(k AS STRING))", v.RDF + "rest", f"CASE WHEN k < n THEN concat('_:cell-', CAST(l_orderkey AS STRING), '-', CAST(k + 1 AS STRING)) WHEN l_orderkey % 97 = 0 THEN concat('_:cell-', CAST(l_orderkey AS STRING), '-1') ELSE '{_NIL}' END", "k < n OR l_orderkey % 101 <> 0"),
+    ("concat('_:cell-', CAST(l_orderkey AS STRING), '-', CAST(k AS STRING))", v.RDF + "rest", f"'{_NIL}'", "l_orderkey % 103 = 0 AND k = 1 AND n > 1"),
+]
+#: One list of all parts.
+_CATALOGUE = [
+    ("'_:cat-1'", "", f"'{EX}catalogue'"),
+    ("concat('_:cat-', CAST(p_partkey AS STRING))", v.RDF + "first", f"concat('{EX}part-', CAST(p_partkey AS STRING))"),
+    ("concat('_:cat-', CAST(p_partkey AS STRING))", v.RDF + "rest", f"CASE WHEN p_partkey < most THEN concat('_:cat-', CAST(p_partkey + 1 AS STRING)) ELSE '{_NIL}' END"),
+]
+_PLACED = "SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM {0}"
+_KINDS = "CASE WHEN left(s, 2) = '_:' THEN 1 ELSE 0 END AS sk, p, o, CASE WHEN left(o, 2) = '_:' THEN 1 ELSE 0 END AS ok, CAST(NULL AS STRING) AS dt, CAST(NULL AS STRING) AS lang"
+
+
+def _basket_query(lines: str, parts: str) -> str:
+    rows = [f"SELECT {s} AS s, '{p}' AS p, {o} AS o FROM placed WHERE {where}" for s, p, o, where in _BASKET]
+    rows.append(f"SELECT {_CATALOGUE[0][2]} AS s, '{ITEMS}' AS p, {_CATALOGUE[0][0]} AS o FROM most WHERE most IS NOT NULL")
+    rows += [f"SELECT {s} AS s, '{p}' AS p, {o} AS o FROM {parts} CROSS JOIN most" for s, p, o in _CATALOGUE[1:]]
+    return f"WITH placed AS ({_PLACED.format(lines)}), most AS (SELECT max(p_partkey) AS most FROM {parts}), made AS ({' UNION ALL '.join(rows)}) SELECT DISTINCT s, {_KINDS} FROM made"
+
+
+def baskets(spark: SparkSession, sf_dir: str) -> Graph:
+    """The parts of each order as an RDF list, and a list of all parts: triples of ex:items, rdf:first and rdf:rest."""
+    return Graph(spark.sql(_basket_query("{lines}", "{parts}"), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"), parts=spark.read.parquet(f"{sf_dir}/part.parquet")), distinct=True)
+
+
+def sql_baskets() -> str:
+    """The same triples as a DuckDB CTE named B."""
+    return f"B AS MATERIALIZED ({_basket_query('lineitem', 'part').replace('AS STRING', 'AS VARCHAR')})"

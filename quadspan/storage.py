@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .model import TRIPLE, Graph
+from .model import TRIPLE, Dataset, Graph
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,6 +35,21 @@ def stored(g: Graph) -> Graph:
     return Graph(g.spark.read.schema(g.scan().select(*TRIPLE).schema).parquet(at), distinct=True)
 
 
+def stored_dataset(quads: DataFrame) -> Dataset:
+    """Quads as a table in the shared folder with a folder for each graph and predicate, so that a pattern reads those of
+    its graph and predicate only; each quad is there once.  Quads without a graph are in the default graph."""
+    spark, at = quads.sparkSession, new_path(quads.sparkSession, "dataset")
+    rows = quads.select(*TRIPLE, "g").distinct()
+    rows.repartition("g", "p", F.pmod(F.xxhash64("s"), F.lit(8))).write.partitionBy("g", "p").parquet(at)
+
+    def read(predicates: Sequence[str], graphs: Sequence[str] | None) -> DataFrame:
+        found = spark.read.schema(rows.schema).parquet(at)
+        found = found.filter(F.col("p").isin(*predicates)) if predicates else found
+        return (found.filter(F.col("g").isin(*graphs)) if graphs is not None else found).select(*TRIPLE, "g")
+
+    return Dataset(spark, read)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
