@@ -6,11 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as v
-from ..model import TRIPLE, TRIPLE_SCHEMA, Graph
+from ..functions.terms import shrink
+from ..model import TRIPLE, TRIPLE_SCHEMA, Graph, inline
+from ..storage import Scratch
 
 c, lit = F.col, F.lit
 DEFAULTS = {"language": "en", "version": "1.0.0", "category_class": v.SKOS + "Concept", "ontology": "http://example.org/ontology", "equivalence": "keepEquivalentClass", "mdl_002": "subClassOf"}
@@ -94,13 +96,37 @@ def templates(settings: dict[str, str] | None = None) -> dict[str, Callable[[Gra
     return out
 
 
+def changes(g: Graph, check_id: str, found: DataFrame, settings: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """added and removed triples.  The findings are worked out once, and what a template makes of them is compared with
+    the triples of its own predicates only, by key."""
+    tables = Scratch(g.spark)
+    deletes, inserts = templates(settings)[check_id](g, tables.put(found, "findings"))
+    none = inline(g.spark, [], TRIPLE_SCHEMA)
+    gone, new = (none if x is None else tables.put(x.select(*TRIPLE).distinct(), "changes") for x in (deletes, inserts))
+    before = g.scan_of(new.select("p")).select(*TRIPLE).join(new.select("s").distinct(), "s", "left_semi") if inserts is not None else none
+    added = new.join(_underscored(before), _same(), "left_anti")
+    # what a template deletes comes from the graph itself
+    removed = gone.join(_underscored(new), _same(), "left_anti") if deletes is not None else none
+    return added, removed
+
+
 def repair(g: Graph, check_id: str, found: DataFrame, settings: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """added, removed and resulting triples."""
-    deletes, inserts = templates(settings)[check_id](g, found)
-    # the changes themselves, against the triples of their predicates: the graph isn't compared with its copy
-    none = g.spark.createDataFrame([], TRIPLE_SCHEMA)
-    gone, new = (none if x is None else x.select(*TRIPLE).distinct() for x in (deletes, inserts))
-    before = lambda x: g.scan_of(x.select("p")).select(*TRIPLE)
-    added = new.join(_underscored(before(new)), _same(), "left_anti")
-    removed = gone.join(_underscored(before(gone)), _same(), "left_semi").join(_underscored(new), _same(), "left_anti")
-    return added, removed, update(g, deletes, inserts)
+    added, removed = changes(g, check_id, found, settings)
+    return added, removed, update(g, removed, added)
+
+
+def preview(changed: DataFrame, prefixes: dict[str, str], first: int = 8) -> DataFrame:
+    """side, place, line: the first removed and added triples of each key, as text, and a line with the number of the rest
+    (F49).  changed: a triple, change (added or removed) and any other columns, which are the key.
+
+    Ranks are limited before the shuffle, so a task sends ``first`` rows of a side at most."""
+    key = [n for n in changed.columns if n not in (*TRIPLE, "change")]
+    said = F.when(c("ok") == 2, F.concat(lit('"'), c("o"), lit('"'), F.coalesce(F.concat(lit("@"), c("lang")), lit("")))).otherwise(shrink(c("o"), prefixes))
+    text = F.concat_ws(" ", F.when(c("change") == "added", "+").otherwise("-"), shrink(c("s"), prefixes), shrink(c("p"), prefixes), said)
+    lines = changed.select(*key, c("change").alias("side"), text.alias("line"))
+    counts = lines.groupBy(*key, "side").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*key, "side").orderBy("line"))
+    shown = lines.withColumn("place", place).filter(c("place") <= first).select(*key, "side", "place", "line")
+    rest = counts.groupBy(*key).agg(F.sum(F.greatest(c("n") - first, lit(0))).alias("rest")).filter("rest > 0")
+    return shown.unionByName(rest.select(*key, lit("rest").alias("side"), lit(first + 1).alias("place"), F.concat(lit("and "), c("rest").cast("string"), lit(" more")).alias("line")))

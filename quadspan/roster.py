@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import vocab as v
 from .functions import terms as fn
-from .model import TRIPLE, Graph, inline
+from .model import TRIPLE, Graph, inline, union
 from .operators import closure as paths
 from .operators import construct as build
 from .plans import checks as k
@@ -288,16 +288,14 @@ add("rea_disjoint", lambda g: reasoner.disjoint_members(reasoner.reason(Graph(g.
 add("rea_samediff", lambda g: reasoner.same_and_different(reasoner.reason(Graph(g.scan(v.SAME, v.DIFFERENT), distinct=True))), f"SELECT DISTINCT a.s AS focus_node, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS value FROM T a JOIN T b ON b.p = '{v.SAME}' AND ((a.s = b.s AND a.o = b.o) OR (a.s = b.o AND a.o = b.s)) WHERE a.p = '{v.DIFFERENT}'")
 
 
-def _repair(id: str):
-    def run(g: TableGraph) -> DataFrame:
-        check = {"PRJ-REQUIRED": lambda x: passes.required(x, [(v.CLASS, [v.LABEL])])}.get(id) or k.CHECKS[id].run
-        added, removed, _ = repairs.repair(g, id, check(g))
-        return added.withColumn("change", lit("added")).unionByName(removed.withColumn("change", lit("removed")))
+def repaired(g: Graph, id: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """The changes that a check's repair makes."""
+    check = {"PRJ-REQUIRED": lambda x: passes.required(x, [(v.CLASS, [v.LABEL])])}.get(id) or k.CHECKS[id].run
+    added, removed = repairs.changes(g, id, check(g), settings)
+    return added.withColumn("change", lit("added")).unionByName(removed.withColumn("change", lit("removed")))
 
-    return run
 
-
-def _repair_sql(id: str) -> tuple[str, str]:
+def repair_sql(id: str, alternative: bool = False) -> tuple[str, str]:
     """The changes of a repair as SQL: its body, and the CTEs of findings, insertions and deletions."""
     said = "trim(regexp_replace(regexp_replace(regexp_replace({0}, '^.*[#/]', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_-]+', ' ', 'g'))"
     iri = lambda s, p, o, where="fnd": f"SELECT {s} AS s, 0 AS sk, {p} AS p, {o} AS o, 0 AS ok, CAST(NULL AS VARCHAR) AS dt, CAST(NULL AS VARCHAR) AS lang FROM {where}"
@@ -316,12 +314,12 @@ def _repair_sql(id: str) -> tuple[str, str]:
         "QUA-002": text("focus_node", q(v.VERSION_INFO), "'1.0.0'", None, named("focus_node")),
         "QUA-005": iri("'http://example.org/ontology'", q(v.TYPE), q(v.ONTOLOGY)),
         "QUA-007": iri("focus_node", q(v.VERSION_IRI), "focus_node || '/1.0.0'", named("focus_node")),
-        "MDL-002": iri("s", q(v.SUBCLASS), "o", "del"),
+        "MDL-002": iri("s", q(v.CLOSE_MATCH if alternative else v.SUBCLASS), "o", "del"),
         "MDL-003": iri("s", q(v.TYPE), q(v.SKOS + "Concept"), "del"),
         "STY-003": text("s", q(v.LABEL), "o", "en", "del"),
     }
     deletes = {
-        "LOG-003": gone(v.SUBCLASS),
+        "LOG-003": gone(v.EQUIV_CLASS if alternative else v.SUBCLASS),
         "MDL-001": gone(v.INVERSE),
         "MDL-002": gone(v.EQUIV_CLASS),
         "MDL-003": f"SELECT s, sk, p, o, ok, dt, lang FROM T WHERE p = {TY} AND o = '{v.CLASS}' AND s IN (SELECT focus_node FROM fnd)",
@@ -334,7 +332,39 @@ def _repair_sql(id: str) -> tuple[str, str]:
 
 
 for _id in repairs.templates():
-    add("repair_" + _id.lower().replace("-", "_"), _repair(_id), *_repair_sql(_id))
+    add("repair_" + _id.lower().replace("-", "_"), lambda g, id=_id: repaired(g, id), *repair_sql(_id))
+# the other templates of two repairs
+for _id, _setting in (("LOG-003", {"equivalence": "keepSubClassOf"}), ("MDL-002", {"mdl_002": "closeMatch"})):
+    add("repair_" + _id.lower().replace("-", "_") + "_other", lambda g, id=_id, x=_setting: repaired(g, id, x), *repair_sql(_id, True))
+
+
+def _headless_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QUA-005's repair where no ontology is declared: over the tables without the schema's ontologies."""
+    return repaired(TableGraph(spark, sf_dir, [t for t in rdfview.ontology() if t[2] != v.ONTOLOGY]), "QUA-005")
+
+
+QUERIES["repair_qua_005_headless"] = _headless_repair
+ORACLE["repair_qua_005_headless"] = f"WITH {sql_view()} SELECT 'http://example.org/ontology' AS s, 0 AS sk, {TY} AS p, '{v.ONTOLOGY}' AS o, 0 AS ok, CAST(NULL AS VARCHAR) AS dt, CAST(NULL AS VARCHAR) AS lang, 'added' AS change FROM T WHERE p = {TY} AND o = '{v.ONTOLOGY}' AND NOT starts_with(s, 'http') HAVING count(*) = 0"
+PREFIXES = {"ex": EX, "e": "http://example.org/", "rdfs": v.RDFS, "rdf": v.RDF, "owl": v.OWL, "skos": v.SKOS}
+
+
+def _preview(g: Graph) -> DataFrame:
+    """What all repairs would change, eight lines of each side."""
+    g = stored(g)
+    whole = union([repaired(g, id).withColumn("check_id", lit(id)) for id in repairs.templates()])
+    return repairs.preview(whole, PREFIXES)
+
+
+_shrunk = lambda x: "CASE " + " ".join(f"WHEN starts_with({x}, '{ns}') AND length({x}) > {len(ns)} THEN '{p}:' || substr({x}, {len(ns) + 1})" for p, ns in sorted(PREFIXES.items(), key=lambda i: -len(i[1]))) + f" ELSE {x} END"
+_spoken = f"CASE WHEN ok = 2 THEN '\"' || o || '\"' || coalesce('@' || lang, '') ELSE {_shrunk('o')} END"
+_changed = " UNION ALL ".join(f"SELECT *, '{id}' AS check_id FROM (WITH {repair_sql(id)[1]} {repair_sql(id)[0]})" for id in repairs.templates())
+add(
+    "repair_preview",
+    _preview,
+    """SELECT check_id, side, CAST(place AS INTEGER) AS place, line FROM ranked WHERE place <= 8 UNION ALL
+SELECT check_id, 'rest', 9, 'and ' || CAST(sum(greatest(n - 8, 0)) AS BIGINT) || ' more' FROM (SELECT check_id, side, count(*) AS n FROM ranked GROUP BY ALL) GROUP BY check_id HAVING sum(greatest(n - 8, 0)) > 0""",
+    f"changed AS ({_changed}), ranked AS (SELECT *, row_number() OVER (PARTITION BY check_id, side ORDER BY line) AS place FROM (SELECT check_id, change AS side, CASE WHEN change = 'added' THEN '+ ' ELSE '- ' END || {_shrunk('s')} || ' ' || {_shrunk('p')} || ' ' || {_spoken} AS line FROM changed))",
+)
 
 
 def _triplify(g: TableGraph) -> DataFrame:
