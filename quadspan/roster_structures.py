@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as v
+from .model import inline
 from .operators import closure as paths
 from .operators import construct as build
 from .operators import lists
 from .operators.contract import reach
+from .plans import shape_table
 from .roster import ORACLE, QUERIES, add, so
 from .sources.rdfview import EX, GRAPHS, ITEMS, TableGraph, baskets, sql_baskets, sql_quads
 from .storage import stored_dataset
@@ -121,3 +123,55 @@ def _reachable(g) -> DataFrame:
 
 
 add("path_from_sources", _reachable, "SELECT x, y, min(hops) AS hops FROM b GROUP BY x, y", f"e AS (SELECT DISTINCT s AS x, o AS y FROM T WHERE p IN ('{EX}inNation', '{EX}inRegion', '{EX}regionPeer')), b AS (SELECT e.x, e.y, CAST(1 AS BIGINT) AS hops FROM e WHERE x IN (SELECT s FROM T WHERE p = '{v.TYPE}' AND o = '{EX}Customer' AND s LIKE '%5') UNION SELECT b.x, e.y, hops + 1 FROM b JOIN e ON e.x = b.y WHERE hops < 12)")
+
+# --- 2.10 user shapes ----------------------------------------------------------------------------------------------
+
+#: shape, target_kind, target, grp, path, kind, value, negate
+SHAPE_ROWS = [
+    ("Customer", "class", EX + "Party", None, EX + "inNation", "minCount", "1", False),
+    ("Customer", "class", EX + "Party", None, EX + "inNation", "class", EX + "Nation", False),
+    ("Customer", "class", EX + "Party", None, EX + "accountBalance", "minInclusive", "0", False),
+    ("Customer", "class", EX + "Party", None, EX + "accountBalance", "datatype", v.XSD + "decimal", False),
+    ("Buyer", "subjects", EX + "hasOrder", None, EX + "hasOrder", "maxCount", "12", False),
+    ("Buyer", "subjects", EX + "hasOrder", "a", EX + "segment", "in", "BUILDING|MACHINERY", False),
+    ("Buyer", "subjects", EX + "hasOrder", "a", EX + "accountBalance", "maxInclusive", "5000", False),
+    ("Buyer", "subjects", EX + "hasOrder", None, EX + "hasOrder", "qualifiedMin", "3 " + EX + "Order", False),
+    ("Buyer", "subjects", EX + "hasOrder", None, v.LABEL, "languageIn", "en|de", False),
+    ("Order", "class", EX + "Order", None, EX + "orderDay", "pattern", "^1992", True),
+    ("Order", "class", EX + "Order", None, EX + "placedBy", "nodeKind", "0", False),
+    ("Order", "class", EX + "Order", None, EX + "legacyPriority", "hasValue", "1-URGENT", True),
+    ("Peer", "objects", EX + "regionPeer", None, EX + "regionPeer", "disjoint", EX + "inRegion", False),
+    ("Peer", "objects", EX + "regionPeer", None, v.LABEL, "minLength", "6", False),
+    ("Peer", "objects", EX + "regionPeer", None, None, "closed", v.LABEL + "|" + EX + "inRegion", False),
+    ("Part", "class", EX + "Part", None, EX + "selfRef", "equals", EX + "relatedPart", False),
+    ("One", "node", EX + "nation-3", None, EX + "inRegion", "qualifiedMax", "0 " + EX + "Region", False),
+    ("One", "node", EX + "nation-3", None, v.LABEL, "maxLength", "5", False),
+]
+
+
+def _shape_table(g) -> DataFrame:
+    return shape_table.validate(g, inline(g.spark, SHAPE_ROWS, shape_table.SHAPE))
+
+
+def _quoted(x) -> str:
+    return "CAST(NULL AS VARCHAR)" if x is None else str(x).lower() if isinstance(x, bool) else "'" + x + "'"
+
+
+_fit = "CASE kind WHEN 'datatype' THEN dt IS NOT DISTINCT FROM value WHEN 'nodeKind' THEN CAST(ok AS VARCHAR) = value WHEN 'pattern' THEN regexp_matches(o, value) WHEN 'in' THEN list_contains(string_split(value, '|'), o) WHEN 'minLength' THEN length(o) >= try_cast(value AS INT) WHEN 'maxLength' THEN length(o) <= try_cast(value AS INT) WHEN 'minInclusive' THEN coalesce(try_cast(o AS DECIMAL(24,6)) >= try_cast(value AS DECIMAL(24,6)), false) WHEN 'maxInclusive' THEN coalesce(try_cast(o AS DECIMAL(24,6)) <= try_cast(value AS DECIMAL(24,6)), false) WHEN 'languageIn' THEN coalesce(list_contains(string_split(value, '|'), lang), false) WHEN 'hasValue' THEN o = value WHEN 'equals' THEN also WHEN 'disjoint' THEN NOT also ELSE is_a END"
+_shape_ctes = f"""R AS (SELECT *, row_number() OVER () AS id, CASE WHEN kind = 'class' THEN value WHEN starts_with(kind, 'qualified') THEN string_split(value, ' ')[2] END AS needs FROM (VALUES {', '.join('(' + ', '.join(map(_quoted, r)) + ')' for r in SHAPE_ROWS)}) x(shape, target_kind, target, grp, path, kind, value, negate)),
+sc AS (SELECT DISTINCT s AS x, o AS y FROM T WHERE p = '{v.SUBCLASS}' UNION SELECT sc.x, T.o FROM sc JOIN T ON T.s = sc.y AND T.p = '{v.SUBCLASS}'),
+inst AS (SELECT DISTINCT s, o AS cls FROM T WHERE p = '{v.TYPE}' UNION SELECT s, sc.y FROM T JOIN sc ON T.o = sc.x WHERE p = '{v.TYPE}'),
+tg AS (SELECT DISTINCT shape, inst.s FROM R JOIN inst ON target_kind = 'class' AND inst.cls = target UNION SELECT shape, s FROM R JOIN T ON target_kind = 'subjects' AND T.p = target UNION SELECT shape, o FROM R JOIN T ON target_kind = 'objects' AND T.p = target WHERE ok <> 2 UNION SELECT shape, target FROM R WHERE target_kind = 'node'),
+D AS (SELECT DISTINCT * FROM T), cmp AS (SELECT DISTINCT s, p, o, ok FROM D WHERE p IN (SELECT value FROM R WHERE kind IN ('equals', 'disjoint'))), tn AS (SELECT DISTINCT s, cls FROM inst WHERE cls IN (SELECT needs FROM R)),
+j AS (SELECT tg.shape, tg.s, id, grp, path, kind, value, negate, D.o, D.ok, D.dt, D.lang, coalesce(tn.s IS NOT NULL AND D.ok <> 2, false) AS is_a, cmp.s IS NOT NULL AS also
+FROM tg JOIN R ON R.shape = tg.shape AND kind <> 'closed' LEFT JOIN D ON D.s = tg.s AND D.p = path LEFT JOIN tn ON tn.s = D.o AND tn.cls = needs LEFT JOIN cmp ON cmp.s = tg.s AND cmp.p = value AND cmp.o = D.o AND cmp.ok = D.ok),
+n AS (SELECT shape, s, id, grp, path, kind, value, negate, count(o) AS n, count(*) FILTER ({_fit}) AS good FROM j GROUP BY ALL),
+h AS (SELECT *, CASE kind WHEN 'minCount' THEN n >= k WHEN 'maxCount' THEN n <= k WHEN 'qualifiedMin' THEN good >= k WHEN 'qualifiedMax' THEN good <= k WHEN 'hasValue' THEN good > 0 WHEN 'equals' THEN good = n AND n = (SELECT count(*) FROM D WHERE D.s = m.s AND D.p = m.value) ELSE good = n END AS ok FROM (SELECT *, try_cast(string_split(value, ' ')[1] AS BIGINT) AS k FROM n) m),
+al AS (SELECT shape, unnest(string_split(value, '|')) AS p FROM R WHERE kind = 'closed' UNION SELECT shape, path FROM R WHERE shape IN (SELECT shape FROM R WHERE kind = 'closed') AND path IS NOT NULL UNION SELECT shape, '{v.TYPE}' FROM R)"""
+add(
+    "shape_table",
+    _shape_table,
+    """SELECT shape, s AS focus_node, min(path) AS path, string_agg(DISTINCT kind, '|' ORDER BY kind) AS broken, min(n) AS values FROM h GROUP BY shape, s, coalesce(grp, CAST(id AS VARCHAR)) HAVING NOT bool_or(ok <> negate)
+UNION ALL SELECT tg.shape, tg.s, D.p, 'closed', count(*) FROM tg JOIN D ON D.s = tg.s WHERE tg.shape IN (SELECT shape FROM R WHERE kind = 'closed') AND NOT EXISTS (SELECT 1 FROM al WHERE al.shape = tg.shape AND al.p = D.p) GROUP BY tg.shape, tg.s, D.p""",
+    _shape_ctes,
+)
