@@ -204,19 +204,36 @@ for _name, _col, _sql in (
 def _quads(g: TableGraph) -> DataFrame:
     """The whole graph with positions, for the order-dependent term model: the schema as written, then the tables' triples,
     which have no order of their own, by subject and term."""
-    rows = [(k_, *r) for k_, r in enumerate(g.schema.collect())]  # inline triples: a fixed few hundred
-    schema = g.spark.createDataFrame(rows, "seq long, s string, sk int, p string, o string, ok int, dt string, lang string")
+    places = [(k_, *r[:3]) for k_, r in enumerate(rdfview.ontology())]  # a fixed few hundred, in the program
+    at = inline(g.spark, [(*x[1:], x[0]) for x in places], "s string, p string, o string, seq long").groupBy("s", "p", "o").agg(F.min("seq").alias("seq"))
+    schema = g.schema.join(F.broadcast(at), ["s", "p", "o"])
     rest = Graph(g.scan()).scan().join(F.broadcast(g.schema.select("s").distinct()), "s", "left_anti")
-    at = F.row_number().over(Window.partitionBy("s").orderBy("p", "o", "ok", "dt", "lang")) + len(rows)
-    return schema.unionByName(rest.withColumn("seq", at.cast("long")).select("seq", *TRIPLE))
+    place = F.row_number().over(Window.partitionBy("s").orderBy("p", "o", "ok", "dt", "lang")) + len(places)
+    return schema.select("seq", *TRIPLE).unionByName(rest.withColumn("seq", place.cast("long")).select("seq", *TRIPLE))
 
 
-def _terms(g: TableGraph) -> DataFrame:
-    m = passes.term_model(_quads(g), strict_order=False)
+def _terms(g: TableGraph, strict: bool = True) -> DataFrame:
+    m = passes.term_model(_quads(g), strict_order=strict)
     return m.select("iri", "label", *(F.array_join(x, "|").alias(x) for x in ("kinds", "domain", "range", "sub_class_of", "inverse_of")), "has_own_structure")
 
 
-add("term_model", _terms)
+_seq = ", ".join(f"({k_}, {row})" for k_, row in enumerate(f"'{r[0]}', '{r[1]}', '{r[2].replace(chr(39), chr(39) * 2)}'" for r in rdfview.ontology()))
+_ordered = f"""sq AS (SELECT s, p, o, min(seq) AS seq FROM (VALUES {_seq}) x(seq, s, p, o) GROUP BY s, p, o),
+qs AS (SELECT DISTINCT T.*, CASE WHEN sq.seq IS NOT NULL THEN sq.seq END AS seq FROM T JOIN sq USING (s, p, o) UNION ALL SELECT *, {len(rdfview.ontology())} + row_number() OVER (PARTITION BY s ORDER BY p NULLS FIRST, o NULLS FIRST, ok NULLS FIRST, dt NULLS FIRST, lang NULLS FIRST) FROM (SELECT DISTINCT * FROM T WHERE s NOT IN (SELECT s FROM sq))),
+q1 AS (SELECT *, min(seq) FILTER (p = {TY}) OVER (PARTITION BY s) AS first FROM qs WHERE sk = 0)"""
+_kind_sql = f"CASE WHEN p = {TY} AND o <> '{v.ONTOLOGY}' THEN CASE " + " ".join(f"WHEN o = '{k_}' THEN '{n_}'" for k_, n_ in passes.KINDS.items()) + " ELSE 'individual' END END"
+_plain = ", ".join(map(repr, (v.TYPE, v.LABEL, v.PREF_LABEL, v.COMMENT, v.DEFINITION, v.DOMAIN, v.RANGE, v.INVERSE, v.SEE_ALSO, v.DEFINED_BY, v.VERSION_INFO)))
+_said = lambda p: f"coalesce(string_agg(o, '|' ORDER BY o) FILTER (p = '{p}' AND ok = 0), '')"
+
+
+def _terms_sql(strict: bool) -> str:
+    return f"""SELECT s AS iri, coalesce(arg_max(o, seq) FILTER (p = '{v.LABEL}'), arg_max(o, seq) FILTER (p = '{v.PREF_LABEL}')) AS label, coalesce(string_agg({_kind_sql}, '|' ORDER BY {_kind_sql}), '') AS kinds,
+{_said(v.DOMAIN)} AS domain, {_said(v.RANGE)} AS range, {_said(v.SUBCLASS)} AS sub_class_of, {_said(v.INVERSE)} AS inverse_of,
+coalesce(bool_or((p IN ('{v.SUBCLASS}', '{v.EQUIV_CLASS}') AND ok = 1) OR p NOT IN ({_plain}, '{v.SUBCLASS}', '{v.SUBPROP}', '{v.EQUIV_CLASS}')), false) AS has_own_structure FROM q1 WHERE first IS NOT NULL {f"AND (p = {TY} OR seq > first)" if strict else ""} GROUP BY s"""
+
+
+add("term_model", _terms, _terms_sql(True), _ordered)
+add("term_model_unordered", lambda g: _terms(g, False), _terms_sql(False), _ordered)
 _named_types = f"k AS (SELECT DISTINCT s, CASE o WHEN '{v.CLASS}' THEN 'c' WHEN '{v.OBJ_PROP}' THEN 'o' WHEN '{v.DATA_PROP}' THEN 'd' WHEN '{v.ANN_PROP}' THEN 'a' WHEN '{v.ONTOLOGY}' THEN '-' ELSE 'i' END AS k FROM T WHERE p = {TY} AND sk = 0 AND ok = 0)"
 _longest = f"e AS (SELECT DISTINCT s AS x, o AS y FROM T WHERE p = '{v.SUBCLASS}' AND sk = 0 AND ok = 0 AND s <> o), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), a AS (SELECT x, y FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.x = e.y AND r.y = e.x)), d AS (SELECT x, y, CAST(1 AS BIGINT) AS n FROM a UNION SELECT d.x, a.y, d.n + 1 FROM d JOIN a ON d.y = a.x)"
 _metrics_sql = f"""SELECT *, round(CASE WHEN classes > 0 THEN edges / classes ELSE 0 END, 2) AS inheritance, round(CASE WHEN object_properties + edges > 0 THEN object_properties / (object_properties + edges) ELSE 0 END, 2) AS relationship, round(CASE WHEN classes > 0 THEN datatype_properties / classes ELSE 0 END, 2) AS attribute

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as v
-from .model import inline
+from .model import Graph, inline
 from .operators import closure as paths
 from .operators import construct as build
 from .operators import lists
 from .operators.contract import reach
-from .plans import shape_table
+from .plans import occurrences, oracle, recheck, shape_table
+from .plans.checks import CHECKS
 from .roster import ORACLE, QUERIES, add, so
-from .sources.rdfview import EX, GRAPHS, ITEMS, TableGraph, baskets, sql_baskets, sql_quads
-from .storage import stored_dataset
+from .sources import ntriples
+from .sources.rdfview import EX, GRAPHS, ITEMS, TableGraph, baskets, sql_baskets, sql_quads, sql_view
+from .storage import new_path, stored, stored_dataset
 
 c, lit = F.col, F.lit
 
@@ -175,3 +177,71 @@ add(
 UNION ALL SELECT tg.shape, tg.s, D.p, 'closed', count(*) FROM tg JOIN D ON D.s = tg.s WHERE tg.shape IN (SELECT shape FROM R WHERE kind = 'closed') AND NOT EXISTS (SELECT 1 FROM al WHERE al.shape = tg.shape AND al.p = D.p) GROUP BY tg.shape, tg.s, D.p""",
     _shape_ctes,
 )
+
+# --- F32 occurrences, F33 re-check, S3/S4/K1 round trip -------------------------------------------------------------
+
+_WORD = "([A-Za-z][A-Za-z0-9_-]*)"
+
+
+def _occurrences(spark, sf_dir: str) -> DataFrame:
+    """Every word of a document as a name of its language; a seventh of the documents don't declare that prefix."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang is not null")
+    texts = docs.select(c("doc_id").alias("doc"), F.regexp_replace("text", lit(_WORD), F.concat("lang", lit(":$1"))).alias("text"))
+    ns = F.concat(lit("http://example.org/word/"), "lang", lit("/"))
+    prefixes = docs.filter("doc_id % 7 <> 0").select(c("doc_id").alias("doc"), c("lang").alias("prefix"), ns.alias("ns"))
+    declared = docs.select(c("doc_id").alias("doc"), F.concat(ns, F.regexp_extract("text", "^" + _WORD, 1)).alias("iri"))
+    found = occurrences.occurrences(texts, prefixes, declared)
+    return found.groupBy("iri").agg(F.count("*").alias("postings"), F.count_distinct("doc").alias("docs"), F.count_if("declares").alias("declares"), F.sum("line").alias("lines"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+QUERIES["occurrence_index"] = _occurrences
+ORACLE["occurrence_index"] = rf"""
+WITH d AS (SELECT doc_id AS doc, lang, text AS plain, regexp_replace(text, '{_WORD}', lang || ':\1', 'g') AS text FROM documents WHERE lang IS NOT NULL),
+l AS (SELECT doc, lang, plain, unnest(string_split_regex(text, '\r?\n')) AS said, unnest(range(len(string_split_regex(text, '\r?\n')))) AS line FROM d),
+m AS (SELECT doc, lang, plain, line, length(regexp_extract(said, '^\s*')) AS indent, regexp_extract_all(said, '{occurrences.NAME}') AS w, regexp_extract_all(said, '{occurrences.NAME}', 1) AS a, regexp_extract_all(said, '{occurrences.NAME}', 2) AS b, regexp_extract_all(said, '{occurrences.NAME}', 3) AS c, string_split_regex(said, '{occurrences.NAME}') AS g FROM l WHERE NOT starts_with(ltrim(said), '#')),
+x AS (SELECT doc, lang, plain, line, indent, unnest(range(len(w))) AS k, unnest(w) AS w, unnest(a) AS a, unnest(b) AS b, unnest(c) AS c, unnest(g[1:len(w)]) AS g FROM m WHERE len(w) > 0),
+y AS (SELECT *, sum(length(g) + length(w)) OVER (PARTITION BY doc, line ORDER BY k) AS e FROM x),
+p AS (SELECT 'http://example.org/word/' || lang || '/' || c AS iri, doc, line, e - length(w) + length(a) AS s, e, indent, 'http://example.org/word/' || lang || '/' || regexp_extract(plain, '^{_WORD}', 1) AS own FROM y WHERE b = lang AND doc % 7 <> 0)
+SELECT iri, count(*) AS postings, count(DISTINCT doc) AS docs, count(*) FILTER (s = indent AND iri = own) AS declares, CAST(sum(line) AS BIGINT) AS lines, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM p GROUP BY iri
+"""
+
+
+class _Unlabelled(Graph):
+    """The tables' graph without its labels that have no language."""
+
+    def __init__(self, inner: Graph):
+        self.spark, self.inner = inner.spark, inner
+
+    @property
+    def triples(self) -> DataFrame:
+        return self.scan()
+
+    def scan(self, *predicates, objects=None, datatypes=None) -> DataFrame:
+        return self.inner.scan(*predicates, objects=objects, datatypes=datatypes).filter(~((c("p") == v.LABEL) & c("lang").isNull()))
+
+
+RECHECKED = {"STY-003": True, "QUA-001": True, "STR-005": False, "LOG-002": False, "LOG-003": False, "REA-002": False, "STY-002": False}
+
+
+def _recheck(spark, sf_dir: str) -> DataFrame:
+    """Checks over the tables, then again with some labels gone: those that read labels run, the others' findings stay."""
+    g = stored(TableGraph(spark, sf_dir))
+    ledger = recheck.Ledger(spark, {id: CHECKS[id].run for id in RECHECKED})
+    ledger.run(g)
+    return ledger.run(_Unlabelled(g))
+
+
+QUERIES["recheck_changed"] = _recheck
+ORACLE["recheck_changed"] = f"WITH RECURSIVE {'T0' + sql_view()[1:]}, T AS (SELECT * FROM T0 WHERE NOT (p = '{v.LABEL}' AND lang IS NULL)) " + " UNION ALL ".join(f"SELECT DISTINCT '{id}' AS check_id, focus_node, CAST(path AS VARCHAR) AS path, coalesce(CAST(value AS VARCHAR), focus_node) AS value, {str(ran).lower()} AS ran FROM ({(f'WITH {oracle.BODIES[id][0]} ' if oracle.BODIES[id][0] else '') + oracle.BODIES[id][1]})" for id, ran in RECHECKED.items())
+
+
+def _round_trip(d) -> DataFrame:
+    """All quads of the tables, written as N-Quads and read back with their places."""
+    at = new_path(d.spark, "quads")
+    ntriples.write(d.each(), at)
+    back = ntriples.read_quads(d.spark, at)
+    places = back.select("doc", "seq").distinct().groupBy().agg(F.count("*").alias("places"))
+    return back.groupBy("g", "p").agg(F.count("*").alias("n"), F.count_distinct("s", "sk").alias("subjects"), F.count_distinct("o", "ok", F.coalesce("dt", lit("")), F.coalesce("lang", lit(""))).alias("objects")).crossJoin(places)  # one row
+
+
+add_quads("nquads_round_trip", _round_trip, "SELECT g, p, count(*) AS n, count(DISTINCT (s, sk)) AS subjects, count(DISTINCT (o, ok, coalesce(dt, ''), coalesce(lang, ''))) AS objects, (SELECT count(*) FROM (SELECT DISTINCT * FROM Q)) AS places FROM (SELECT DISTINCT * FROM Q) GROUP BY g, p")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -35,21 +35,64 @@ def _kind(x: Column) -> Column:
     return F.when(x.startswith("<"), 0).when(x.startswith("_:"), 1).otherwise(2)
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """s, sk, p, o, ok, dt, lang, g of N-Triples or N-Quads lines; other lines are left out (see ``bad_lines``)."""
+def parse_lines(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """s, sk, p, o, ok, dt, lang, g of N-Triples or N-Quads lines, after the columns to keep; other lines are left out (see
+    ``bad_lines``)."""
     part = lambda k: F.regexp_extract(column, LINE, k)
-    rows = lines.filter(c(column).rlike(LINE)).select(part(1).alias("_s"), part(2).alias("_p"), part(3).alias("_o"), part(4).alias("_g"))
+    rows = lines.filter(c(column).rlike(LINE)).select(*keep, part(1).alias("_s"), part(2).alias("_p"), part(3).alias("_o"), part(4).alias("_g"))
     tag, kind = F.regexp_extract("_o", "\"@([A-Za-z0-9-]+)$", 1), F.regexp_extract("_o", "\"\\^\\^<([^>]*)>$", 1)
     lang = F.when((c("ok") == 2) & (tag != ""), tag)
     dt = F.when(c("ok") == 2, F.when(tag != "", "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString").when(kind != "", kind).otherwise("http://www.w3.org/2001/XMLSchema#string"))
     rows = rows.withColumn("ok", _kind(c("_o")))
-    return rows.select(_value(c("_s")).alias("s"), _kind(c("_s")).alias("sk"), _value(c("_p")).alias("p"), _value(c("_o")).alias("o"), "ok", dt.alias("dt"), lang.alias("lang"), F.when(c("_g") != "", _value(c("_g"))).alias("g"))
+    return rows.select(*keep, _value(c("_s")).alias("s"), _kind(c("_s")).alias("sk"), _value(c("_p")).alias("p"), _value(c("_o")).alias("o"), "ok", dt.alias("dt"), lang.alias("lang"), F.when(c("_g") != "", _value(c("_g"))).alias("g"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.read.text(path))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, doc (the file) and seq (the line's number in it, from 0) of text files.
+
+    Files are read in splits.  Within one the lines come in their order; the lines of the splits before it, a row for each
+    split, are added up by file."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = raw.groupBy("doc", "_block").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("doc").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return raw.join(blocks.select("doc", "_block", "_least", before.alias("_before")), ["doc", "_block"]).select("value", "doc", (F.col("_id") - F.col("_least") + F.col("_before")).alias("seq"))
+
+
+def read_quads(spark: SparkSession, path: str) -> DataFrame:
+    """doc, seq, a triple and g: N-Triples or N-Quads files with the place of each statement."""
+    return parse_lines(numbered_lines(spark, path), keep=("doc", "seq"))
+
+
+def file_format(path: str | Column, head: Column | None = None) -> Column:
+    """The format of a document by its name, else by how it begins."""
+    name = F.lower(path if isinstance(path, Column) else F.lit(path))
+    out = None
+    for suffix, kind in SUFFIXES.items():
+        test = name.endswith(suffix)
+        out = F.when(test, kind) if out is None else out.when(test, kind)
+    if head is None:
+        return out
+    start = F.ltrim(head)
+    return F.coalesce(out, F.when(start.rlike("^<\\?xml|^<rdf:RDF"), "rdfxml").when(start.startswith("{") | start.startswith("["), "jsonld").when(start.rlike("(?i)^(@prefix|@base|prefix|base)\\b"), "turtle").when(start.rlike("^(<[^>]*>|_:\\S+)\\s+<[^>]*>\\s"), "ntriples"))
+
+
+#: Suffixes of document names.
+SUFFIXES = {
+    ".ttl": "turtle",
+    ".trig": "trig",
+    ".nt": "ntriples",
+    ".nq": "nquads",
+    ".n3": "n3",
+    ".jsonld": "jsonld",
+    ".rdf": "rdfxml",
+    ".owl": "rdfxml",
+}
+
+
 def bad_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.filter(~c(column).rlike(LINE) & ~c(column).rlike("^\\s*(#.*)?$"))
 
