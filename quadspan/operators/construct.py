@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..model import TRIPLE, union
+from ..model import TRIPLE
 from .contract import reach
 
 c = F.col
@@ -36,18 +36,21 @@ def blank(*key: Column) -> Column:
 def compatible_join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """Join of solutions where null is unbound and fits anything; the bound value wins.  b is inline data (VALUES).
 
-    Rows are split by which of the variables they bind, so that what both sides bind is an equi-join; only where they
-    bind no variable in common every pair fits."""
+    Which of the variables b's rows bind is read from it (at most two to the power of their number).  A row of a is dealt
+    once to each of these patterns, a row of b to each pattern that rows of a can have, and both sides meet in one equi-join
+    on the patterns and what both bind."""
     right = b.select(*(c(x).alias(f"_r_{x}") if x in on else c(x) for x in b.columns))
-    patterns = [[x for k, x in enumerate(on) if mask >> k & 1] for mask in range(1 << len(on))]
-    bound = lambda df, names, prefix: df.filter(reduce(lambda p, q: p & q, (c(prefix + x).isNotNull() if x in names else c(prefix + x).isNull() for x in on), F.lit(True)))
-    parts = []
-    for left_names in patterns:
-        for right_names in patterns:
-            x, y = bound(a, left_names, ""), bound(right, right_names, "_r_")
-            both = [n for n in left_names if n in right_names]
-            parts.append(x.join(y, reduce(lambda p, q: p & q, (c(n) == c(f"_r_{n}") for n in both))) if both else x.crossJoin(y))
-    return union(parts).withColumns({x: F.coalesce(c(x), c(f"_r_{x}")) for x in on}).drop(*(f"_r_{x}" for x in on))
+    bits = lambda prefix: reduce(lambda p, q: p + q, (F.when(c(prefix + x).isNotNull(), 1 << k).otherwise(0) for k, x in enumerate(on)), F.lit(0))
+    patterns = [r[0] for r in right.select(bits("_r_").alias("m")).distinct().collect()]
+    keys = lambda prefix: [F.when(c("_m").bitwiseAND(c("_n")).bitwiseAND(F.lit(1 << k)) != 0, c(prefix + x)).alias(f"_k_{x}") for k, x in enumerate(on)]
+    left = a.withColumn("_m", bits("")).withColumn("_n", F.explode(F.array(*map(F.lit, patterns)) if patterns else F.array().cast("array<int>")))
+    left = left.select(*a.columns, "_m", "_n", *keys(""))
+    given = right.withColumn("_n", bits("_r_")).withColumn("_m", F.explode(F.array(*map(F.lit, range(1 << len(on))))))
+    given = given.select(*right.columns, "_m", "_n", *keys("_r_"))
+    names = [f"_k_{x}" for x in on]
+    met = left.alias("l").join(given.alias("r"), reduce(lambda p, q: p & q, (c(f"l.{n}").eqNullSafe(c(f"r.{n}")) for n in ("_m", "_n", *names))))
+    rest = [x for x in right.columns if not x.startswith("_r_")]
+    return met.select(*(F.coalesce(c(f"l.{x}"), c(f"r._r_{x}")).alias(x) if x in on else c(f"l.{x}") for x in a.columns), *(c(f"r.{x}") for x in rest))
 
 
 def minus(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def namespaced(triples: DataFrame, doc: str) -> DataFrame:
     return triples.withColumns({"s": mark("s", "sk"), "o": mark("o", "ok")})
 
 
-def template_of(names: dict[str, str], subject: Column, cls: str, columns: dict[str, str]) -> list[tuple]:
+def template_of(subject: Column, cls: str, columns: dict[str, str]) -> list[tuple]:
     """The direct mapping of a table's row: its type, and a literal for each column (column: predicate)."""
     rdf_type = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
-    return [(subject, rdf_type, terms.iri(F.lit(cls))), *((subject, p, terms.literal(F.col(x).cast("string"))) for x, p in columns.items())]
+    return [(subject, rdf_type, terms.iri(F.lit(cls))), *((subject, p, terms.literal(F.nullif(F.col(x).cast("string"), F.lit("")))) for x, p in columns.items())]

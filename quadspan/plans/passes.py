@@ -204,6 +204,21 @@ def metrics(g: Graph) -> DataFrame:
     return out.withColumns({"inheritance": ratio(c("edges"), c("classes")), "relationship": ratio(c("object_properties"), c("object_properties") + c("edges")), "attribute": ratio(c("datatype_properties"), c("classes"))})
 
 
+#: Columns of the metrics with their titles in reports.
+METRIC_TITLES = {
+    "classes": "Classes",
+    "object_properties": "Object properties",
+    "datatype_properties": "Datatype properties",
+    "annotation_properties": "Annotation properties",
+    "individuals": "Individuals",
+    "axioms": "Triples",
+    "edges": "Subclass edges",
+    "max_depth": "Deepest class",
+    "missing_label": "Classes without a label",
+    "missing_definition": "Classes without a definition",
+}
+
+
 def expressivity(g: Graph) -> DataFrame:
     """Which constructs occur, the name of the logic, and membership in the profiles: one pass."""
     some = lambda x: F.coalesce(F.bool_or(x), lit(False))
@@ -256,6 +271,16 @@ def hierarchy(g: Graph, kind: str = v.CLASS, link: str = v.SUBCLASS) -> DataFram
     return roots.unionByName(up.select(c("y").alias("parent"), c("x").alias("child"))).groupBy("parent").agg(F.array_join(F.array_sort(F.collect_list("child")), "|").alias("children"))
 
 
+def hierarchy_rows(g: Graph, kind: str = v.CLASS, link: str = v.SUBCLASS) -> DataFrame:
+    """parent, child, place: each named term of a kind below its parents of that kind, in the order of labels; parent is
+    null for the roots."""
+    terms = g.typed(kind).filter("not startswith(s, '_:')")
+    up = within(within(edges(g.scan(link)).filter("x <> y"), terms, "x"), terms, "y").distinct()
+    named = within(g.scan(v.LABEL), terms, "s").groupBy("s").agg(F.max("o").alias("name"))
+    out = terms.join(up.withColumnRenamed("x", "s"), "s", "left").join(named, "s", "left").select(c("y").alias("parent"), c("s").alias("child"), F.coalesce("name", "s").alias("name"))
+    return out.select("parent", "child", F.row_number().over(Window.partitionBy("parent").orderBy("name", "child")).alias("place"))
+
+
 def neighbourhood(g: Graph, seeds: DataFrame, depth: int = 3, hidden: tuple[str, ...] = (v.TYPE, v.LABEL, v.COMMENT, v.DEFINED_BY)) -> DataFrame:
     """node, hops: nodes within ``depth`` links (either way) of the seeds (column node)."""
     e = edges(g.scan().filter(~c("p").isin(*hidden)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 c, lit = F.col, F.lit
@@ -27,14 +27,15 @@ def read_csv(spark: SparkSession, path: str, rows: int | None = None) -> DataFra
 
 
 def profile(table: DataFrame) -> DataFrame:
-    """One row for each column: kind, distinct values (sorted, the first 12, if few), whether it may be a key, and how
-    many cells are filled.  Two aggregations over unpivoted cells, whatever the number of columns."""
+    """One row for each column: kind, distinct values (sorted, the first 12), whether it may be a key, and how many cells
+    are filled.  One aggregation of unpivoted cells, whatever the number of columns; ranks are limited before they are
+    shuffled."""
     cells = table.select(F.explode(F.array(*(F.struct(lit(k).alias("position"), lit(n).alias("column"), c(f"`{n}`").cast("string").alias("cell")) for k, n in enumerate(table.columns)))).alias("x")).select("x.*").filter("cell is not null and cell <> ''")
     values = cells.groupBy("position", "column", "cell").agg(F.count("*").alias("n"))
     flags = {name: F.bool_and(c("cell").rlike(p)).alias(name) for name, p in _KINDS}
     one = values.groupBy("position", "column").agg(F.sum("n").alias("filled"), F.count("*").alias("different"), *flags.values())
-    few = one.filter(c("different") <= FEW).select("position")
-    samples = values.join(few, "position", "left_semi").groupBy("position").agg(F.array_join(F.array_sort(F.collect_list("cell")), "|").alias("samples"))
+    place = F.row_number().over(Window.partitionBy("position").orderBy("cell"))
+    samples = values.withColumn("place", place).filter(c("place") <= FEW).groupBy("position").agg(F.array_join(F.array_sort(F.collect_list("cell")), "|").alias("samples"))
     kind = F.when((c("different") <= FEW) & (c("different") < c("filled")) & (c("filled") > 1), "enum")
     for name, _ in _KINDS:
         kind = kind.when(c(name), name)

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as v
-from .model import Graph, inline
+from .functions import terms
+from .model import Graph, inline, union
 from .operators import closure as paths
 from .operators import construct as build
 from .operators import lists
 from .operators.contract import reach
-from .plans import occurrences, oracle, recheck, shape_table
+from .plans import occurrences, oracle, passes, recheck, shape_table, triplify
 from .plans.checks import CHECKS
 from .roster import ORACLE, QUERIES, add, so
 from .sources import ntriples
@@ -245,3 +246,52 @@ def _round_trip(d) -> DataFrame:
 
 
 add_quads("nquads_round_trip", _round_trip, "SELECT g, p, count(*) AS n, count(DISTINCT (s, sk)) AS subjects, count(DISTINCT (o, ok, coalesce(dt, ''), coalesce(lang, ''))) AS objects, (SELECT count(*) FROM (SELECT DISTINCT * FROM Q)) AS places FROM (SELECT DISTINCT * FROM Q) GROUP BY g, p")
+
+# --- K4 metrics as a table, F16 hierarchies of all kinds, S12 CSV, A15 fresh blank nodes ------------------------------
+
+
+def _metrics_table(g) -> DataFrame:
+    """The metrics as lines of a report."""
+    rows = [(k_, title) for k_, title in passes.METRIC_TITLES.items()]
+    lines = F.array(*(F.struct(lit(n).alias("place"), F.concat(lit(f"| {title} | "), c(k_).cast("string"), lit(" |")).alias("line")) for n, (k_, title) in enumerate(rows)))
+    return passes.metrics(g).select(F.explode(lines).alias("x")).select("x.*")
+
+
+ORACLE["metrics_table"] = ORACLE["metrics"].rsplit("\nFROM (SELECT count(*) FILTER", 1)[0].rsplit("SELECT *, round(", 1)[0] + ", m AS (SELECT *, round(" + ORACLE["metrics"].rsplit("SELECT *, round(", 1)[1] + ") " + " UNION ALL ".join(f"SELECT {n} AS place, '| {title} | ' || CAST({k_} AS VARCHAR) || ' |' AS line FROM m" for n, (k_, title) in enumerate(passes.METRIC_TITLES.items()))
+QUERIES["metrics_table"] = lambda spark, sf_dir: _metrics_table(TableGraph(spark, sf_dir))
+
+
+def _hierarchies(g) -> DataFrame:
+    """Classes, object and datatype properties: each term below its parents, in the order of names; roots have no parent."""
+    return union([passes.hierarchy_rows(g, kind, link).withColumn("kind", lit(kind)) for kind, link in ((v.CLASS, v.SUBCLASS), (v.OBJ_PROP, v.SUBPROP), (v.DATA_PROP, v.SUBPROP))])
+
+
+_level = lambda kind, link: f"""SELECT '{kind}' AS kind, u.y AS parent, k.s AS child FROM (SELECT DISTINCT s FROM T WHERE p = '{v.TYPE}' AND o = '{kind}' AND sk = 0) k LEFT JOIN (SELECT DISTINCT s AS x, o AS y FROM T WHERE p = '{link}' AND s <> o AND o IN (SELECT s FROM T WHERE p = '{v.TYPE}' AND o = '{kind}' AND sk = 0)) u ON u.x = k.s"""
+add("hierarchy_index", _hierarchies, f"SELECT kind, parent, child, CAST(row_number() OVER (PARTITION BY kind, parent ORDER BY name, child) AS INTEGER) AS place FROM (SELECT h.*, coalesce(l.name, child) AS name FROM h LEFT JOIN (SELECT s, max(o) AS name FROM T WHERE p = '{v.LABEL}' GROUP BY s) l ON l.s = child)", f"h AS ({_level(v.CLASS, v.SUBCLASS)} UNION ALL {_level(v.OBJ_PROP, v.SUBPROP)} UNION ALL {_level(v.DATA_PROP, v.SUBPROP)})")
+
+
+def _csv(spark, sf_dir: str) -> DataFrame:
+    """Parts as CSV files, read back, and made triples: their type and a literal for each filled cell."""
+    at = new_path(spark, "csv")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part.select(*(c(n).cast("string").alias(n) for n in ("p_partkey", "p_name", "p_brand", "p_size"))).write.option("header", True).option("escape", '"').csv(at)
+    table = triplify.read_csv(spark, at)
+    row = F.concat(lit(EX + "row-"), terms.encode_for_uri(c("p_partkey")))
+    return build.construct(table, build.template_of(row, EX + "Row", {"p_name": EX + "name", "p_brand": EX + "brand", "p_size": EX + "size"}))
+
+
+QUERIES["csv_triplify"] = _csv
+_cell = lambda name, p: f"SELECT '{EX}row-' || p_partkey AS s, 0 AS sk, '{EX}{p}' AS p, CAST({name} AS VARCHAR) AS o, 2 AS ok, '{v.XSD}string' AS dt, CAST(NULL AS VARCHAR) AS lang FROM part WHERE CAST({name} AS VARCHAR) <> ''"
+ORACLE["csv_triplify"] = f"SELECT '{EX}row-' || p_partkey AS s, 0 AS sk, '{v.TYPE}' AS p, '{EX}Row' AS o, 0 AS ok, CAST(NULL AS VARCHAR) AS dt, CAST(NULL AS VARCHAR) AS lang FROM part UNION {_cell('p_name', 'name')} UNION {_cell('p_brand', 'brand')} UNION {_cell('p_size', 'size')}"
+
+
+def _fresh(g) -> DataFrame:
+    """CONSTRUCT with a fresh blank node for each solution: what hangs off each, counted by its shape."""
+    placed = so(g.scan(EX + "placedBy"), "order", "customer").join(so(g.scan(EX + "orderDay"), "order", "day"), "order")
+    node = build.blank(c("order"), c("customer"), c("day"))
+    made = build.construct(placed, [(c("customer"), EX + "bought", terms.iri(node)), (node, EX + "what", terms.iri(c("order"))), (node, EX + "when", terms.strdt(c("day"), v.XSD + "date"))])
+    a, b = made.filter(c("p") == EX + "bought"), made.filter(c("p") == EX + "when")
+    return a.join(b.select(c("s").alias("o"), c("o").alias("day"), c("sk").alias("blank")), "o").groupBy(c("s").alias("customer")).agg(F.count_distinct("o").alias("nodes"), F.min("day").alias("first"), F.max("blank").alias("kind"))
+
+
+add("algebra_blank_template", _fresh, f"SELECT a.o AS customer, count(DISTINCT (a.s, b.o)) AS nodes, min(b.o) AS first, 1 AS kind FROM T a JOIN T b ON a.s = b.s AND b.p = '{EX}orderDay' WHERE a.p = '{EX}placedBy' GROUP BY a.o")

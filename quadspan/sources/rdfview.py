@@ -80,7 +80,7 @@ def ontology() -> list[tuple]:
         ("orderedAt", v.DATA_PROP, EX + "Order", v.XSD + "dateTime"), ("orderDay", v.DATA_PROP, EX + "Order", v.XSD + "date"), ("total", v.DATA_PROP, EX + "Order", v.XSD + "decimal"), ("placedBy", v.OBJ_PROP, EX + "Order", EX + "Customer"), ("hasOrder", v.OBJ_PROP, EX + "Customer", EX + "Order"),
         ("legacyPriority", v.DATA_PROP, EX + "Order", v.XSD + "string"), ("ofOrder", v.OBJ_PROP, EX + "LineItem", EX + "Order"), ("soldBy", v.OBJ_PROP, EX + "LineItem", EX + "Store"), ("quantity", v.DATA_PROP, EX + "LineItem", v.XSD + "integer"), ("supplies", v.OBJ_PROP, EX + "Supplier", EX + "LineItem"),
         ("byUser", v.OBJ_PROP, EX + "Event", EX + "Customer"), ("props", v.DATA_PROP, EX + "Event", v.XSD + "string"), ("bareProperty", v.OBJ_PROP, None, None), ("strayDomain", v.OBJ_PROP, EX + "NoSuchClass", EX + "NoSuchRange"), ("knows", v.OBJ_PROP, EX + "Customer", EX + "Supplier"), ("partOf", v.OBJ_PROP, EX + "Nation", EX + "Region"),
-        ("Upper_Property", v.DATA_PROP, EX + "Part", v.XSD + "string"), ("inverseA", v.OBJ_PROP, EX + "Part", EX + "Part"), ("inverseB", v.OBJ_PROP, EX + "Part", EX + "Part"), ("inverseC", v.OBJ_PROP, EX + "Part", EX + "Part"), ("buys", v.OBJ_PROP, EX + "Customer", EX + "Part"),
+        ("Upper_Property", v.DATA_PROP, EX + "Part", v.XSD + "string"), ("inverseA", v.OBJ_PROP, EX + "Part", EX + "Part"), ("inverseB", v.OBJ_PROP, EX + "Part", EX + "Part"), ("inverseC", v.OBJ_PROP, EX + "Part", EX + "Part"), ("buys", v.OBJ_PROP, EX + "Customer", EX + "Part"), ("Odd_Link", v.OBJ_PROP, EX + "Part", EX + "Part"),
     ):
         out += _declared(name, kind, domain, range_)
     out += [(EX + p, v.TYPE, v.OWL + k) for p, k in (("knows", "SymmetricProperty"), ("partOf", "TransitiveProperty"), ("hasOrder", "FunctionalProperty"), ("regionPeer", "AsymmetricProperty"), ("selfRef", "IrreflexiveProperty"))]
