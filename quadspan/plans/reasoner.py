@@ -130,7 +130,8 @@ def reason(g: Graph) -> Closed:
     links = facts.filter(c("p").isin(v.SUBPROP, v.EQUIV_PROP, v.DOMAIN, v.RANGE) & (c("s").isin(*META) | (c("p").isin(v.SUBPROP, v.EQUIV_PROP) & c("o").isin(*META))))
     found = _once(facts, tables)
     while not links.isEmpty():  # the schema speaks of the vocabulary: its triples may follow from facts
-        whole = tables.put(found.scan().select(*TRIPLE).distinct(), "facts")
+        # identities that facts have made are in the triples, and not yet in the classes
+        whole = tables.put(found.triples.unionByName(found.same()).select(*TRIPLE).distinct(), "facts")
         if whole.count() == facts.count():
             break
         facts = whole
