@@ -79,12 +79,6 @@ def describe(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     return triples.join(wanted.unionByName(hidden.select(c("y").alias("s"))).distinct(), "s", "left_semi").select(*TRIPLE).distinct()
 
 
-def namespaced(triples: DataFrame, doc: str) -> DataFrame:
-    """Blank nodes told apart by document."""
-    mark = lambda x, k: F.when(c(k) == 1, F.concat(F.lit("_:"), F.lit(doc), F.lit("_"), F.substring(c(x), 3, 1 << 20))).otherwise(c(x))
-    return triples.withColumns({"s": mark("s", "sk"), "o": mark("o", "ok")})
-
-
 def template_of(subject: Column, cls: str, columns: dict[str, str]) -> list[tuple]:
     """The direct mapping of a table's row: its type, and a literal for each column (column: predicate)."""
     rdf_type = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"

@@ -99,7 +99,7 @@ def validate(g: Graph, shapes: DataFrame) -> DataFrame:
     keys = ["s", "value", "o", "ok"]
     found = found.join(compared.groupBy(*keys).agg(F.max("also").alias("also")), keys, "left").withColumn("also", F.coalesce("also", lit(False)))
     found = found.join(instances.select(c("s").alias("o"), c("class").alias("needs"), lit(True).alias("is_a")), ["o", "needs"], "left").withColumn("is_a", F.coalesce("is_a", lit(False)) & (c("ok") != LITERAL))
-    per_row = found.groupBy("shape", "s", "row", "grp", "path", "kind", "value", "negate").agg(F.count("o").alias("n"), F.count_if(_fits()).alias("good"))
+    per_row = found.groupBy("shape", "s", "row", "grp", "path", "kind", "value", "negate").agg(F.count("o").alias("n"), F.count_if(_fits() & c("o").isNotNull()).alias("good"))
     # predicates that equals compares with may have values that the path hasn't
     others = compared.groupBy("s", "value").agg(F.count("*").alias("others"))
     per_row = per_row.join(others, ["s", "value"], "left")

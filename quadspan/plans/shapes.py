@@ -1,7 +1,7 @@
 """The 19 shapes (2.5): targets, native core constraints, and the checks' plans for those that are queries.
 
 A shape has a target (a class with its subclasses, a node, the subjects of a predicate, or a query) and a constraint.
-``Shape`` also takes core constraints of one's own: count, datatype, kind, pattern, set of values, class, disjoint."""
+Shapes of one's own are rows: see ``shape_table``."""
 
 from __future__ import annotations
 
@@ -30,28 +30,6 @@ def target_subjects(g: Graph, predicate: str) -> DataFrame:
     return g.having(predicate)
 
 
-def core(g: Graph, targets: DataFrame, path: str, *, min_count: int | None = None, max_count: int | None = None, datatype: str | None = None, node_kind: int | None = None, pattern: str | None = None, among: list[str] | None = None, cls: str | None = None) -> DataFrame:
-    """focus_node, path, value of core property constraints: one aggregation for counts, one filter for values."""
-    values = k.within(g.scan(path).select("s", "o", "ok", "dt"), targets, "s")
-    out = []
-    if min_count is not None or max_count is not None:
-        counts = targets.join(values.groupBy("s").agg(F.count("*").alias("n")), "s", "left").withColumn("n", F.coalesce("n", lit(0)))
-        out.append(k.rows(counts.filter((c("n") < (min_count or 0)) | (c("n") > (max_count if max_count is not None else 1 << 60))), "s", lit(path)))
-    bad = lit(False)
-    if datatype:
-        bad = bad | ~c("dt").eqNullSafe(lit(datatype))
-    if node_kind is not None:
-        bad = bad | (c("ok") != node_kind)
-    if pattern:
-        bad = bad | ~c("o").rlike(pattern)
-    if among:
-        bad = bad | ~c("o").isin(among)
-    out.append(k.rows(values.filter(bad), "s", lit(path), "o"))
-    if cls:
-        out.append(k.rows(k.without(values, target_class(g, cls), "o"), "s", lit(path), "o"))
-    return k.union(out)
-
-
 def disjoint(g: Graph, targets: DataFrame, reach: DataFrame, path: str, other: str) -> DataFrame:
     """sh:disjoint: the path's nodes (x, y) and those of another predicate must not meet."""
     apart = g.scan(other).filter("ok <> 2").select(c("s").alias("x"), c("o").alias("y"))

@@ -168,7 +168,7 @@ tg AS (SELECT DISTINCT shape, inst.s FROM R JOIN inst ON target_kind = 'class' A
 D AS (SELECT DISTINCT * FROM T), cmp AS (SELECT DISTINCT s, p, o, ok FROM D WHERE p IN (SELECT value FROM R WHERE kind IN ('equals', 'disjoint'))), tn AS (SELECT DISTINCT s, cls FROM inst WHERE cls IN (SELECT needs FROM R)),
 j AS (SELECT tg.shape, tg.s, id, grp, path, kind, value, negate, D.o, D.ok, D.dt, D.lang, coalesce(tn.s IS NOT NULL AND D.ok <> 2, false) AS is_a, cmp.s IS NOT NULL AS also
 FROM tg JOIN R ON R.shape = tg.shape AND kind <> 'closed' LEFT JOIN D ON D.s = tg.s AND D.p = path LEFT JOIN tn ON tn.s = D.o AND tn.cls = needs LEFT JOIN cmp ON cmp.s = tg.s AND cmp.p = value AND cmp.o = D.o AND cmp.ok = D.ok),
-n AS (SELECT shape, s, id, grp, path, kind, value, negate, count(o) AS n, count(*) FILTER ({_fit}) AS good FROM j GROUP BY ALL),
+n AS (SELECT shape, s, id, grp, path, kind, value, negate, count(o) AS n, count(*) FILTER (o IS NOT NULL AND ({_fit})) AS good FROM j GROUP BY ALL),
 h AS (SELECT *, CASE kind WHEN 'minCount' THEN n >= k WHEN 'maxCount' THEN n <= k WHEN 'qualifiedMin' THEN good >= k WHEN 'qualifiedMax' THEN good <= k WHEN 'hasValue' THEN good > 0 WHEN 'equals' THEN good = n AND n = (SELECT count(*) FROM D WHERE D.s = m.s AND D.p = m.value) ELSE good = n END AS ok FROM (SELECT *, try_cast(string_split(value, ' ')[1] AS BIGINT) AS k FROM n) m),
 al AS (SELECT shape, unnest(string_split(value, '|')) AS p FROM R WHERE kind = 'closed' UNION SELECT shape, path FROM R WHERE shape IN (SELECT shape FROM R WHERE kind = 'closed') AND path IS NOT NULL UNION SELECT shape, '{v.TYPE}' FROM R)"""
 add(

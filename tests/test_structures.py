@@ -292,3 +292,10 @@ def test_stored_tables_go(spark):
     assert one.count() == 3
     tables.drop(one)
     assert not tables.at and new_path(spark, "x") != new_path(spark, "x")
+
+
+def test_names_and_paths():
+    prefixes = {"rdf": v.RDF, "e": E}
+    assert v.expand("e:a", prefixes) == E + "a" and v.expand("x:a", prefixes) == "x:a" and v.shrink(E + "a", prefixes) == "e:a"
+    assert v.primary_prefix(prefixes) == "e" and v.primary_prefix({"rdf": v.RDF}) is None
+    assert closure.path_text(("/", ("+", "p"), ("^", "q"))) == "(p)+/^(q)" and closure.path_text(("|", "p", "q")) == "p|q"
