@@ -48,12 +48,13 @@ class Closed(Graph):
         return self.members.join(other, "rep").select(*_node(c("node"), lit(v.SAME), c("other")))
 
     def counts(self) -> DataFrame:
-        """p, n, subjects, objects of the closure; identities are counted from their classes, without making pairs."""
+        """p, n, least (subject), most (object) of the closure; identities are counted from their classes, without making
+        pairs."""
         found = self.triples.filter((c("p") != v.SAME) | (c("ok") == LITERAL))
-        by_p = found.groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.count_distinct("o", "ok").alias("objects"))
-        sizes = self.members.groupBy("rep").agg(F.count("*").alias("k"))
-        same = sizes.agg(F.sum(c("k") * c("k")).alias("n"), F.sum("k").alias("subjects"), F.sum("k").alias("objects")).filter("n is not null")
-        return by_p.unionByName(same.select(lit(v.SAME).alias("p"), "n", "subjects", "objects"))
+        by_p = found.groupBy("p").agg(F.count("*").alias("n"), F.min("s").alias("least"), F.max("o").alias("most"))
+        sizes = self.members.groupBy("rep").agg(F.count("*").alias("k"), F.min("node").alias("least"), F.max("node").alias("most"))
+        same = sizes.agg(F.sum(c("k") * c("k")).alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).filter("n is not null")
+        return by_p.unionByName(same.select(lit(v.SAME).alias("p"), "n", "least", "most"))
 
 
 def _kind(x: Column) -> Column:
@@ -120,13 +121,13 @@ def _once(facts: DataFrame, tables: Scratch) -> Closed:
     given = known.filter((c("p") == v.TYPE) & (c("ok") != LITERAL)).join(members, c("s") == c("node")).select("rep", "o").distinct()
     shared = given.join(members, "rep").select(*_node(c("node"), kind, c("o")))
     fresh = shared.join(known.filter(c("p") == v.TYPE).select("s", "p", "o", "ok"), ["s", "p", "o", "ok"], "left_anti").select(*TRIPLE)
-    return Closed(tables.put(known.unionByName(fresh), "closure"), members)
+    return Closed(known.unionByName(tables.put(fresh, "shared")), members)
 
 
 def reason(g: Graph) -> Closed:
     """The deductive closure, asserted triples included."""
     tables = Scratch(g.spark)
-    facts = tables.put(g.scan().select(*TRIPLE).distinct(), "facts")
+    facts = tables.put(g.scan().select(*TRIPLE), "facts")
     links = facts.filter(c("p").isin(v.SUBPROP, v.EQUIV_PROP, v.DOMAIN, v.RANGE) & (c("s").isin(*META) | (c("p").isin(v.SUBPROP, v.EQUIV_PROP) & c("o").isin(*META))))
     found = _once(facts, tables)
     while not links.isEmpty():  # the schema speaks of the vocabulary: its triples may follow from facts
