@@ -17,8 +17,9 @@ ordered.  So no task gets a whole source, however large.
 
 Defined cases: null or empty texts have size 0 and are taken 0 words; null sources are a source of their own, the
 last; rows are told apart by a hash of all their columns, so rows of one id, or without one, each have a rank of their
-own, and only rows that are equal in every column tie and are taken together; an empty table gives an empty result; other
-columns stay where the operator returns documents.
+own; rows that are equal in every column are counted, and each of the n has a rank from the hash and its number, so that
+they are drawn one by one (which of them is taken makes no difference); an empty table gives an empty result; other columns
+stay where the operator returns documents.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
 BITS = 12
+#: Equal rows, or copies of one, that are made from one row of a plan.
+RUN = 1024
 
 
 def words_of(text: str = "text") -> Column:
@@ -78,13 +81,24 @@ def inclusion(live: DataFrame) -> DataFrame:
     return sums.select("_s", "e", F.when(certain, F.lit(1.0)).otherwise(F.col("_chosen._factor") * F.col("e")).alias("p"), F.coalesce("_chosen.left", F.lit(0)).alias("_left"))
 
 
+def _numbered(groups: DataFrame, count: str, number: str) -> DataFrame:
+    """Each row ``count`` times, with numbers from 0.  Large counts are first cut into runs, which are dealt out."""
+    few = groups.filter(F.col(count) <= RUN).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
+    runs = groups.filter(F.col(count) > RUN).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {RUN}"))))
+    runs = runs.repartition("row", "_run")
+    many = runs.withColumn(number, F.explode(F.sequence(F.col("_run") * RUN, F.least((F.col("_run") + 1) * RUN, F.col(count)) - 1)))
+    return few.unionByName(many.drop("_run"))
+
+
 def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, propensity: Column | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
     """key, source, size, source_size, target, copies for every row, with p, the probability of the last copy, and row, the
     hash of the row."""
     wanted = (propensity if propensity is not None else F.log2(size + 1)).cast("double")
     quarters = F.pow(F.lit(2.0), F.round(4 * F.log2(F.greatest(wanted, F.lit(1e-9)))) / 4)
     rows = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size.alias("size"), quarters.alias("e"), row_hash(docs).alias("row"))
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("row").cast("string"), F.lit(seed))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
+    rows = _numbered(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")), "_n", "nth").drop("_n")
+    again = F.when(F.col("nth") > 0, F.col("nth").cast("string"))
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("row").cast("string"), again, F.lit(seed))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     rows = written(rows.withColumn("u", u), "mix_rows")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     plan = plan.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))).drop("source")
@@ -99,7 +113,7 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most:
     odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest(F.col("p"), F.lit(1e-12)) / (1 - F.col("p")))
     # the rank as an integer of 48 bits, of the odds' own probability scale
     rows = rows.withColumn("rank", F.when(F.col("p") < 1, F.floor(odds / (1 + odds) * F.lit(float(1 << 48))).cast("long")))
-    live = rows.filter((F.col("p") > 0) & (F.col("p") < 1)).select("_s", "row", "size", "rank", "_left")
+    live = rows.filter((F.col("p") > 0) & (F.col("p") < 1)).select("_s", "row", "nth", "size", "rank", "_left")
     first, at1 = _cut(live, ["_s"], F.shiftright("rank", 36), "_left")
     at1 = written(at1, "mix_cut1")
     mid = first.join(at1, "_s").filter(F.col("_bin") == F.col("_at")).drop("_bin", "_at", "_left")
@@ -107,12 +121,12 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most:
     at2 = written(at2, "mix_cut2")
     last = second.drop("_still").join(at2, "_s").filter(F.col("_bin") == F.col("_at"))
     # within the last range: whichever end of the document at the cut lies nearer
-    upto = F.sum("size").over(Window.partitionBy("_s").orderBy("rank", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = F.sum("size").over(Window.partitionBy("_s").orderBy("rank", "row", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     exact = last.withColumn("_upto", upto).filter(F.col("_upto") - F.col("size") / 2 <= F.col("_still"))
-    exact = exact.groupBy("_s").agg(F.max(F.struct("rank", "row")).alias("_last"))
+    exact = exact.groupBy("_s").agg(F.max(F.struct("rank", "row", "nth")).alias("_last"))
     cuts = plan.select("_s").join(at1.select("_s", F.col("_at").alias("_bin1")), "_s", "left").join(at2.select("_s", F.col("_at").alias("_bin2")), "_s", "left").join(exact, "_s", "left")
     rows = rows.join(written(cuts, "mix_cuts"), "_s")
-    bin1, bin2, at = F.shiftright("rank", 36), F.shiftright("rank", 24) % (1 << BITS), F.struct("rank", "row")
+    bin1, bin2, at = F.shiftright("rank", 36), F.shiftright("rank", 24) % (1 << BITS), F.struct("rank", "row", "nth")
     below = F.col("_bin1").isNull() | (bin1 < F.col("_bin1")) | ((bin1 == F.col("_bin1")) & (F.col("_bin2").isNull() | (bin2 < F.col("_bin2")) | ((bin2 == F.col("_bin2")) & F.col("_last").isNotNull() & (at <= F.col("_last")))))
     extra = F.when(F.col("p") >= 1, 1).when((F.col("p") > 0) & below, 1).otherwise(0)
     return rows.select(F.col("id").alias(key), "source", "size", "source_size", "target", (F.col("_whole") + extra).cast("long").alias("copies"), "p", "row")
@@ -125,9 +139,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents, each as often as the mix takes it, with the columns that they had."""
-    copies = mix(docs, words_of(text), weights, most, seed, None, key, source).filter("copies > 0")
-    copies = written(copies.groupBy("row", F.col(key).alias("id")).agg(F.max("copies").alias("copies")), "mix_copies")
-    of = narrow(copies.select(F.struct("row", "id", "copies").alias("_mix")))
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), F.struct(row_hash(docs).alias("row"), docs[key].alias("id")).alias("_at"))
-    rows = rows.join(of, (F.col("_at.row") == F.col("_mix.row")) & F.col("_at.id").eqNullSafe(F.col("_mix.id")))
-    return rows.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int")))).select("_doc.*")
+    copies = mix(docs, words_of(text), weights, most, seed, None, key, source)
+    # equal rows are drawn one by one; their copies are added up, and made from one of them
+    copies = written(copies.groupBy("row", F.col(key).alias("id")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).filter("copies > 0"), "mix_copies")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), row_hash(docs).alias("row"), docs[key].alias("id"))
+
+    def of(which: str) -> DataFrame:
+        at = narrow(copies.filter(which).select(F.col("row").alias("_row"), F.col("id").alias("_id"), "copies"))
+        return rows.join(at, (rows["row"] == F.col("_row")) & rows["id"].eqNullSafe(F.col("_id")))
+
+    single = of("n = 1").select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")
+    repeated = of("n > 1").groupBy("row", "id").agg(F.first("_doc").alias("_doc"), F.first("copies").alias("copies"))
+    return single.unionByName(_numbered(repeated, "copies", "_nth").select("_doc.*"))

@@ -60,3 +60,18 @@ def test_rows_without_an_id_or_with_one_id_and_clashing_columns(spark):
     assert abs(sum(len(r[1].split()) for r in got) - size) < 0.1 * size
     again = [tuple(r) for r in mixing.mixed(docs.repartition(3)).collect()]
     assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_equal_rows_are_drawn_one_by_one(spark):
+    """A source of one row, repeated: its target lies between none and all of them, and is met to the row."""
+    rows = [(1, "one two three four five", "a")] * 3000 + [(2, "x y z", "b")] * 40 + [(10 + i, "w " * (i % 9 + 1), "c") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, mixing.words_of()).collect()
+    assert len(got) == len(rows)
+    for name in "abc":
+        own = [r for r in got if r["source"] == name]
+        assert abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= 5
+        assert len({r["copies"] for r in own}) == 2 or own[0]["target"] == 3 * own[0]["source_size"]
+    made = sorted(map(str, mixing.mixed(docs).collect()))
+    assert made == sorted(map(str, mixing.mixed(docs.repartition(5)).collect()))
+    assert sum(len(r[1].split()) for r in mixing.mixed(docs).collect()) == sum(r["size"] * r["copies"] for r in got)
