@@ -8,10 +8,11 @@ in one task.  Pages that are equal but for their group's template are copies of
 
 Varying text isn't article text everywhere: menus, adverts and the like vary too.  Elements that say what they are (by
 tag, role, class or id) are left out whatever they hold, and where a page marks its article or main part, only that
-part counts.
+part counts; names that an article's own parts may bear too are no evidence there.  Outside of a marked article, a block
+whose words are all in links is a menu.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as browsers do (implied ends, unclosed
-tags, stray ends); repeated rows each give their text; a host with too few different pages has no template; an empty
+tags, stray ends); repeated rows each give their text and are one page to the wrapper; a host with too few different pages has no template; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +37,10 @@ from .urls import host_of
 GROUP = 32
 #: A text in a slot is template on this percentage of at least so many different pages of the host.
 CONSTANT, LEAST_PAGES = 80, 4
-#: Pairs of children that one alignment weighs.
-CELLS = 25_000_000
+#: Cells of one table of alignment; longer lists of children are halved until they fit.
+CELLS = 4_000_000
+#: Bytes and pages that a task parses at once (a longer page by itself).
+READ_BYTES, READ_PAGES = 4 << 20, 500
 
 # fixed values: element names of HTML
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -49,6 +53,10 @@ NOISE = set(
     " sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments reply replies disqus respond discussion share sharing social related recommended"
     " recommendations newsletter subscribe subscription signup login search pagination pager toolbar widget widgets skip copyright paywall".split()
 )
+#: Words that a name of an article's own part may have as well ("related-work", "post-discussion").
+AMBIGUOUS = set("alert alerts aside banner copyright discussion login menu menus navigation notice notices overlay promotion recommendations recommended related respond search share sharing skip social toolbar widget widgets".split())
+#: Words that a name of a noise element may have besides, inside a marked article.
+LAYOUT = set("area bar block body bottom box btn button container content group head header inner item items left line link links list outer panel right row section slot text title top unit wrap wrapper".split())
 _CLOSED_BY = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
 #: Class words of inline elements that are left out.
 INLINE_NOISE = set("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion popup".split())
@@ -57,6 +65,7 @@ _STOP = re.compile("[>\"']")
 _NAMED = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 _WORDS = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
+_SAID = re.compile(r"[^\W_]")
 _UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 
 
@@ -65,12 +74,13 @@ def _hash(*parts: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "noise", "main", "parts", "linked", "total")
+    __slots__ = ("tag", "label", "parent", "noise", "main", "doubt", "text", "menu")
 
-    def __init__(self, tag: str, label: str, parent: int, noise: bool, main: bool):
+    def __init__(self, tag: str, label: str, parent: int, noise: bool, main: bool, doubt: int):
         self.tag, self.label, self.parent, self.noise, self.main = tag, label, parent, noise, main
-        self.parts: list[str] = []
-        self.linked = self.total = 0
+        #: The innermost element here or above that only class words call noise, or -1.
+        self.doubt = doubt
+        self.text, self.menu = "", False
 
 
 class Tags:
@@ -116,60 +126,60 @@ class Tags:
         return None
 
 
-def _class_words(attributes: dict[str, str]) -> tuple[set[str], set[str]]:
-    """The words of class and id, and those that say what the element is (not what it has or lacks)."""
+def _class_words(attributes: dict[str, str]) -> tuple[set[str], list[str]]:
+    """The words of class and id, and the names that say what the element is (not what it has or lacks)."""
     names = (attributes.get("class", "") + " " + attributes.get("id", "")).lower().split()
     own = [n for n in names if not re.match("(?:has|with|no|without|is|not|hide|show)[-_]", n)]
-    return set(_WORDS.findall(" ".join(names))), set(_WORDS.findall(" ".join(own)))
+    return set(_WORDS.findall(" ".join(names))), own
 
 
-def parse(text: str, forgiven: frozenset[int] = frozenset()) -> list[tuple[int, str, str, bool, bool, int]]:
-    """(parent, label, block text, noise, inside the article, characters in links) of block nodes in page order.  Text
-    between child blocks is a child "#text".  What is left out stands as one node without text.
+def _doubtful(own: list[str], main: bool) -> bool:
+    """Whether class words call an element noise.  Inside a marked article an ambiguous word is enough only in a name of
+    nothing but such words and words of layout ("related-links", not "related-work")."""
+    for name in own:
+        words = set(_WORDS.findall(name))
+        if words & NOISE and (not main or words & NOISE - AMBIGUOUS or words <= NOISE | LAYOUT):
+            return True
+    return False
+
+
+def parse(text: str) -> list[tuple[int, str, str, bool, bool, bool]]:
+    """(parent, label, block text, noise, inside the article, whether all its words are in links) of block nodes in page
+    order.  Text between child blocks is a child "#text".  What is left out stands as one node without text.
 
     Class words are weak evidence: an element that only they call noise is kept all the same if it has more than half of
-    a page's text and nothing is marked as the article (then the page is read again, with its place forgiven)."""
-    nodes, stack = [Node("#root", "#root", -1, False, False)], [0]
+    a page's text and no article is marked outside of it.  Two elements with more than half of the text lie in each
+    other, so which are kept follows from one pass over the sizes."""
+    nodes, stack = [Node("#root", "#root", -1, False, False, -1)], [0]
     open_: Counter = Counter()
-    buffer: list[str] = []
-    suspects: dict[int, int] = {}
-    nodes_at: dict[int, int] = {}
-    link, linked, at, size, suspect, seen, kept, mute, inner = 0, 0, 0, len(text), None, 0, 0, "", 0
+    buffer: list[tuple[str, bool]] = []
+    link, at, size, seen, mute, inner = False, 0, len(text), 0, "", 0
     tags = Tags(text)
 
     def flush() -> None:
-        nonlocal linked
         if buffer:
             node = nodes[stack[-1]]
-            if not node.noise and (said := _SPACES.sub(" ", _html.unescape("".join(buffer))).strip()):
-                nodes.append(leaf := Node("#text", "#text", stack[-1], False, node.main))
-                leaf.parts, leaf.linked, leaf.total = [said], linked, len(said)
+            if not node.noise and (said := _SPACES.sub(" ", _html.unescape("".join(x for x, _ in buffer))).strip()):
+                nodes.append(leaf := Node("#text", "#text", stack[-1], False, node.main, node.doubt))
+                leaf.text = said
+                leaf.menu = any(x for _, x in buffer) and not _SAID.search(_html.unescape("".join(x for x, linked in buffer if not linked)))
             buffer.clear()
-        linked = 0
 
     def cut(depth: int) -> None:
-        nonlocal suspect
         for i in stack[depth:]:
             open_[nodes[i].tag] -= 1
-            if i == suspect:
-                suspect = None
         del stack[depth:]
 
     while at < size:
         found = tags.next(at)
         end = found[0] if found else size
-        if end > at and not mute:
-            if not nodes[stack[-1]].noise:
-                buffer.append(text[at:end])
-                linked += (end - at) if link else 0
-                kept += end - at
-            elif suspect is not None:
-                suspects[suspect] += end - at
+        if end > at and not mute and not nodes[stack[-1]].noise:
+            buffer.append((text[at:end], link))
         if not found:
             break
         start, at, name, closing, given = found
         if name == "[" and not mute:
-            buffer.append(_html.escape(text[start + 9 : at - 3]))
+            buffer.append((_html.escape(text[start + 9 : at - 3]), link))
         if name in ("", "["):
             continue
         if name in RAW and not closing:
@@ -189,15 +199,15 @@ def parse(text: str, forgiven: frozenset[int] = frozenset()) -> list[tuple[int,
             mute = ""
         if not block and not closing and name not in VOID and ("class" in given or "style" in given or "id" in given):
             attributes = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(given)}
-            if _class_words(attributes)[1] & INLINE_NOISE or _UNSEEN.search(attributes.get("style", "")):
+            if set(_WORDS.findall(" ".join(_class_words(attributes)[1]))) & INLINE_NOISE or _UNSEEN.search(attributes.get("style", "")):
                 mute, inner, seen = name, 1, 0
-                buffer.append(" ")
+                buffer.append((" ", link))
                 continue
         if name == "a":
-            link = 0 if closing else 1
+            link = not closing
             continue
         if name == "br":
-            buffer.append(" ")
+            buffer.append((" ", link))
             continue
         if not block:
             continue
@@ -207,11 +217,11 @@ def parse(text: str, forgiven: frozenset[int] = frozenset()) -> list[tuple[int,
                     if nodes[stack[depth]].tag == name:
                         flush()
                         cut(depth)
-                        link = 0
+                        link = False
                         break
             continue
         flush()
-        link = 0
+        link = False
         if name in BLOCKS and name not in ("body", "html"):
             # a block ends an open paragraph; items, cells and rows end each other
             if nodes[stack[-1]].tag == "p":
@@ -239,40 +249,58 @@ def parse(text: str, forgiven: frozenset[int] = frozenset()) -> list[tuple[int,
         noise = above.noise or name in DROPPED or (name == "header" and not above.main) or attributes.get("role", "").lower() in ROLES
         noise = noise or (name not in ("body", "html") and bool(_UNSEEN.search(attributes.get("style", ""))))
         noise = noise or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", given), re.I)) or attributes.get("aria-hidden", "").lower() == "true"
-        if not noise and not part and name not in ("body", "html") and own & NOISE and start not in forgiven:
-            noise = True
-            suspect = len(nodes)
-            suspects[suspect] = 0
-            nodes_at[suspect] = start
+        doubt = above.doubt
+        if not noise and not part and name not in ("body", "html") and _doubtful(own, above.main):
+            doubt = len(nodes)
+        main = not noise and (above.main or part)
         stack.append(len(nodes))
         open_[name] += 1
         if above.noise:
-            nodes.append(Node(name, "", -2, True, False))
+            nodes.append(Node(name, "", -2, True, False, -1))
         else:
-            nodes.append(Node(name, name + "." + ".".join(sorted(words)), stack[-2], noise, not noise and (above.main or part)))
+            nodes.append(Node(name, name + "." + ".".join(sorted(words)), stack[-2], noise, main, doubt))
     flush()
-    if suspects and not any(n.main and n.parts for n in nodes):
-        most = max(suspects, key=suspects.get)
-        if suspects[most] > kept + sum(suspects.values()) - suspects[most]:
-            return parse(text, forgiven | {nodes_at[most]})
+    kept = _kept(nodes)
     out, place = [], {-1: -1}
     for i, n in enumerate(nodes):
-        if n.parent != -2:
+        if n.parent in place and (n.parent < 0 or not out[place[n.parent]][3]):
             place[i] = len(out)
-            out.append((place[n.parent], n.label, n.parts[0] if n.parts else "", n.noise, n.main, n.linked))
+            out.append((place[n.parent], n.label, n.text, n.noise or (n.doubt == i and i not in kept), n.main, n.menu))
     return out
 
 
+def _kept(nodes: list[Node]) -> set[int]:
+    """The elements that class words call noise, but which are kept."""
+    outer = {i: nodes[n.parent].doubt for i, n in enumerate(nodes) if n.doubt == i}
+    sizes = dict.fromkeys(outer, 0)
+    for n in nodes:
+        if n.text and n.doubt >= 0:
+            sizes[n.doubt] += len(n.text)
+    whole = sum(sizes.values()) + sum(len(n.text) for n in nodes if n.doubt < 0)
+    for i in reversed(outer):
+        if outer[i] >= 0:
+            sizes[outer[i]] += sizes[i]
+    kept: set[int] = set()
+    shown = {n.doubt for n in nodes if n.main and n.text}
+    if -1 not in shown:
+        for i in outer:  # in page order, so outer ones come first
+            if 2 * sizes[i] > whole:
+                kept.add(i)
+                if i in shown:
+                    break
+    return kept
+
+
 def outline(text: str | None) -> tuple[list[int], list[int], list[int], list[tuple[int, str]]]:
     """parents, labels and text keys of the tree, and (key, text) of the blocks that may be content.  A key stands for
     a text at a path of labels."""
     nodes = parse(text or "")
     whole = any(main and said for _, _, said, _, main, _ in nodes)
     paths, keys, blocks = [], [], []
-    for parent, label, said, noise, main, linked in nodes:
+    for parent, label, said, noise, main, menu in nodes:
         paths.append(_hash(str(paths[parent]) if parent >= 0 else "", label))
-        # outside a marked article, blocks that are mostly links are menus
-        keep = bool(said) and not noise and (main or not whole and 2 * linked <= len(said))
+        # outside a marked article, blocks whose words are all in links are menus
+        keep = bool(said) and not noise and (main or not whole and not menu)
         keys.append(_hash(str(paths[-1]), said) | 1 if keep else 0)
         if keep:
             blocks.append((keys[-1], said))
@@ -338,26 +366,47 @@ class Matcher:
         score = 1 + sum(self.size[a[i]] for i, _ in pairs)
         if not x or not y:
             return score, sorted(pairs)
-        if len(x) * len(y) > CELLS:  # huge and different all along: place by place
-            same = [(i, i) for i in range(min(len(x), len(y))) if self.of[x[i]][0] == self.of[y[i]][0]]
-            return score + sum(self.best[x[i], y[i]][0] for i, _ in same), sorted(pairs + [(i + head, i + head) for i, _ in same])
         own, other = sorted(set(x)), sorted(set(y))
         weight = np.array([[self.best[p, q][0] if self.of[p][0] == self.of[q][0] else 0 for q in other] for p in own], np.int64)
-        rows, columns = np.searchsorted(own, x), np.searchsorted(other, y)
-        m = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-        for i, r in enumerate(rows.tolist()):
-            np.maximum.accumulate(np.maximum(m[i, 1:], m[i, :-1] + weight[r, columns]), out=m[i + 1, 1:])
-        i, j = len(x), len(y)
+        total, found = _heaviest(weight, np.searchsorted(own, x), np.searchsorted(other, y))
+        return score + total, sorted(pairs + [(i + head, j + head) for i, j in found])
+
+
+def _heaviest(weight: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """The heaviest pairing in order of two sequences.  A table that would have more than CELLS cells is halved at the
+    place where the best pairing crosses the middle row, so memory stays linear in the sequences."""
+
+    def last_row(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        m = np.zeros(len(columns) + 1, np.int64)
+        for r in rows.tolist():
+            m[1:] = np.maximum.accumulate(np.maximum(m[1:], m[:-1] + weight[r, columns]))
+        return m
+
+    total, pairs, todo = 0, [], [(0, len(rows), 0, len(columns))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if (b - a + 1) * (d - c + 1) > CELLS and b - a > 1:
+            half = (a + b) // 2
+            at = c + int(np.argmax(last_row(rows[a:half], columns[c:d]) + last_row(rows[half:b][::-1], columns[c:d][::-1])[::-1]))
+            todo += [(a, half, c, at), (half, b, at, d)]
+            continue
+        m = np.zeros((b - a + 1, d - c + 1), np.int32)
+        for i, r in enumerate(rows[a:b].tolist()):
+            np.maximum.accumulate(np.maximum(m[i, 1:], m[i, :-1] + weight[r, columns[c:d]]), out=m[i + 1, 1:])
+        total += int(m[-1, -1])
+        i, j = b - a, d - c
         while i and j:
-            w = weight[rows[i - 1], columns[j - 1]]
+            w = weight[rows[a + i - 1], columns[c + j - 1]]
             if w and m[i, j] == m[i - 1, j - 1] + w:
                 i, j = i - 1, j - 1
-                pairs.append((i + head, j + head))
+                pairs.append((a + i, c + j))
             elif m[i, j] == m[i - 1, j]:
                 i -= 1
             else:
                 j -= 1
-        return score + int(m[-1, -1]), sorted(pairs)
+    return total, pairs
 
 
 def evidence(trees: list[tuple[list[int], list[int], list[int]]]) -> tuple[int, Counter]:
@@ -397,8 +446,11 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            ends, at = np.cumsum(np.array(pc.fill_null(pc.binary_length(b.column(3)), 0), np.int64)), 0
+            while at < b.num_rows:
+                upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + READ_BYTES, "right"))
+                part = b.slice(at, min(max(upto - at, 1), READ_PAGES))
+                at += part.num_rows
                 found = [outline(x) for x in part.column(3).to_pylist()]
                 lists = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in range(3)]
                 blocks = pa.array([[{"key": k, "text": t} for k, t in f[3]] for f in found], pa.list_(pa.struct([("key", pa.int64()), ("text", pa.string())])))
@@ -406,9 +458,11 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     rows = written(rows.mapInArrow(read, f"id {kind}, url string, host string, parents array<long>, labels array<long>, keys array<long>, blocks array<struct<key: long, text: string>>"), "page_blocks")
-    trees = rows.select("id", "host", "parents", "labels", "keys")
+    # pages of one host that have the same texts at the same places are one page, however often they come
+    tree = F.struct("parents", "labels", "keys")
+    trees = written(rows.groupBy("host", F.xxhash64("keys").alias("_same")).agg(F.min(tree).alias("_tree")).select("host", "_same", "_tree.*"), "page_trees")
     sizes = written(trees.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups")), "host_groups")
-    trees = trees.join(sizes, "host").withColumn("group", F.pmod(F.xxhash64("id", "keys"), "groups")).drop("groups", "id")
+    trees = trees.join(sizes, "host").withColumn("group", F.pmod(F.xxhash64("_same"), "groups")).drop("groups", "_same")
 
     def vote(table: pa.Table) -> pa.Table:
         got = table.to_pydict()

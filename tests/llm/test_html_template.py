@@ -25,3 +25,33 @@ def test_op4_copies_make_no_template(spark):
 def test_op4_formulas_stay(spark):
     rows = [(1, "http://h.org/1", "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></article>")]
     assert html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["text"] == "Let x=2 hold."
+
+
+def plain_text(pages):
+    """id: text, by one wrapper for each host over all of its different pages; no groups, no Spark."""
+    hosts = {}
+    for i, url, page in pages:
+        hosts.setdefault(url.partition("://")[2].partition("/")[0].lower(), []).append((i, html.outline(page)))
+    out = {}
+    for own in hosts.values():
+        n, counts = html.evidence([o[:3] for _, o in own])
+        fixed = {k for k, c in counts.items() if n >= html.LEAST_PAGES and 100 * c >= html.CONSTANT * n}
+        for i, o in own:
+            out[i] = "\n".join(t for k, t in o[3] if k not in fixed)
+    return out
+
+
+def test_op4_against_one_wrapper_for_a_whole_host(spark):
+    """Many groups of a host together find what one wrapper over the host finds; a third of the rows is one page."""
+    page = lambda n: f"<body><div>Host head.</div><div class='k'><p>Say {n} once.</p><p>Fixed line.</p>{'<p>Rare.</p>' if n % 9 == 0 else ''}</div><table>" + "".join(f"<tr><td>{n * k}</td><td>unit</td></tr>" for k in range(n % 4)) + f"</table><div>Foot of the host</div><p>See <a>more {n}</a></p></body>"
+    rows = [(i, f"http://h{i % 2}.org/{i}", page(i)) for i in range(300)] + [(1000 + i, f"http://h0.org/c{i}", page(0)) for i in range(150)]
+    rows += [(2000 + i, f"http://one.org/{i}", "<p>alone</p>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == plain_text(rows)
+    assert got[3].startswith("Say 3 once.\n") and got[3].endswith("See more 3") and "Host head." not in got[3] and "Foot" not in got[3]
+
+
+def test_op4_given_pages_against_one_wrapper(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    got = {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
+    assert got == plain_text([tuple(r) for r in pages.collect()])
