@@ -59,3 +59,29 @@ def test_empty_and_repeated_rows(spark):
     rows = [(1, "http://a.net/x", None, "clash")] * 3 + [(None, None, None, None)]
     got = sorted(str((r["page_id"], r["host"], r["verdict"])) for r in urls.judge(spark.createDataFrame(rows, schema)).collect())
     assert got == sorted([str((1, "a.net", "block"))] * 3 + [str((None, "", "allow"))])
+
+
+def test_a_hub_hands_on_all_of_its_score(spark):
+    """A trusted hub of two million links to hosts that all link to one: each link's part is below a millionth."""
+    n = 2_000_000
+    many = spark.range(n).select(urls.F.concat(urls.F.lit("m"), "id").alias("m"))
+    edge = lambda src, dst, total: many.select(urls.F.lit("trust").alias("kind"), src.alias("src"), dst.alias("dst"), urls.F.lit(1).cast("long").alias("n"), urls.F.lit(total).cast("long").alias("total"))
+    edges = edge(urls.F.lit("hub"), urls.F.col("m"), n).unionByName(edge(urls.F.col("m"), urls.F.lit("end"), 1))
+    seeds = spark.createDataFrame([("trust", "hub")], "kind string, host string")
+    found = {r["host"]: int(r["score"]) for r in urls.propagate(seeds, edges).filter("host in ('hub', 'end', 'm7')").collect()}
+    assert found["hub"] == urls.BASE
+    assert abs(found["end"] - urls.BASE * 0.85**2) <= 2 * n and found["m7"] == urls.BASE * 85 // (100 * n)
+
+
+def test_sql_on_the_planted_graph(spark):
+    """The SQL's 64 rounds give the verdicts of the rounds that stop by themselves."""
+    import duckdb
+
+    links = {"a.com": ["b.com"], "b.com": ["c.com", "bad.net"], "c.com": ["a.com"], "bad.net": [], "good.org": ["b.com", "z.com"], "z.com": ["bad.net"], "y.com": ["z.com"]}
+    rows = [(i, f"http://{h}/{'fr/' if h == 'good.org' else ''}p", "".join(f"<a href='http://{t}/x'>l</a>" for t in own)) for i, (h, own) in enumerate(links.items())]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(pages).collect())
+    with duckdb.connect() as db:
+        db.register("pages", pages.toPandas())
+        assert sorted(db.sql(urls.OP3_SQL).fetchall()) == got
+    assert {v for *_, v in got} == {"allow", "block"}
