@@ -9,7 +9,7 @@ the exact weighted Jaccard similarity of the multisets, sum of minima over sum o
 A window with too few shingles of any item can't reach the similarity and is never hashed; that is exact, and spares
 most of the text.
 Documents are read once, where they lie, for each slice of the benchmark; a slice has a bounded number of items, so what
-a task holds doesn't grow with the benchmark.
+a task holds doesn't grow with the benchmark.  A worker builds the index of a slice once and keeps it for its later tasks.
 
 Defined cases: null or empty texts and items match nothing; an item of under five words matches only a document that
 consists of just these words; repeated rows of documents are reported each; of several windows the most similar, then
@@ -19,11 +19,13 @@ texts are read.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,6 +156,17 @@ class Index:
                     yield i, item, 0, int(t.first[i + 1] - t.first[i]), 1, 1
 
 
+#: The index that this worker used last, by the name of its slice: workers live on from task to task.
+_LAST: dict[str, Index] = {}
+
+
+def index_of(name: str, shared: Broadcast) -> Index:
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Index(shared.value)
+    return _LAST[name]
+
+
 def slices_of(items: DataFrame) -> int:
     """How many slices keep a broadcast within SLICE items and SLICE_BYTES bytes of text, on average."""
     n, size = items.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
@@ -171,8 +184,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         part = [(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).collect()]
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = index_of(name, shared)
             for b in batches:
                 for at, t in chunks(b.column(1), lower=True):
                     if rows := list(index.scan(t)):
@@ -193,8 +206,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         part = [(0, r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).collect()]
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = index_of(name, shared)
             for b in batches:
                 for place, t in chunks(b.column(at), lower=True):
                     clean = np.ones(t.n, bool)

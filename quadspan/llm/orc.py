@@ -1,11 +1,12 @@
 """Token ids in ORC: stripes with integer run-length encoding, row indexes, and a Bloom filter on document ids.
 
-``write_token_ids`` deals the texts out by ranges of the document id, encodes them, and writes one ORC file for each
+``write_token_ids`` deals the texts out by ranges of the document id (texts that share one by ranges of a hash, equal ones
+at random, so that no id has to fit into one task), encodes them, and writes one ORC file for each
 range, ascending by id.  Stripes can be read in parallel, and a filter on doc_id skips files and stripes by their
 minima and maxima, and row groups by the row index and the Bloom filter.  ``read_token_ids`` reads them back.
 
-Defined cases: a null or empty text has only the end id; rows with one doc_id are kept each, ties in order of their
-ids; a null doc_id comes first; an empty table gives a folder without rows; other columns are not written.
+Defined cases: a null or empty text has only the end id; rows with one doc_id are kept each, ties in order of a hash
+of their texts; a null doc_id comes first; an empty table gives a folder without rows; other columns are not written.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ STRIPE_MB = 16
 FILE_ROWS = 200_000
 
 
-def token_ids(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids: each text's token ids and the end id."""
+def token_ids(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, key: str = "doc_id", text: str = "text", tie: str | None = None) -> DataFrame:
+    """key, ids: each text's token ids and the end id; with a column of longs that breaks ties of the key, this too."""
+    more = [tie] if tie else []
     path = vocabulary or default_vocabulary()
     kind = docs.schema[key].dataType.simpleString()
 
@@ -40,17 +42,18 @@ def token_ids(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_
                 ids = [x + end for x in encode([t.raw(i) for i in range(t.n)])]
                 ends = np.cumsum([0, *map(len, ids)]) // 4
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, t.n), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], [key, "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, t.n), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), *(b.column(2).slice(k, t.n) for _ in more)], [key, "ids", *more])
 
-    return docs.select(key, text).mapInArrow(tidied(run), f"{key} {kind}, ids array<int>")
+    return docs.select(key, text, *more).mapInArrow(tidied(run), f"{key} {kind}, ids array<int>" + "".join(f", {x} long" for x in more))
 
 
 def write_token_ids(docs: DataFrame, path: str, files: int | None = None, vocabulary: str | None = None, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> None:
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(key, text).repartitionByRange(files, key)
+    dealt = docs.select(key, text, F.xxhash64(text).alias("_tie")).repartitionByRange(files, F.col(key), F.col("_tie"), F.rand(1))
     (
-        token_ids(dealt, vocabulary, end_id, key, text)
-        .sortWithinPartitions(key, "ids")
+        token_ids(dealt, vocabulary, end_id, key, text, "_tie")
+        .sortWithinPartitions(key, "_tie")
+        .drop("_tie")
         .write.option("orc.bloom.filter.columns", key)
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", "1000")

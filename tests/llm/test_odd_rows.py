@@ -105,3 +105,14 @@ def test_op5_block_size_does_not_matter(spark):
 def test_trees_for_a_target_recall():
     assert [trees_needed(d, 80, 0.999) for d in (1, 2, 3)] == [5, 7, 8]
     assert trees_needed(1, 80, 0.9) == 2 and trees_needed(5, 100, 0.99) == 1
+
+
+def test_op10_one_id_for_most_rows(spark, tmp_path):
+    """A hot id, with equal and with different texts, is dealt to several files, and starts stay whole."""
+    rows = [(7, "the same text")] * 1500 + [(7, f"text number {i}") for i in range(1500)] + [(i, "x y") for i in range(100) if i != 7] + [(None, None)] * 50
+    at = f"file://{tmp_path}/hot"
+    orc.write_token_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), at, files=6)
+    held = orc.read_token_ids(spark, at).filter("doc_id = 7").groupBy(orc.F.input_file_name()).count().collect()
+    assert len(held) >= 4 and max(r["count"] for r in held) < 1200
+    got = sorted((r["start"], r["n_tokens"], -1 if r["doc_id"] is None else r["doc_id"]) for r in orc.token_report(spark, at).collect())
+    assert len(got) == len(rows) and all(a[0] + a[1] == b[0] and a[2] <= b[2] for a, b in zip(got, got[1:]))
