@@ -96,7 +96,8 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most:
     wanted = (propensity if propensity is not None else F.log2(size + 1)).cast("double")
     quarters = F.pow(F.lit(2.0), F.round(4 * F.log2(F.greatest(wanted, F.lit(1e-9)))) / 4)
     rows = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size.alias("size"), quarters.alias("e"), row_hash(docs).alias("row"))
-    rows = _numbered(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")), "_n", "nth").drop("_n")
+    # written, since Spark would read the texts once for the few and once for the many
+    rows = _numbered(written(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")), "mix_groups"), "_n", "nth").drop("_n")
     again = F.when(F.col("nth") > 0, F.col("nth").cast("string"))
     u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("row").cast("string"), again, F.lit(seed))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     rows = written(rows.withColumn("u", u), "mix_rows")
