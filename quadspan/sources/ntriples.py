@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 c = F.col
+#: Lines of a file that is written.
+FILE_LINES = 500_000
 _NODE = "<[^>]*>|_:[^\\s<>\"]+"
 LINE = f"^\\s*({_NODE})\\s*(<[^>]*>)\\s*(<[^>]*>|_:[^\\s<>\"]+|\"(?:[^\"\\\\]|\\\\.)*\"(?:\\^\\^<[^>]*>|@[A-Za-z0-9-]+)?)\\s*({_NODE})?\\s*\\.\\s*(?:#.*)?$"
 _ESCAPES = (("t", "\t"), ("b", "\b"), ("n", "\n"), ("r", "\r"), ("f", "\f"), ('"', '"'), ("'", "'"))
@@ -59,7 +61,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     blocks = raw.groupBy("doc", "_block").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("doc").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return raw.join(blocks.select("doc", "_block", "_least", before.alias("_before")), ["doc", "_block"]).select("value", "doc", (F.col("_id") - F.col("_least") + F.col("_before")).alias("seq"))
+    return raw.join(F.broadcast(blocks.select("doc", "_block", "_least", before.alias("_before"))), ["doc", "_block"]).select("value", "doc", (F.col("_id") - F.col("_least") + F.col("_before")).alias("seq"))
 
 
 def read_quads(spark: SparkSession, path: str) -> DataFrame:
@@ -113,4 +115,5 @@ def lines(triples: DataFrame) -> DataFrame:
 
 
 def write(triples: DataFrame, path: str) -> None:
-    lines(triples).write.text(path)
+    """Compressed files, which are read in one piece and therefore bounded."""
+    lines(triples).write.option("maxRecordsPerFile", FILE_LINES).text(path, compression="gzip")
