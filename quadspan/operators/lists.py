@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab as v
 from ..model import Graph, union
 from ..storage import Scratch
-from .contract import jump
+from .contract import jump, parted, repeated
 
 c, lit = F.col, F.lit
 FIRST, REST, NIL = v.RDF + "first", v.RDF + "rest", v.RDF + "nil"
@@ -19,17 +19,19 @@ def is_list_node(g: Graph) -> DataFrame:
     return g.having(FIRST, REST)
 
 
-def _links(g: Graph, tables: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Cells (node, firsts, rests, before: how many cells go on with it), and the sound links (node, next) back from a cell
-    to the only cell that goes on with it, and with it alone."""
-    t = g.scan(FIRST, REST).filter((c("p") == FIRST) | (c("ok") != 2))
-    own = t.select(c("s").alias("node"), (c("p") == FIRST).cast("int").alias("firsts"), (c("p") == REST).cast("int").alias("rests"), lit(0).alias("before"))
-    into = t.filter((c("p") == REST) & (c("o") != NIL)).select(c("o").alias("node"), lit(0).alias("firsts"), lit(0).alias("rests"), lit(1).alias("before"))
-    cells = tables.put(own.unionByName(into).groupBy("node").agg(*(F.sum(n).alias(n) for n in ("firsts", "rests", "before"))), "cells")
-    single = cells.filter("rests = 1").select(c("node").alias("s"))
-    alone = cells.filter("before = 1").select(c("node").alias("o"))
-    links = g.scan(REST).filter((c("ok") != 2) & (c("o") != NIL)).join(single, "s", "left_semi").join(alone, "o", "left_semi")
-    return cells, tables.put(links.select(c("o").alias("node"), c("s").alias("next")), "links")
+def _said(g: Graph, tables: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The triples of rdf:first, and (s, o) of rdf:rest between nodes."""
+    t = tables.put(g.scan(FIRST, REST).filter((c("p") == FIRST) | (c("ok") != 2)).select("s", "o", "ok", "dt", "lang", (c("p") == FIRST).alias("member")), "said")
+    return t.filter("member").drop("member"), t.filter("not member").select("s", "o")
+
+
+def _links(rests: DataFrame, tables: Scratch, several: DataFrame, shared: DataFrame) -> DataFrame:
+    """The sound links (node, next) back from a cell to the only cell that goes on with it, and with it alone; several (s)
+    are cells with several rests, shared (o) those that several cells go on with."""
+    links = rests.filter((c("o") != NIL) & c("s").isNotNull())
+    for name, bad in (("s", several), ("o", shared)):
+        links = parted(links, name, tables.put(bad, "bad"))[1]
+    return links.select(c("o").alias("node"), c("s").alias("next"))
 
 
 def list_members(g: Graph) -> DataFrame:
@@ -37,19 +39,25 @@ def list_members(g: Graph) -> DataFrame:
     rounds.  A list ends before a cell that other cells share and behind one with several rests; lists that run in a
     circle have no members: see ``list_problems``."""
     tables = Scratch(g.spark)
-    cells, links = _links(g, tables)
-    ranks = jump(links).filter("cycle is null").select("node", c("end").alias("list"), (c("steps") + 1).alias("position"))
-    heads = cells.join(links.select("node"), "node", "left_anti").select("node", c("node").alias("list"), lit(1).cast("long").alias("position"))
-    said = g.scan(FIRST).select(c("s").alias("node"), "o", "ok", "dt", "lang")
-    return ranks.unionByName(heads).join(said, "node").select("list", "position", c("node").alias("cell"), "o", "ok", "dt", "lang")
+    firsts, rests = _said(g, tables)
+    ranks = jump(_links(rests, tables, repeated(rests.select("s")), repeated(rests.filter(c("o") != NIL).select("o"))))
+    # a cell that no link leads back from is the first of its list
+    ranks = ranks.select(c("node").alias("s"), "end", "steps", (c("cycle").isNotNull()).alias("cyclic"))
+    found = firsts.filter("s is not null").join(ranks, "s", "left").filter("cyclic is null or not cyclic")
+    return found.select(F.coalesce("end", "s").alias("list"), (F.coalesce("steps", lit(0)) + 1).alias("position"), c("s").alias("cell"), "o", "ok", "dt", "lang")
 
 
 def list_problems(g: Graph) -> DataFrame:
     """node, problem of cells that a list can't have."""
     tables = Scratch(g.spark)
-    cells, links = _links(g, tables)
+    firsts, rests = _said(g, tables)
+    counts = lambda node, *n: [c(node).alias("node"), *(lit(k).alias(name) for k, name in zip(n, ("firsts", "rests", "before"), strict=True))]
+    every = firsts.select(*counts("s", 1, 0, 0)).unionByName(rests.select(*counts("s", 0, 1, 0))).unionByName(rests.filter(c("o") != NIL).select(*counts("o", 0, 0, 1)))
     rules = {"no first": "firsts = 0 and rests > 0", "several firsts": "firsts > 1", "no rest": "rests = 0", "several rests": "rests > 1", "shared": "before > 1"}
+    cells = every.groupBy("node").agg(*(F.sum(n).alias(n) for n in ("firsts", "rests", "before"))).filter(" or ".join(f"({when})" for when in rules.values()))
+    cells = tables.put(cells, "cells")
     found = [cells.filter(when).select("node", lit(name).alias("problem")) for name, when in rules.items()]
+    links = _links(rests, tables, *(cells.filter(f"{n} > 1 and node is not null").select("node") for n in ("rests", "before")))
     return union([*found, jump(links).filter("cycle is not null").select("node", lit("cyclic").alias("problem"))])
 
 
