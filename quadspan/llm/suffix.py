@@ -16,7 +16,8 @@ at such anchors (one position in fourteen): every repeated passage holds an anch
    Its tree is cut by prefix lengths instead: two contexts are in an interval of at least r common bytes that share
    LENGTH - r bytes to the left just if that window of LENGTH bytes is the same, so its windows of each r are grouped by
    a hash of 128 bits, each sent once for a chunk and summed up before the shuffle.
-5. Every occurrence in a document that isn't the smallest is removed.  Spans are found on the input.
+5. Every occurrence in a document that isn't the smallest is removed.  Spans are found on the input.  A chunk's reaches are
+   merged to maximal runs before they meet its text, so they stay few bytes beside it and the texts needn't be dealt.
 
 The number of ranges follows from the number of chunks, so a task's share doesn't grow with the data.
 
@@ -408,6 +409,26 @@ def frequent_reaches(known: DataFrame, ranges: int, length: int, gram: int, tabl
     return places.join(hit, ["chunk", "context"]).select("chunk", "places", "found").mapInArrow(tidied(unpack), "chunk long, reach binary")
 
 
+def runs(found: DataFrame) -> DataFrame:
+    """chunk, runs: the reaches of each chunk as maximal runs of removed bytes, which may go over the ends of texts: the
+    distances between their starts and ends, compressed.  An anchor stands every fourteen bytes, so a run has many reaches."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for reach in b.column(1):
+                parts = [_arrays(x, "u4", "u4") for x in reach.as_py()]
+                start, end = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(2))
+                order = np.argsort(start, kind="stable")
+                start, end = start[order], np.maximum.accumulate(end[order])
+                new = np.concatenate(([True], start[1:] > end[:-1]))
+                edges = np.stack((start[new], end[np.append(new[1:], True)]), axis=1).ravel()
+                out.append(_blob(np.diff(edges, prepend=0).astype(np.uint32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["chunk", "runs"])
+
+    return found.groupBy("chunk").agg(F.collect_list("reach").alias("reach")).mapInArrow(tidied(merge), "chunk long, runs binary")
+
+
 def light(df: DataFrame, size: Column) -> DataFrame:
     """df, marked for a broadcast if its rows' sizes sum up to few enough bytes; else the chunks are shuffled."""
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
@@ -423,22 +444,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     shared = tables.write(shared_anchors(texts, ranges, gram, many), "shared_anchors")
     release(spark)
     known = texts.join(light(shared, F.aggregate("flags", F.lit(0), lambda n, x: n + F.length(x["flags"]))), "chunk")
-    found = tables.write(reaches(known, ranges, length, gram), "reaches")
+    parts = [tables.write(reaches(known, ranges, length, gram), "reaches")]
     release(spark)
     if not shared.filter("hot").isEmpty():
-        found = found.unionByName(tables.write(frequent_reaches(known, ranges, length, gram, tables), "frequent_reaches"))
+        parts.append(tables.write(frequent_reaches(known, ranges, length, gram, tables), "frequent_reaches"))
         release(spark)
-    spans = tables.write(found.groupBy("chunk").agg(F.collect_list("reach").alias("reach")), "spans")
-    tables.drop(shared)
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    spans = tables.write(runs(found), "spans")
+    tables.drop(shared, *parts)
+    release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, b, i in opened(batches, gram):
             t, n = c.text, len(c.text.data)
             edges = np.zeros(n + 1, np.int64)
-            for x in b.column(b.schema.names.index("reach"))[i].as_py() or ():
-                start, end = _arrays(x, "u4", "u4")
-                np.add.at(edges, start, 1)
-                np.add.at(edges, end, -1)
+            if (x := b.column(b.schema.names.index("runs"))[i].as_py()) is not None:
+                at = np.cumsum(_arrays(x, "u4")[0], dtype=np.int64)
+                edges[at[::2]], edges[at[1::2]] = 1, -1
             gone = np.cumsum(edges[:-1]) > 0
             # runs of removed bytes; none goes over the end of a text
             first, last = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
@@ -453,8 +475,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             rest = pa.array([left[s:e] for s, e in zip(cuts[:-1], cuts[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([c.keys, pa.array(np.diff(t.bounds)), list_of, rest], [key, "n_bytes", "spans", "kept"])
 
-    spans = light(spans, F.aggregate("reach", F.lit(0), lambda n, x: n + F.length(x)))
-    return texts.join(spans, "chunk", "left").select(*CHUNK, "reach").mapInArrow(tidied(run), f"{key} {kind}, n_bytes long, spans array<struct<s: long, e: long>>, kept binary")
+    spans = light(spans, F.length("runs"))
+    return texts.join(spans, "chunk", "left").select(*CHUNK, "runs").mapInArrow(tidied(run), f"{key} {kind}, n_bytes long, spans array<struct<s: long, e: long>>, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,16 @@ def test_op6_frequent_anchors_and_ranges(spark, many):
         assert [(s["s"], s["e"]) for s in r["spans"]] == [m.span() for m in re.finditer(b"\1+", cut)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.remove_repeats(empty, many=many).count() == 0
+
+
+def test_op6_texts_stay_where_they_are(spark, monkeypatch):
+    """A long passage has an anchor every fourteen bytes; what is sent back to the chunks is a run, not their reaches."""
+    passage, dice = said(600), random.Random(5)
+    rows = [(i, " ".join(dice.choices(WORDS, k=9)) + " " + passage) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes, light = [], suffix.light
+    monkeypatch.setattr(suffix, "light", lambda df, size: sizes.append(df.agg(suffix.F.sum(size)).first()[0]) or light(df, size))
+    found = suffix.remove_repeats(docs)
+    assert 0 < sizes[-1] < 400, sizes
+    gone = plain.removed(rows)
+    assert all(bytes(r["kept"]) == bytes(b for b, g in zip(dict(rows)[r["doc_id"]].encode(), gone[r["doc_id"]]) if not g) for r in found.collect())
