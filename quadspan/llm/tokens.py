@@ -18,7 +18,7 @@ import numpy as np
 KEPT_WORDS = 300_000
 
 _MARKS = rb"[!-&(-/:;=?@\[-`{}~]*"
-_PLAIN = re.compile(rb"(" + _MARKS + rb")((?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)(" + _MARKS + rb")").fullmatch
+_PLAIN = re.compile(rb"(" + _MARKS + rb")((?:[a-zA-Z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)(" + _MARKS + rb")").fullmatch
 
 
 class _Ids(dict):
@@ -64,6 +64,9 @@ class Encoder:
         """The ids of a word that isn't among the known ones."""
         if (ids := self.older.get(word)) is not None:
             return ids
+        four = self.four
+        if self.plain and word.isalpha():  # ASCII letters only
+            return b"".join([four[t.id] for t in self.model.tokenize(word.decode().lower())])
         if not self.plain or (m := _PLAIN(word)) is None:
             return self.whole(word)
         before, run, behind = m.groups()
@@ -71,7 +74,6 @@ class Encoder:
             return self.mark(before) + self.known[run] + self.mark(behind)
         # an ASCII letter is itself to the model, bytes of others are letters of their own
         text = run.decode("latin-1").lower() if run.isascii() else run.decode().lower().encode().decode("latin-1").translate(self.letters)
-        four = self.four
         return b"".join([four[t.id] for t in self.model.tokenize(text)])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:

@@ -26,3 +26,14 @@ def test_marked_words_are_cut(monkeypatch):
     monkeypatch.setattr(tokens.Encoder, "whole", lambda self, word: (seen.append(word), whole(self, word))[1])
     tokens.Encoder(tokens.default_vocabulary()).encode(["(wending) wending### Échoing### «no»".encode()])
     assert sorted(seen) == [b"###", b"(", b")", "«no»".encode()]
+
+
+def test_words_of_letters_need_no_pattern(monkeypatch):
+    """ASCII letters go to the model at once, and words that are letters but for their end don't make the pattern go back."""
+    from quadspan.llm import tokens
+
+    e, whole = tokens.Encoder(tokens.default_vocabulary()), tokens.Encoder(tokens.default_vocabulary()).whole
+    for word in ("letters", "a", "x" * 300, "é" * 40 + "1", "aé" * 40 + "1", "a" * 60 + "1", "..word,", "ça", "don't"):
+        assert e.encode([word.encode()]) == [whole(word.encode())], word
+    monkeypatch.setattr(tokens, "_PLAIN", None)
+    assert e.encode([b"unmet Wordsofletters"]) == [whole(b"unmet") + whole(b"wordsofletters")]
