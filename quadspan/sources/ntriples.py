@@ -10,6 +10,10 @@ c = F.col
 FILE_LINES = 500_000
 _NODE = "<[^>]*>|_:[^\\s<>\"]+"
 LINE = f"^\\s*({_NODE})\\s*(<[^>]*>)\\s*(<[^>]*>|_:[^\\s<>\"]+|\"(?:[^\"\\\\]|\\\\.)*\"(?:\\^\\^<[^>]*>|@[A-Za-z0-9-]+)?)\\s*({_NODE})?\\s*\\.\\s*(?:#.*)?$"
+_IRI, _BLANK = "<([^>]*)>", "(_:[^\\s<>\"]+)"
+#: The same lines with a group for each part: IRI or blank subject, predicate, IRI or blank object, or a quote, what is said,
+#: datatype and language; a bracket, IRI or blank graph.  What is said is gone through without steps back.
+PARTS = f"^\\s*(?:{_IRI}|{_BLANK})\\s*{_IRI}\\s*(?:{_IRI}|{_BLANK}|(\")([^\"\\\\]*+(?:\\\\.[^\"\\\\]*+)*+)\"(?:\\^\\^{_IRI}|@([A-Za-z0-9-]+))?)\\s*(?:(<)([^>]*)>|{_BLANK})?\\s*\\.\\s*(?:#.*)?$"
 _ESCAPES = (("t", "\t"), ("b", "\b"), ("n", "\n"), ("r", "\r"), ("f", "\f"), ('"', '"'), ("'", "'"))
 
 
@@ -26,27 +30,22 @@ def _unescape(x: Column) -> Column:
     return F.replace(x, F.lit("\u0001"), F.lit("\\"))
 
 
-def _value(x: Column) -> Column:
-    plain = F.when(x.startswith("<"), F.substring(x, 2, 1 << 30)).otherwise(x)
-    plain = F.when(x.startswith("<"), F.regexp_replace(plain, ">$", "")).otherwise(plain)
-    said = F.regexp_extract(x, '^"((?:[^"\\\\]|\\\\.)*)"', 1)
-    return F.when(x.startswith('"'), F.when(said.contains("\\"), _unescape(said)).otherwise(said)).otherwise(plain)
-
-
-def _kind(x: Column) -> Column:
-    return F.when(x.startswith("<"), 0).when(x.startswith("_:"), 1).otherwise(2)
-
-
 def parse_lines(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """s, sk, p, o, ok, dt, lang, g of N-Triples or N-Quads lines, after the columns to keep; other lines are left out (see
-    ``bad_lines``)."""
-    part = lambda k: F.regexp_extract(column, LINE, k)
-    rows = lines.filter(c(column).rlike(LINE)).select(*keep, part(1).alias("_s"), part(2).alias("_p"), part(3).alias("_o"), part(4).alias("_g"))
-    tag, kind = F.regexp_extract("_o", "\"@([A-Za-z0-9-]+)$", 1), F.regexp_extract("_o", "\"\\^\\^<([^>]*)>$", 1)
-    lang = F.when((c("ok") == 2) & (tag != ""), tag)
-    dt = F.when(c("ok") == 2, F.when(tag != "", "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString").when(kind != "", kind).otherwise("http://www.w3.org/2001/XMLSchema#string"))
-    rows = rows.withColumn("ok", _kind(c("_o")))
-    return rows.select(*keep, _value(c("_s")).alias("s"), _kind(c("_s")).alias("sk"), _value(c("_p")).alias("p"), _value(c("_o")).alias("o"), "ok", dt.alias("dt"), lang.alias("lang"), F.when(c("_g") != "", _value(c("_g"))).alias("g"))
+    ``bad_lines``).
+
+    A line is matched once: its parts are put between line breaks, which no line holds.  They come from an explode, so that
+    the filter isn't worked out by a second match."""
+    parts = F.split(F.regexp_replace(column, PARTS, "\n".join(f"${k}" for k in range(1, 13))), "\n")
+    rows = lines.select(*keep, F.explode(F.array(parts)).alias("_x")).filter(F.size("_x") == 12)
+    s, s_blank, p, o, o_blank, quote, said, kind, tag, named, g, g_blank = (c("_x")[k] for k in range(12))
+    some = lambda x: x != ""
+    dt = F.when(some(quote), F.when(some(tag), "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString").when(some(kind), kind).otherwise("http://www.w3.org/2001/XMLSchema#string"))
+    return rows.select(
+        *keep, F.when(some(s_blank), s_blank).otherwise(s).alias("s"), F.when(some(s_blank), 1).otherwise(0).alias("sk"), p.alias("p"),
+        F.when(some(quote), F.when(said.contains("\\"), _unescape(said)).otherwise(said)).when(some(o_blank), o_blank).otherwise(o).alias("o"), F.when(some(quote), 2).when(some(o_blank), 1).otherwise(0).alias("ok"),
+        dt.alias("dt"), F.when(some(tag), tag).alias("lang"), F.when(some(named), g).when(some(g_blank), g_blank).alias("g"),
+    )
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +68,11 @@ def read_quads(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(numbered_lines(spark, path), keep=("doc", "seq"))
 
 
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """doc and seq of each statement: lines are matched, and not taken apart."""
+    return numbered_lines(spark, path).filter(c("value").rlike(PARTS)).select("doc", "seq")
+
+
 def file_format(path: str | Column, head: Column | None = None) -> Column:
     """The format of a document by its name, else by how it begins."""
     name = F.lower(path if isinstance(path, Column) else F.lit(path))
